@@ -109,6 +109,47 @@ def word_hashes(words: list[bytes], cache: dict[bytes, int], limit: int = 1 << 1
     return out
 
 
+class KnownTable:
+    """Values of keys that are computed in batches when first met.
+
+    Two generations bound it: when ``limit`` keys are young, they become old and
+    the old ones go; an old key that is met again is young again.  It only saves
+    time, and lives as long as its Python worker.
+    """
+
+    def __init__(self, compute: Callable[[list[bytes]], Iterator], limit: int):
+        self.compute, self.limit = compute, limit
+        self.young: dict[bytes, object] = {}
+        self.old: dict[bytes, object] = {}
+
+    def holding(self, keys: set[bytes]) -> dict[bytes, object]:
+        """A mapping that holds all of the keys."""
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        missing = []
+        for k in keys.difference(self.young):
+            value = self.old.get(k)
+            if value is None:
+                missing.append(k)
+            else:
+                self.young[k] = value
+        self.young.update(zip(missing, self.compute(missing), strict=True))
+        return self.young
+
+
+def slices(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts in runs of about ``limit`` bytes, null as empty: what is split into words at once stays small."""
+    out, held = [], 0
+    for t in texts:
+        out.append(t or b"")
+        held += len(out[-1])
+        if held >= limit:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
 #: Odd multipliers of the polynomial hash and of its finishing mix (both are fixed constants of this file).
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

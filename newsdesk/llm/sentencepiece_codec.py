@@ -3,8 +3,8 @@
 Where no piece of the model holds a white-space marker after another character,
 no merge can cross the start of a marked word.  A text then falls into chunks
 (a run of markers and the word behind it) that are segmented on their own: each
-task keeps a table of distinct chunks, segments a chunk once, and joins ids back
-by position.  Nothing is shuffled, and the table is bounded.
+Python worker keeps a table of distinct chunks, segments a chunk once, and joins
+ids back by position.  Nothing is shuffled, and the table is bounded.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, utf8
+from .common import KnownTable, map_batches, slices, table, utf8
 
 MODEL = "piece_bpe_32k.model"
-#: Most chunks that a task's table holds; it is emptied when full.
-TABLE_SIZE = 200_000
+#: Chunks of each of the two generations of a worker's table.
+TABLE_SIZE = 300_000
 _MARK = "▁".encode()
 _CHUNK = re.compile(rb" +[^ ]*")
 
@@ -41,23 +41,17 @@ class ChunkCodec:
             raise ValueError("the model's normaliser is not a plain marker prefix")
         if any(re.search("[^▁]▁", p.piece) or p.type == pb.ModelProto.SentencePiece.USER_DEFINED for p in spec.pieces):
             raise ValueError("pieces of the model cross white-space markers")
-        self.table: dict[bytes, tuple[list[int], bytes]] = {}
-        self.table_size = table_size
-
-    def chunk(self, chunk: bytes) -> tuple[list[int], bytes]:
-        """Ids of a chunk (its first space is a marker) and the bytes they decode to, marker included."""
-        found = self.table.get(chunk)
-        if found is None:
-            if len(self.table) >= self.table_size:
-                self.table.clear()
-            # The library puts a marker before a text and takes one off what it decodes.
-            if len(chunk) > 1:
-                ids = self.processor.encode(chunk[1:].decode(), num_threads=1)
-                found = ids, b" " + self.processor.decode(ids).encode()
-            else:
-                found = [self.processor.piece_to_id("▁")], b" "
-            self.table[chunk] = found
-        return found
+        self.marker = self.processor.piece_to_id("▁")
+        self.table = KnownTable(self._segment, table_size)
+
+    def _segment(self, chunks: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """Number of ids, ids in decimal, and decoded bytes of chunks, each of which begins with its first marker."""
+        if not chunks:
+            return []
+        # The library puts a marker before a text and takes one off what it decodes; a marker alone has no text.
+        ids = [i or [self.marker] for i in self.processor.encode([c[1:].decode() for c in chunks], num_threads=1)]
+        back = [b" " + t.encode() for t in self.processor.decode(ids, num_threads=1)]
+        return [(len(i), ",".join(map(str, i)).encode(), c if c == t else t) for c, i, t in zip(chunks, ids, back, strict=True)]
 
     def chunks(self, text: bytes) -> list[bytes]:
         """A text's chunks; joined they are the marked text."""
@@ -68,16 +62,28 @@ class ChunkCodec:
             return [b" " + w for w in marked.split(b" ")[1:]]
         return _CHUNK.findall(marked)
 
-    def encode(self, text: bytes) -> list[int]:
-        return [i for c in self.chunks(text) for i in self.chunk(c)[0]]
+    def parts(self, texts: list[bytes]) -> list[list[tuple[int, bytes, bytes]]]:
+        """What the table holds of each chunk of each text; distinct chunks are segmented once."""
+        chunks = [self.chunks(t) for t in texts]
+        held = self.table.holding(set().union(*chunks))
+        return [[held[c] for c in own] for own in chunks]
+
+    def round_trips(self, texts: list[bytes]) -> list[tuple[list[int], bytes]]:
+        """Ids of each text and the bytes they decode to."""
+        return [([int(i) for p in own for i in p[1].split(b",")], b"".join([p[2] for p in own])[1:]) for own in self.parts(texts)]
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
 
-    def round_trip(self, text: bytes) -> tuple[list[int], bytes]:
-        """Ids of the text and the decoded bytes."""
-        found = [self.chunk(c) for c in self.chunks(text)]
-        return [i for ids, _ in found for i in ids], b"".join(d for _, d in found)[1:]
+
+_CODECS: dict[str, ChunkCodec] = {}
+
+
+def codec(model_file: str) -> ChunkCodec:
+    """The worker's codec of a model, with what it has segmented so far."""
+    if model_file not in _CODECS:
+        _CODECS[model_file] = ChunkCodec(model_file)
+    return _CODECS[model_file]
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -92,9 +98,9 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "tok
     def run(batches):
         import pyarrow as pa
 
-        codec = ChunkCodec(model_file)
+        own = codec(model_file)
         for batch in batches:
-            out = [codec.encode(t or b"") for t in utf8(batch.column(text))]
+            out = [ids for texts in slices(utf8(batch.column(text))) for ids, _ in own.round_trips(texts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.list_(pa.int32()))], [*kept, ids])
 
     return docs.mapInArrow(run, spark_schema)
@@ -108,9 +114,9 @@ def decode(tokens: DataFrame, model_file: str, ids: str = "token_ids", text: str
     def run(batches):
         import pyarrow as pa
 
-        codec = ChunkCodec(model_file)
+        own = codec(model_file)
         for batch in batches:
-            out = [codec.decode(x) if x else "" for x in batch.column(ids).to_pylist()]
+            out = [own.decode(x) if x else "" for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], [*kept, text])
 
     return tokens.mapInArrow(run, spark_schema)
@@ -123,24 +129,15 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
     """
 
     def make():
-        codec = ChunkCodec(model_file)
-        shown: dict[bytes, tuple[int, bytes, bytes]] = {}
+        own = codec(model_file)
 
         def each(batch):
             counts, ids_hex, text_hex = [], [], []
-            for t in utf8(batch.column("text")):
-                parts = []
-                for c in codec.chunks(t or b""):
-                    p = shown.get(c)
-                    if p is None:
-                        if len(shown) >= TABLE_SIZE:
-                            shown.clear()
-                        ids, back = codec.chunk(c)
-                        p = shown[c] = len(ids), ",".join(map(str, ids)).encode(), back
-                    parts.append(p)
-                counts.append(sum(p[0] for p in parts))
-                ids_hex.append(hashlib.sha256(b",".join([p[1] for p in parts])).hexdigest())
-                text_hex.append(hashlib.sha256(b"".join([p[2] for p in parts])[1:]).hexdigest())
+            for texts in slices(utf8(batch.column("text"))):
+                for parts in own.parts(texts):
+                    counts.append(sum([p[0] for p in parts]))
+                    ids_hex.append(hashlib.sha256(b",".join([p[1] for p in parts])).hexdigest())
+                    text_hex.append(hashlib.sha256(b"".join([p[2] for p in parts])[1:]).hexdigest())
             return [batch.column("doc_id"), counts, ids_hex, text_hex]
 
         return each

@@ -13,6 +13,7 @@ bits, highest bit first; ``zeros``: the zero bits of each plane).
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -22,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import default_partitions, map_batches, shared_dir, table, utf8
+from .common import KnownTable, default_partitions, map_batches, shared_dir, slices, table, utf8
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Token ids in a segment, at which it is closed after the document at hand.
-SEGMENT_TOKENS = 1 << 20
-#: Chunks that a task's table of known chunks holds; it is emptied when full.
-TABLE_SIZE = 400_000
+SEGMENT_TOKENS = 1 << 19
+#: Chunks of each of the two generations of a worker's table.
+TABLE_SIZE = 500_000
 #: Separates documents.
 END_ID = 0
 
@@ -47,7 +48,7 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
         at, zeros, planes = ids, [], []
         for level in range(levels - 1, -1, -1):
-            one = ((at >> level) & 1).astype(bool)
+            one = (at & at.dtype.type(1 << level)) != 0
             planes.append(np.packbits(one).tobytes())
             low = at[~one]
             zeros.append(len(low))
@@ -106,12 +107,12 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids, plane by plane from the lowest up."""
-        at = np.zeros(self.n, dtype=np.uint32)
+        at = np.zeros(self.n, dtype=np.uint16 if len(self.zeros) <= 16 else np.uint32)
         for level in range(len(self.zeros) - 1, -1, -1):
             one = np.unpackbits(np.frombuffer(self.planes[level], np.uint8), count=self.n).astype(bool)
             up = np.empty_like(at)
             up[~one] = at[: self.zeros[level]]
-            up[one] = at[self.zeros[level] :] | np.uint32(1 << (len(self.zeros) - 1 - level))
+            up[one] = at[self.zeros[level] :] | at.dtype.type(1 << (len(self.zeros) - 1 - level))
             at = up
         return at
 
@@ -119,11 +120,13 @@ class WaveletMatrix:
 #: A space before a character that is surely not white space: here a byte-level BPE always begins a new pre-token, as
 #: a run of white space gives its last space to the word behind it.  The lead bytes left out start some white space.
 _EDGE = re.compile(rb" (?=[!-~\xc3-\xe0\xe4-\xf4])")
+#: Marks the chunk that begins a text.
+_FIRST = b"\xff"
 _NO_EDGE = re.compile(rb" (?![!-~\xc3-\xe0\xe4-\xf4])")
 
 
 class BpeEncoder:
-    """Encodes with the tokenizers library; known chunks come from a bounded table.
+    """Encodes with the tokenizers library; chunks that are known come from a bounded table.
 
     ``plain_specials``: strings of special tokens inside a text are ordinary text.
     """
@@ -136,28 +139,34 @@ class BpeEncoder:
         self.whole = not plain_specials  # a special string could hold a space
         self.levels = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2") if self.levels <= 16 else np.dtype("<u4")
-        self.first: dict[bytes, bytes] = {}
-        self.later: dict[bytes, bytes] = {}
-
-    def _new(self, chunk: bytes, space: bytes, known: dict[bytes, bytes]) -> bytes:
-        ids = self.tokenizer.encode((space + chunk).decode(), add_special_tokens=False).ids
-        if len(known) >= TABLE_SIZE:
-            known.clear()
-        known[chunk] = out = np.array(ids, dtype=self.kind).tobytes()
-        return out
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids of a text, packed as little-endian integers of ``kind``."""
+        self.table = KnownTable(self._new, TABLE_SIZE)
+
+    def _new(self, chunks: list[bytes]) -> list[bytes]:
+        """Packed ids of chunks; one that begins a text is marked by a byte that UTF-8 doesn't have, others lost a space."""
+        texts = [c[1:].decode() if c[:1] == _FIRST else " " + c.decode() for c in chunks]
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, packed as little-endian integers of ``kind``."""
         if self.whole:
-            return self._new(text, b"", {})
-        chunks = _EDGE.split(text) if _NO_EDGE.search(text) else text.split(b" ")
-        head = self.first.get(chunks[0])
-        parts = [self._new(chunks[0], b"", self.first) if head is None else head]
-        get = self.later.get
-        for c in chunks[1:]:
-            ids = get(c)
-            parts.append(self._new(c, b" ", self.later) if ids is None else ids)
-        return b"".join(parts)
+            return self._new([_FIRST + t for t in texts])
+        chunks = [_EDGE.split(t) if _NO_EDGE.search(t) else t.split(b" ") for t in texts]
+        for c in chunks:
+            c[0] = _FIRST + c[0]
+        held = self.table.holding(set().union(*chunks))
+        return [b"".join([held[c] for c in own]) for own in chunks]
+
+
+_ENCODERS: dict[tuple[str, bool], BpeEncoder] = {}
+
+
+def bpe_encoder(tokenizer_file: str, plain_specials: bool = True) -> BpeEncoder:
+    """The worker's encoder for a tokenizer, with what it has encoded so far."""
+    key = tokenizer_file, plain_specials
+    if key not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        _ENCODERS[key] = BpeEncoder(*key)
+    return _ENCODERS[key]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID, partitions: int | None = None, segment_tokens: int = SEGMENT_TOKENS, plain_specials: bool = True) -> None:
@@ -170,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     n = partitions or default_partitions(docs.sparkSession)
 
     def run(batches):
-        encoder = BpeEncoder(tokenizer_file, plain_specials)
+        encoder = bpe_encoder(tokenizer_file, plain_specials)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         shard, segment = TaskContext.get().partitionId(), 0
         doc_ids, lengths, parts, held = [], [], [], 0
@@ -183,8 +192,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(values, kinds, strict=True)], ["shard", "segment", "n_tokens", "doc_ids", "lengths", "zeros", "planes"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                packed = encoder.encode(text or b"") + end
+            packs = (p + end for texts in slices(utf8(batch.column("text"))) for p in encoder.encode(texts))
+            for doc, packed in zip(batch.column("doc_id").to_pylist(), packs, strict=True):
                 doc_ids.append(doc)
                 lengths.append(len(packed) // encoder.kind.itemsize)
                 parts.append(packed)
