@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import ORACLE_OP8, op8_ann
 from .decontaminate import ORACLE_OP1, op1_decontaminate
 from .near_dedup import ORACLE_OP9, op9_near_dedup
 from .sentencepiece_codec import op7_sentencepiece
 from .substring_dedup import ORACLE_OP3, op3_substring_dedup
 from .token_store import op5_token_store
+from .toxicity import op4_toxicity
 from .warc import ORACLE_OP10, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_token_store": op5_token_store,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_ann": op8_ann,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
 }
@@ -25,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontaminate": ORACLE_OP1,
     "op3_substring_dedup": ORACLE_OP3,
+    "op8_ann": ORACLE_OP8,
     "op9_near_dedup": ORACLE_OP9,
     "op10_warc": ORACLE_OP10,
 }

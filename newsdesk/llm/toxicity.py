@@ -25,9 +25,11 @@ from .substring_dedup import _Words
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of doc_id.
 SAMPLE = 20_000
 #: Terms of a lexicon at most, the best supported first; log likelihood by which a term's record must beat chance.
-TERMS, EVIDENCE = 3_000, 9.0
+TERMS, EVIDENCE = 3_000, 7.5
+#: Clean documents for each toxic one that a term may have at most.
+CLEAN_SHARE = 0.2
 #: Characters of a prefix term.
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7)
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 #: Words on each side that make a hit's context.
@@ -256,7 +258,7 @@ def _lexicon(counts: DataFrame, folds: tuple[int, ...], totals: dict[tuple[int,
     all_of = F.col("bad") + F.col("good")
     chance = F.col("bad") * F.log(F.col("bad") / (all_of * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (all_of * (1 - share)))).otherwise(0.0)
     weight = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    picked = rows.filter("bad > 0").withColumn("chance", chance).withColumn("weight", weight).filter((F.col("chance") >= EVIDENCE) & (F.col("good") <= 0.02 * F.col("bad")))
+    picked = rows.filter("bad > 0").withColumn("chance", chance).withColumn("weight", weight).filter((F.col("chance") >= EVIDENCE) & (F.col("good") <= CLEAN_SHARE * F.col("bad")))
     found = {r["term"]: (r["weight"], r["bad"]) for r in picked.orderBy(F.desc("chance"), "term").limit(TERMS).collect()}
     # A prefix that stands for one word only adds nothing to it.
     alone: Counter = Counter()
