@@ -144,12 +144,12 @@ def _without(text: bytes, mask: np.ndarray) -> bytes:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, columns unchanged, with the words of benchmark windows cut out of each text; clean texts stay as they are."""
-    marked = mark(docs, benchmark, window)
+    marked, names = mark(docs, benchmark, window), docs.columns
 
     def run(batches):
         for batch in batches:
             texts = [t if t is None or not any(m) else _without(t, np.frombuffer(m, dtype=bool)) for t, m in zip(utf8(batch.column("text")), batch.column("mask").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
     return marked.mapInArrow(run, docs.schema)
 

@@ -11,16 +11,16 @@
    of a pair's registers at 0.75, given both set sizes, drops hopeless pairs; the
    others are verified on full sets.
 5. *Rest.*  Where members of one key are still in several components, those outside
-   the largest component are compared with all others under the key, and likely
-   pairs verified, until no likely pair is left untested.  Pairs inside a component
-   are never formed, so groups of copies cost in proportion to their size.
+   the largest are held against the other components by their registers, and where
+   a link is likely, against all members of such a component by full sets.  Pairs
+   inside a component are never formed, so groups of copies cost in proportion to
+   their size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,9 @@ REGISTERS = BANDS * ROWS
 BASE = 1.02
 #: Standard deviations by which a pair's likelihood at the threshold may fall short.
 Z = 5.0
-#: Queries of a key that one task holds at once, and partners proposed at first for a query and component.
-BLOCK, PARTNERS = 1024, 8
-#: Members verified against one centre in a group.
+#: Nodes of a key, and members of a component, that meet others in one group.
+BLOCK = 1024
+#: Members verified against one centre in a group, and nodes held at once against members of a component.
 CHUNK = 256
 
 _RNG = np.random.default_rng(9)
@@ -197,48 +197,91 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, partners: int) -> DataFrame:
-    """(a, b, full): likely pairs under a key between its components, the best ``partners`` of each a and component.
+def _asks(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct (node, component): nodes outside the largest component of a key, and other components under it that hold a likely partner.
 
-    ``full``: there may be more for that a.
+    Whether a partner is likely is told by the number of equal registers, which
+    for linked sets falls short of the threshold's share by Z deviations at most.
     """
     m = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = m.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    keys = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), (F.sum("n") - F.max("n")).alias("others")).filter("parts > 1")
+    keys = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).filter("parts > 1")
     keys = keys.select("key", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
     inside = m.join(keys, "key")
     asked = inside.filter("component <> main").select("key", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "component")
     shown = inside.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "component")
-    rows = asked.unionByName(shown).join(classes.select("node", "n_shingles", "registers"), "node")
+    rows = asked.unionByName(shown).join(classes.select("node", "registers"), "node")
     ordered = rows.repartition("key", "block").sortWithinPartitions("key", "block", "role")
+    share = PERCENT / 100
+    least = math.floor(REGISTERS * share - Z * math.sqrt(REGISTERS * share * (1 - share)))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        group, queries = None, []
-        held: tuple = ()
+        group, queries, held, done = None, [], None, set()
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "block", "role", "node", "component", "n_shingles", "registers")]
-            out: dict[tuple[int, int], list[tuple[float, int]]] = {}
-            for key, block, role, node, component, n, reg in zip(*columns, strict=True):
+            found = []
+            for key, block, role, node, component, reg in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "role", "node", "component", "registers")), strict=True):
                 if (key, block) != group:
-                    group, queries, held = (key, block), [], ()
+                    group, queries, held, done = (key, block), [], None, set()
                 if role == 0:
-                    queries.append((node, component, n, reg))
+                    queries.append((node, component, reg))
                     continue
-                if not held:
-                    held = np.array([q[0] for q in queries]), np.array([q[1] for q in queries]), np.array([q[2] for q in queries], dtype=np.float64), np.frombuffer(b"".join(q[3] for q in queries), dtype="<u2").reshape(-1, REGISTERS)
-                own = np.frombuffer(reg, dtype="<u2")
-                # First by agreement alone, far below what the likelihood would let pass.
-                near = np.flatnonzero((held[1] != component) & ((held[3] == own).mean(axis=1) > PERCENT / 100 - 0.3))
-                if len(near):
-                    j, ok = likely(held[3][near], np.broadcast_to(own, (len(near), REGISTERS)), held[2][near], np.full(len(near), float(n)))
-                    for i in np.flatnonzero(ok).tolist():
-                        out.setdefault((int(held[0][near[i]]), component), []).append((-float(j[i]), node))
-            found = [(a, b, len(p) > partners) for (a, _), p in out.items() for _, b in sorted(p)[:partners]]
+                if held is None:
+                    held = np.array([q[0] for q in queries]), np.array([q[1] for q in queries]), np.frombuffer(b"".join(q[2] for q in queries), dtype="<u2").reshape(-1, REGISTERS)
+                near = (held[1] != component) & (np.count_nonzero(held[2] == np.frombuffer(reg, dtype="<u2"), axis=1) >= least)
+                for q in held[0][near].tolist():
+                    if (q, component) not in done:
+                        done.add((q, component))
+                        found.append((q, component))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "full"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["node", "component"])
 
-    pairs = ordered.mapInArrow(run, "a long, b long, full boolean")
-    return pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.bool_or("full").alias("full"))
+    return ordered.mapInArrow(run, "node long, component long").distinct()
+
+
+def _cross(asks: DataFrame, labels: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between the nodes of asks(node, component) and members of those components, by full sets.
+
+    Blocks of nodes meet blocks of members; of each node and block one link is
+    enough, as the members are connected already.
+    """
+    members = texts.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    sizes = asks.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("askers"))
+    sizes = sizes.join(members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("holders")), "component")
+    spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asks.join(sizes, "component").select("component", spread("askers", 2).alias("i"), "node", "holders").select("component", "i", each("holders").alias("j"), F.lit(0).alias("role"), "node")
+    held_by = members.join(sizes, "component").select("component", spread("holders", 3).alias("j"), "node", "askers").select("component", each("askers").alias("i"), "j", F.lit(1).alias("role"), "node")
+    rows = asked.unionByName(held_by).join(texts, "node")
+    ordered = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        words, group, queries, held = _Words(), None, [], None
+        for batch in batches:
+            found = []
+            for component, i, j, role, node, text in zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "role", "node")), utf8(batch.column("text")), strict=True):
+                if (component, i, j) != group:
+                    group, queries, held = (component, i, j), [], None
+                own = shingle_set(text, words)
+                if role == 0:
+                    queries.append((node, own))
+                    continue
+                if held is None:
+                    if not queries:
+                        continue
+                    lengths = np.array([len(q[1]) for q in queries])
+                    held = np.array([q[0] for q in queries]), np.concatenate([q[1] for q in queries]), lengths, np.cumsum(lengths) - lengths, np.ones(len(queries), dtype=bool)
+                nodes, run_, lengths, heads, open_ = held
+                if not open_.any():
+                    continue
+                at = np.minimum(np.searchsorted(own, run_), len(own) - 1)
+                common = np.add.reduceat((own[at] == run_).astype(np.int64), heads)
+                for k in np.flatnonzero(open_ & (nodes != node) & (100 * common >= percent * (lengths + len(own) - common))).tolist():
+                    open_[k] = False
+                    found.append((int(nodes[k]), node))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _texts(docs: DataFrame, involved: DataFrame) -> DataFrame:
@@ -284,20 +327,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     texts = staged(_texts(docs, involved), "texts")
     _release(spark)
     stars = buckets.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    tested = [staged(verify(_likely_pairs(stars, classes), texts), "verified")]
+    linked = staged(verify(_likely_pairs(stars, classes), texts).filter("linked").select("a", "b"), "linked")
     _release(spark)
-    partners = PARTNERS
-    while True:
-        done = reduce(DataFrame.unionByName, tested)
-        labels = staged(components(done.filter("linked").select("a", "b")), "labels")
-        proposed = staged(_rest(buckets.select("key", "node"), classes, labels, partners), "rest")
-        new = proposed.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti").select("a", "b")
-        fresh, more = new.count(), proposed.filter("full").count()
-        if fresh:
-            tested.append(staged(verify(new, texts), "verified"))
-        elif not more:
-            break
-        partners *= 4
+    labels = staged(components(linked), "labels")
+    asks = staged(_asks(buckets.select("key", "node"), classes, labels), "asks")
+    more = staged(_cross(asks, labels, texts), "linked")
+    _release(spark)
+    if more.head(1):
+        labels = staged(components(linked.unionByName(more)), "labels")
     reached = classes.select("set_hash", "node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = reached.groupBy("component").agg(F.min("rep").alias("component_id"))
     ends = reached.join(least, "component").select("set_hash", "component_id")

@@ -376,6 +376,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = No
     Texts without a repeat stay as they are; the others become their kept words,
     joined by one space, and documents of which no word is left go.
     """
+    names = docs.columns
 
     def run(batches):
         words = _Words()
@@ -389,8 +390,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = No
                 else:
                     keep.append(True)
                 texts.append(text)
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns).filter(pa.array(keep))
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
     return _with_repeats(docs, window, parts).mapInArrow(run, docs.schema)
 
