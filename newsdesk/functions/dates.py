@@ -24,7 +24,7 @@ def parse_date_claim(text: Column, loose: bool = False) -> Column:
     m, my = F.array_position(names, F.lower(F.regexp_extract(raw, month, 1))), F.regexp_extract(raw, month, 2)
     first = lambda y, mo: F.try_to_date(F.concat_ws("-", y, F.lpad(mo.cast("string"), 2, "0"), F.lit("01")))
     q_from, q_to = first(qy, q.cast("int") * 3 - 2), F.last_day(first(qy, q.cast("int") * 3))
-    exact = F.coalesce(F.try_to_date(F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2})", 1)), F.try_to_date(raw, F.lit("MMM d, yyyy")), F.try_to_date(raw, F.lit("d MMM, yyyy")), F.try_to_date(raw, F.lit("MMMM d, yyyy")))
+    exact = F.coalesce(F.try_to_date(F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2})", 1)), F.try_to_date(raw, "MMM d, yyyy"), F.try_to_date(raw, "d MMM, yyyy"), F.try_to_date(raw, "MMMM d, yyyy"))
     year = raw.rlike(r"^\d{4}$")
     precision = F.when(q != "", "quarter").when(m > 0, "month").when(year, "year").when(exact.isNotNull(), "exact").otherwise("tbd")
     start = F.when(q != "", q_from).when(m > 0, first(my, m)).when(year, first(raw, F.lit("1"))).otherwise(exact)

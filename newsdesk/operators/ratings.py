@@ -11,7 +11,7 @@ from .topk import walk_groups
 
 def vote_totals(votes: DataFrame, game: str, rating: str) -> DataFrame:
     """Votes and their mean (two decimals) per game; ratings outside 1 to 10 don't count."""
-    return votes.filter(F.col(rating).between(1, 10)).groupBy(game).agg(F.count(F.lit(1)).alias("votes"), F.round(F.avg(rating), 2).alias("mean"))
+    return votes.filter(F.col(rating).between(1, 10)).groupBy(game).agg(F.count(F.lit(1)).alias("votes"), (F.floor(F.avg(rating) * 100 + 0.5) / 100).alias("mean"))
 
 
 def critic_median(scores: DataFrame, game: str, source: str, score: str, least: int = 3) -> DataFrame:
@@ -32,7 +32,7 @@ def publication_mean(scores: DataFrame, game: str, publication: str, order: list
 def weighted_score(scores: DataFrame, game: str, score: Column, scale: Column, weight: Column, accepted: Column) -> DataFrame:
     """Weighted mean on 100 (one decimal) of accepted scores; weights are 0.1 at least, values held within 0 and 100."""
     rows = scores.filter(accepted & (scale > 0)).select(game, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score / scale * 100)).alias("_v"), F.greatest(F.lit(0.1), F.coalesce(weight, F.lit(1.0))).alias("_w"))
-    return rows.groupBy(game).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("_v") * F.col("_w")) / F.sum("_w"), 1).alias("score"))
+    return rows.groupBy(game).agg(F.count(F.lit(1)).alias("n"), (F.floor(F.sum(F.col("_v") * F.col("_w")) / F.sum("_w") * 10 + 0.5) / 10).alias("score"))
 
 
 def awards(rows: DataFrame, game: str, required: list[str], unique: list[str], listed: list[str]) -> tuple[DataFrame, DataFrame]:

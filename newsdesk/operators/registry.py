@@ -88,7 +88,7 @@ def register(candidates: DataFrame, trust: Column) -> DataFrame:
 
 def identity_violations(entities: DataFrame, entity: str, owned: dict[str, Column]) -> DataFrame:
     """(rule, key, owners) of values that more than one entity owns; ``owned``: rule to an array column."""
-    parts = [entities.select(F.lit(rule).alias("rule"), F.explode(F.array_distinct(values)).cast("string").alias("key"), entity) for rule, values in owned.items()]
+    parts = [entities.select(F.lit(rule).alias("rule"), F.explode(F.array_distinct(values)).alias("key"), entity).withColumn("key", F.col("key").cast("string")) for rule, values in owned.items()]
     return reduce(DataFrame.unionByName, parts).groupBy("rule", "key").agg(F.count_distinct(entity).alias("owners")).filter("owners > 1")
 
 

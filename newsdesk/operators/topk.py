@@ -25,7 +25,7 @@ def walk_groups(df: DataFrame, key: str, columns: list[str], walk: Callable[[lis
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return df.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("g")).select("g").mapInArrow(run, schema)
+    return df.groupBy(F.col(key).alias("_k")).agg(F.collect_list(F.struct(*columns)).alias("g")).select("g").mapInArrow(run, schema)
 
 
 def top(df: DataFrame, order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -77,7 +77,7 @@ def greedy_dates(df: DataFrame, key: str, dates: str, rank: str, per_day: int, p
         return taken
 
     kinds = dict(rows.dtypes)
-    kept = walk_groups(named, "g", ["k", "d", "r"], walk, f"k {kinds['k']}, r {kinds['r']}")
+    kept = walk_groups(named.withColumnRenamed("g", "part"), "part", ["k", "d", "r"], walk, f"k {kinds['k']}, r {kinds['r']}")
     kept = kept if pool is None else kept.orderBy("r", "k").limit(pool)
     return kept.select(F.col("k").alias(key), F.col("r").alias(rank))
 

@@ -1,6 +1,6 @@
 """Queries over the given tables: operators bound to columns, each with the SQL that gives the same rows."""
 
-from . import ranking
+from . import content, ranking, records
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ranking"]
+__all__ = ["ORACLES", "QUERIES", "content", "ranking", "records"]
