@@ -80,25 +80,25 @@ def _united(rows: DataFrame, held) -> DataFrame:
         windows = held.value
         for batch in batches:
             masks, items = [], []
-            for t, old, known in zip(utf8(batch.column("text")), batch.column("mask").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            for t, old, known in zip(utf8(batch.column("text")), batch.column("_bench_mask").to_pylist(), batch.column("_bench_items").to_pylist(), strict=True):
                 mask, found = windows.scan(folded_words(t))
                 masks.append((mask | np.frombuffer(old, dtype=bool) if old else mask).tobytes())
                 items.append(sorted(found.union(known or ())))
-            changed = {"mask": pa.array(masks, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))}
+            changed = {"_bench_mask": pa.array(masks, pa.binary()), "_bench_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([changed.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with ``mask`` (binary, a byte for each word: 1 if a benchmark window covers it) and ``items`` (sorted ids).
+    """docs with ``_bench_mask`` (binary, a byte for each word: 1 if a benchmark window covers it) and ``_bench_items`` (sorted ids).
 
     Null and empty texts have no words.  Items without words have no window; an
     item_id counts once, however many rows carry it.  Columns of docs that have
     the new names are replaced.  A benchmark beyond ``broadcast_bytes`` is dealt
     with in parts, with a written table between them.
     """
-    rows = docs.drop("mask", "items").withColumns({"mask": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
+    rows = docs.drop("_bench_mask", "_bench_items").withColumns({"_bench_mask": F.lit(None).cast("binary"), "_bench_items": F.lit(None).cast("array<string>")})
     parts = _parts(benchmark, "item_id", "text", broadcast_bytes)
     for k, part in enumerate(parts):
         rows = _united(staged(rows, "decontaminate") if k else rows, _windows(part, window))
@@ -110,20 +110,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
 
     def make():
         def each(batch):
-            masks = [np.frombuffer(m, dtype=bool) for m in batch.column("mask").to_pylist()]
-            items = batch.column("items").to_pylist()
+            masks = [np.frombuffer(m, dtype=bool) for m in batch.column("_bench_mask").to_pylist()]
+            items = batch.column("_bench_items").to_pylist()
             hits = [int(m.sum()) for m in masks]
             return [batch.column("doc_id"), [len(m) for m in masks], hits, [len(x) for x in items], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], [h > 0 for h in hits]]
 
         return each
 
     marked = mark(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, broadcast_bytes)
-    return map_batches(marked.select("doc_id", "mask", "items"), make, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_batches(marked.select("doc_id", "_bench_mask", "_bench_items"), make, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def reject(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, columns unchanged, without the documents that hold a benchmark window."""
-    return mark(docs, benchmark, window).filter(F.size("items") == 0).select(docs.columns)
+    return mark(docs, benchmark, window).filter(F.size("_bench_items") == 0).select(docs.columns)
 
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -148,7 +148,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     def run(batches):
         for batch in batches:
-            texts = [t if t is None or not any(m) else _without(t, np.frombuffer(m, dtype=bool)) for t, m in zip(utf8(batch.column("text")), batch.column("mask").to_pylist(), strict=True)]
+            texts = [t if t is None or not any(m) else _without(t, np.frombuffer(m, dtype=bool)) for t, m in zip(utf8(batch.column("text")), batch.column("_bench_mask").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
     return marked.mapInArrow(run, docs.schema)

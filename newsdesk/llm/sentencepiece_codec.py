@@ -14,6 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import KnownTable, map_batches, slices, table, utf8
 
@@ -93,7 +94,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "tok
     column that already has the name ``ids`` is replaced.
     """
     kept = [c for c in docs.columns if c != ids]
-    spark_schema = docs.select(kept).schema.add(ids, "array<int>")
+    spark_schema = docs.select(kept).schema.add(ids, ArrayType(IntegerType()))
 
     def run(batches):
         import pyarrow as pa

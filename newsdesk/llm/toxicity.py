@@ -330,18 +330,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     return Scorer(weights, _innocent(sampled, weights), model)
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs with a column ``score`` (0 to 1), replacing one of that name; null and empty texts get the score of no hit."""
+def score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
+    """docs with a score from 0 to 1 in column ``name``, replacing one of that name; null and empty texts get the score of no hit."""
     held = docs.sparkSession.sparkContext.broadcast(scorer)
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c != name]
 
     def run(batches):
         own = held.value
         for batch in batches:
             x = np.array([own.features(t) for t in utf8(batch.column("text"))]).reshape(-1, 7)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(own.score(x), pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(own.score(x), pa.float64())], [*kept, name])
 
-    return docs.select(kept).mapInArrow(run, docs.select(kept).schema.add("score", "double"))
+    return docs.select(kept).mapInArrow(run, docs.select(kept).schema.add(name, "double"))
 
 
 def in_training(doc_id: str = "doc_id") -> F.Column:
@@ -351,8 +351,8 @@ def in_training(doc_id: str = "doc_id") -> F.Column:
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, columns unchanged, without those that score ``threshold`` or more."""
-    scored = score(docs, fit(docs, labels.filter(in_training())))
-    return scored.filter(F.col("score") < threshold).select(docs.columns)
+    scored = score(docs, fit(docs, labels.filter(in_training())), "_toxicity")
+    return scored.filter(F.col("_toxicity") < threshold).select(docs.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
