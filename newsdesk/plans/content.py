@@ -255,10 +255,10 @@ def similar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part WHERE contains(lower(p_name || ' ' || p_type), 'steel') AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#33') AND p_size >= 10 AND p_size <= 40 ORDER BY p_retailprice DESC, p_partkey LIMIT 50"""
+    """SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part WHERE contains(lower(p_name || ' ' || p_type), 'bolt') AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#3') AND p_size >= 10 AND p_size <= 40 ORDER BY p_retailprice DESC, p_partkey LIMIT 50"""
 )
 def facet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.search(table(spark, sf_dir, "part"), ["p_name", "p_type"], "steel", {"p_brand": ["Brand#11", "Brand#22", "Brand#33"]}, {"p_size": (10, 40)}, [F.desc("p_retailprice"), F.col("p_partkey")], 50)
+    return C.search(table(spark, sf_dir, "part"), ["p_name", "p_type"], "bolt", {"p_brand": ["Brand#11", "Brand#22", "Brand#3"]}, {"p_size": (10, 40)}, [F.desc("p_retailprice"), F.col("p_partkey")], 50)
 
 
 @query("""SELECT label, count(p_partkey) AS n FROM (SELECT unnest(['Brand#11', 'Brand#12', 'Brand#99']) AS label) LEFT JOIN part ON p_brand = label GROUP BY 1""")
