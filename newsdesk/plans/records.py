@@ -345,3 +345,103 @@ def calendar_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notability(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("event_id % 25 = 0").groupBy("user_id").agg(F.count_distinct("event_type").alias("sources"), F.count_distinct(F.col("event_id") % 3).alias("sites"), F.sum("value").alias("momentum"))
     return Z.notability(e.withColumn("mentions", F.col("sources")).withColumn("niche", F.col("user_id") % 2 == 0)).select("user_id", "notability")
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey AS game, l_partkey AS name, l_suppkey AS url FROM lineitem WHERE l_returnflag <> 'N') SELECT game, count(DISTINCT (name, url)) AS n FROM a GROUP BY 1"""
+)
+def sourced_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.ratings import awards
+
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game"), F.col("l_partkey").alias("name"), F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")).alias("url"))
+    return awards(li, "game", ["name", "url"], ["name", "url"], ["name", "url"])[0].select("game", "n")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN CAST(p_size AS BIGINT) WHEN k = 1 THEN e END AS base, CASE WHEN p_size % 4 = 0 THEN 'attached' WHEN k = 1 THEN 'attached' WHEN k > 1 THEN 'error' ELSE 'review' END AS outcome
+FROM part LEFT JOIN (SELECT p_name AS n, count(*) AS k, min(p_partkey) AS e FROM part WHERE p_partkey <= 60 GROUP BY 1) ON p_name = n"""
+)
+def attached_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    variants = p.select("p_partkey", F.col("p_name").alias("alias"), F.when(F.col("p_size") % 4 == 0, F.col("p_size").cast("long")).alias("base_hint"))
+    return G.attach_variants(variants, p.filter("p_partkey <= 60").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("alias")), "p_partkey")
+
+
+@query(
+    """WITH a AS (SELECT p_name AS k, count(*) AS n FROM part WHERE p_partkey % 5 = 0 GROUP BY 1) SELECT CASE WHEN n = 1 THEN 'name' WHEN n > 1 THEN 'ambiguous-name' ELSE 'unresolved' END AS status, count(*) AS n FROM (SELECT a.n FROM part LEFT JOIN a ON p_name = k) GROUP BY 1"""
+)
+def attached_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    names = p.filter("p_partkey % 5 = 0").select(F.col("p_name").alias("k"), F.col("p_partkey").alias("entity"))
+    return G.attach_articles(p, [("name", "p_name", names)], "p_partkey")
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS date, 's' || l_suppkey AS source FROM lineitem WHERE l_linenumber <= 3), c AS (SELECT o_orderkey AS l_orderkey, CAST(o_orderdate AS DATE) + 30 AS date, 'claim' AS source FROM orders)
+SELECT l_orderkey, date, list_sort(list_distinct(list(source))) AS source_ids FROM (SELECT * FROM e UNION ALL SELECT * FROM c) GROUP BY 1, 2"""
+)
+def claimed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day, src = F.to_date("l_shipdate"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    e = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select("l_orderkey", day.alias("date"), day.alias("date_start"), day.alias("date_end"), F.lit("exact").alias("precision"), F.lit("worldwide").alias("region"), F.array(F.lit("PC")).alias("platforms"), F.array(src).alias("source_ids"), F.lit(0.5).alias("confidence"), F.create_map(F.lit("PC"), F.array(src)).alias("confirmations"))
+    c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_add(F.to_date("o_orderdate"), 30).alias("date"), F.array(F.lit("PC")).alias("platforms"), F.lit("claim").alias("source_id"))
+    return Z.join_claims(e, c, "l_orderkey").select("l_orderkey", "date", "source_ids")
+
+
+@query(
+    """SELECT o_orderkey, (CASE WHEN o_totalprice > 100000 THEN 3.0 ELSE 0 END + CASE WHEN o_orderpriority LIKE '1%' THEN 2.0 ELSE 0 END)::DOUBLE AS quality, array_to_string(list_filter([CASE WHEN o_orderstatus = 'P' THEN 'status' END, CASE WHEN o_totalprice < 5000 THEN 'price' END], lambda x: x IS NOT NULL), ',') AS blocked_by, NOT (o_orderstatus = 'P' OR o_totalprice < 5000) AS shown FROM orders"""
+)
+def home_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    out = Z.home_quality(o, {"dear": (F.col("o_totalprice") > 100000, 3.0), "urgent": (F.col("o_orderpriority").startswith("1"), 2.0)}, {"status": F.col("o_orderstatus") == "P", "price": F.col("o_totalprice") < 5000})
+    return out.select("o_orderkey", "quality", "blocked_by", "shown")
+
+
+@query(
+    """WITH s AS (SELECT o_orderstatus AS channel, o_orderkey, o_orderdate AS finished_at, o_orderkey % 2 = 0 AS same FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+p AS (SELECT o_orderstatus AS channel, count(*) AS publications FROM orders WHERE o_orderkey % 100 = 0 GROUP BY 1)
+SELECT channel, coalesce(publications, 0) AS publications, publications IS NOT NULL AND coalesce(same AND finished_at BETWEEN TIMESTAMP '2001-01-01' AND TIMESTAMP '2001-03-01', false) AS ready FROM p FULL JOIN s USING (channel)"""
+)
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("channel", F.col("o_orderstatus"))
+    pub = o.filter("o_orderkey % 100 = 0").select("channel", F.lit("published").alias("status"))
+    last = o.groupBy("channel").agg(F.max_by(F.struct("o_orderkey", "o_orderdate"), F.struct("o_orderdate", "o_orderkey")).alias("r"))
+    syncs = last.select("channel", F.col("r.o_orderdate").alias("finished_at"), F.lit("exact").alias("status"), F.lit("d").alias("source_digest"), F.when(F.col("r.o_orderkey") % 2 == 0, "d").otherwise("e").alias("ledger_digest"), F.lit(1).alias("source_items"), F.lit(1).alias("ledger_items"))
+    return L.readiness(pub, syncs, "channel", F.lit("2001-03-01").cast("timestamp_ntz"), 59 * 24 * 60)
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey AS cluster, count(DISTINCT l_suppkey) AS m, max(l_linenumber) AS d, max(l_quantity) * 10 AS t, l_orderkey % 3 = 0 AS official, CASE WHEN l_orderkey % 10 = 0 THEN false END AS declared FROM lineitem GROUP BY 1)
+SELECT cluster, coalesce(declared, CASE WHEN official THEN m >= 1 OR d >= 2 OR t >= 300 ELSE m >= 2 OR d >= 3 OR t >= 450 END) AS global_visible, cluster % 2 = 0 AS region_visible FROM e"""
+)
+def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.events import visibility as op
+
+    k = F.col("cluster")
+    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cluster")).agg(F.count_distinct("l_suppkey").alias("media_sources"), F.max("l_linenumber").alias("mentions"), (F.max("l_quantity") * 10).alias("trend"))
+    e = e.withColumns({"global_score": F.lit(0.0), "official": k % 3 == 0, "declared": F.when(k % 10 == 0, False), "regional_eligible": k % 2 == 0, "regions": F.array(F.lit("eu"))})
+    return op(e, "eu").select("cluster", "global_visible", "region_visible")
+
+
+@query(
+    """WITH m AS (SELECT p_brand AS cluster, p_partkey, list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type]) AS t FROM part WHERE p_partkey % 4 = 0), s AS (SELECT p_partkey AS signal, list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type]) AS t, p_size AS score, p_size % 7 AS comments FROM part WHERE p_partkey % 25 = 1),
+n AS (SELECT cluster, signal, max(len(list_intersect(m.t, s.t)) / least(len(m.t), len(s.t))) AS sim, any_value(score) AS score, any_value(comments) AS comments FROM m, s GROUP BY 1, 2)
+SELECT cluster, count(*) AS mentions, CAST(floor(sum(8 * log10(score + 1)) + sum(10 * log10(comments + 1)) + 0.5) AS BIGINT) AS momentum FROM n WHERE sim >= 0.55 GROUP BY 1"""
+)
+def discussion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.events import discussion as op
+
+    part = lambda i: F.split_part(F.col("p_name"), F.lit(" "), F.lit(i))
+    p = table(spark, sf_dir, "part").withColumn("tokens", F.array_distinct(F.array(part(1), part(2), "p_type")))
+    signals = p.filter("p_partkey % 25 = 1").select(F.col("p_partkey").alias("signal"), "tokens", F.col("p_size").alias("score"), (F.col("p_size") % 7).alias("comments"))
+    return op(p.filter("p_partkey % 4 = 0").select(F.col("p_brand").alias("cluster"), "tokens"), signals, "cluster", "tokens")
+
+
+@query(
+    """WITH i AS (SELECT DISTINCT l_orderkey, 'p' || l_partkey AS x FROM lineitem WHERE l_orderkey % 50 < 2), e AS (SELECT 'p' || p_partkey AS x, p_partkey AS entity FROM part WHERE p_partkey % 3 = 0), b AS (SELECT DISTINCT l_orderkey, entity FROM i JOIN e USING (x))
+SELECT l_orderkey, entity, 'id' AS how FROM b UNION ALL SELECT o_orderkey, p_partkey, 'title' FROM orders JOIN part ON 'part ' || p_partkey = 'part ' || o_custkey WHERE o_orderkey % 50 < 2 AND p_partkey % 3 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM b) AND o_orderkey IN (SELECT l_orderkey FROM i)"""
+)
+def id_or_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 < 2").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("ids"))
+    items = li.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("part "), F.col("o_custkey").cast("string")).alias("title")), "l_orderkey")
+    e = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("entity"), F.array(F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).alias("ids"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("title"))
+    return K.id_or_title(items, e, "l_orderkey", "ids", "title", "entity")
