@@ -10,7 +10,7 @@ from ..functions.dates import age_hours
 
 def discussion(members: DataFrame, signals: DataFrame, cluster: str, tokens: str, threshold: float = 0.55) -> DataFrame:
     """Per cluster: mentions and momentum of signals(signal, tokens, score, comments) similar to one of its members."""
-    a = members.select(cluster, F.monotonically_increasing_id().alias("_m"), F.size(tokens).alias("na"), F.explode(tokens).alias("t"))
+    a = members.select(cluster, F.xxhash64(tokens).alias("_m"), F.size(tokens).alias("na"), F.explode(tokens).alias("t"))
     b = signals.select("signal", F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
     pairs = a.join(b, "t").groupBy(cluster, "_m", "signal").agg((F.count_distinct("t") / F.least(F.max("na"), F.max("nb"))).alias("s"))
     near = pairs.groupBy(cluster, "signal").agg(F.max("s").alias("s")).filter(F.col("s") >= threshold)
