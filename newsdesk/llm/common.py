@@ -49,15 +49,6 @@ def staged(df: DataFrame, name: str = "stage", codec: str = "zstd") -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Deletes the files of a staged table that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list | pa.RecordBatch | None]], schema: str) -> DataFrame:
     """df through a function of Arrow batches.
 
@@ -93,22 +84,6 @@ def folded_words(text: bytes | None) -> list[bytes]:
     return text.translate(ALNUM_FOLD).split() if text else []
 
 
-def word_hashes(words: list[bytes], cache: dict[bytes, int], limit: int = 1 << 18) -> np.ndarray:
-    """A 64-bit hash of each word.  The cache only saves time and is emptied when full."""
-    from xxhash import xxh3_64_intdigest
-
-    out = np.empty(len(words), dtype=np.uint64)
-    get = cache.get
-    for i, w in enumerate(words):
-        h = get(w)
-        if h is None:
-            if len(cache) >= limit:
-                cache.clear()
-            h = cache[w] = xxh3_64_intdigest(w)
-        out[i] = h
-    return out
-
-
 class KnownTable:
     """Values of keys that are computed in batches when first met.
 

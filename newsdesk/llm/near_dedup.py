@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, map_batches, mix64, staged, table, utf8, window_hashes
+from .common import ASCII_LOWER, map_batches, staged, table, utf8, window_hashes
 from .substring_dedup import _release, _Words
 
 #: Words in a shingle, and the similarity in hundredths from which documents are linked.

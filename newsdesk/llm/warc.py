@@ -110,7 +110,7 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     return narrow.join(kept, ["sha1", "n"]).filter("page_id <> refers_to").select("page_id", "sha1", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, partitions: int | None = None, date: str = DATE) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, date: str = DATE) -> DataFrame:
     """Writes pages(page_id, url, html) as .warc.gz files below ``path``; returns the committed manifest.
 
     A null html is an empty payload.  Rows with the largest page_id of a group are
