@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +38,12 @@ WINDOW = 13
 #: Words that a task gathers before it sends their hashes.
 BUFFER_WORDS = 1 << 20
 #: Bytes of text for each hash partition.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 12 << 20
 #: Distinct words whose hashes a task keeps; emptied when full.
 WORD_TABLE = 1 << 18
 
-_BLOBS = "p int, ids binary, subs binary, lengths binary, low binary, high binary, hashes binary"
+_BLOBS = "p int, buffer long, ids binary, subs binary, lengths binary, low binary, high binary, hashes binary"
+_REPLIES = "buffer long, ids binary, subs binary, lengths binary, at binary"
 _SPOTS = "doc_id long, sub long, at array<int>"
 
 
@@ -88,55 +90,57 @@ class _Buffer:
         return ids, lengths, run, starts, doc[starts], at[starts]
 
 
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, firsts): an order by the keys, the first most significant, and where each run of equal keys begins in it."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    change = np.zeros(len(order), dtype=bool)
-    if len(order):
-        change[0] = True
-        for k in keys:
-            s = k[order]
-            change[1:] |= s[1:] != s[:-1]
-    return order, np.flatnonzero(change)
+def _packed(starts: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending places as gaps in two byte planes."""
+    gaps = np.diff(starts, prepend=0)
+    wide = np.minimum(gaps, 0xFFFF).astype(np.uint16)
+    far = np.flatnonzero(gaps >= 0xFFFF)  # rare: their gaps follow the high plane as they are
+    return (wide & 0xFF).astype(np.uint8).tobytes(), (wide >> 8).astype(np.uint8).tobytes() + gaps[far].astype("<i8").tobytes()
 
 
-def _blobs(buffer: _Buffer, lengths: np.ndarray, starts: np.ndarray, hashes: np.ndarray, part: np.ndarray, width: str, parts: int) -> Iterator[tuple]:
-    """Rows of _BLOBS: the entries at ``starts`` (ascending), dealt by ``part``, places as gaps of two byte planes."""
+def _unpacked(low: bytes, high: bytes) -> np.ndarray:
+    small = np.frombuffer(low, np.uint8)
+    gaps = small.astype(np.int64) | np.frombuffer(high[: len(small)], np.uint8).astype(np.int64) << 8
+    gaps[gaps == 0xFFFF] = np.frombuffer(high[len(small) :], "<i8")
+    return np.cumsum(gaps)
+
+
+def _blobs(buffer: _Buffer, lengths: np.ndarray, starts: np.ndarray, hashes: np.ndarray, part: np.ndarray, kind: str, parts: int) -> Iterator[tuple]:
+    """Rows of _BLOBS (but for the buffer's number): the entries at ``starts`` (ascending), dealt by ``part``."""
     order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
-    head = np.array(buffer.ids, dtype="<i8").tobytes(), np.array(buffer.subs, dtype="<u4").tobytes(), lengths.astype("<u4").tobytes()
+    ids, sizes = np.array(buffer.ids, dtype="<i8").tobytes(), lengths.astype("<u4").tobytes()
     for p in np.flatnonzero(np.diff(edges)).tolist():
         own = order[edges[p] : edges[p + 1]]
-        gaps = np.diff(starts[own], prepend=0)
-        wide = np.minimum(gaps, 0xFFFF).astype(np.uint16)
-        far = np.flatnonzero(gaps >= 0xFFFF)  # rare: their gaps follow the high plane as they are
-        yield (p, *head, (wide & 0xFF).astype(np.uint8).tobytes(), (wide >> 8).astype(np.uint8).tobytes() + gaps[far].astype("<i8").tobytes(), hashes[own].astype(width).tobytes())
+        yield (p, ids, None, sizes, *_packed(starts[own]), hashes[own].astype(kind).tobytes())
 
 
-def _unpack(row: dict, width: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, subs, document of each entry, place in it, hash) of a blob."""
-    ids, subs, lengths = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["subs"], "<u4"), np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-    low = np.frombuffer(row["low"], np.uint8)
-    gaps = low.astype(np.int64) | np.frombuffer(row["high"][: len(low)], np.uint8).astype(np.int64) << 8
-    gaps[gaps == 0xFFFF] = np.frombuffer(row["high"][len(low) :], "<i8")
-    starts = np.cumsum(gaps)
+def _direct(buffer: _Buffer, lengths: np.ndarray, starts: np.ndarray, p: int) -> tuple:
+    """The row of _BLOBS that names a buffer's documents, with the places that need no partition's answer."""
+    return (p, np.array(buffer.ids, dtype="<i8").tobytes(), np.array(buffer.subs, dtype="<u4").tobytes(), lengths.astype("<u4").tobytes(), *_packed(starts), None)
+
+
+def _unpack(row: dict, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document id, place in the document, place in the buffer, hash) of each entry of a blob."""
+    lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+    starts = _unpacked(row["low"], row["high"])
     begins = np.cumsum(lengths) - lengths
     doc = np.searchsorted(begins, starts, side="right") - 1
-    return ids, subs, doc, (starts - begins[doc]).astype(np.int32), np.frombuffer(row["hashes"], width)
+    return np.frombuffer(row["ids"], "<i8")[doc], (starts - begins[doc]).astype(np.int32), starts.astype("<u4"), np.frombuffer(row["hashes"], kind)
 
 
-def _spots(ids: np.ndarray, subs: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Rows of _SPOTS for places ``at`` of documents ``doc`` (ascending)."""
+def _spots(row: dict) -> pa.RecordBatch | None:
+    """Rows of _SPOTS for a buffer: documents with the places that are answered yes."""
+    starts = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in row["at"]]).astype(np.int64))
+    if not len(starts):
+        return None
+    ids, subs, lengths = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["subs"], "<u4"), np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+    begins = np.cumsum(lengths) - lengths
+    doc = np.searchsorted(begins, starts, side="right") - 1
     docs, firsts = np.unique(doc, return_index=True)
     offsets = np.append(firsts, len(doc)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(ids[docs]), pa.array(subs[docs].astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(at.astype(np.int32)))], ["doc_id", "sub", "at"])
-
-
-def _direct(buffer: _Buffer, lengths: np.ndarray, doc: np.ndarray, at: np.ndarray, p: int) -> Iterator[tuple]:
-    """A row of _BLOBS without hashes: places that need no partition's answer."""
-    if len(doc):
-        begins = np.cumsum(lengths) - lengths
-        yield from ((p, *rest, None) for _, *rest, _ in _blobs(buffer, lengths, begins[doc] + at, np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.int64), "<u4", 1))
+    at = pa.ListArray.from_arrays(pa.array(offsets), pa.array((starts - begins[doc]).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[docs]), pa.array(subs[docs].astype(np.int64)), at], ["doc_id", "sub", "at"])
 
 
 def anchor_entries(buffer: _Buffer, block: int, parts: int, turn: int) -> Iterator[tuple]:
@@ -170,8 +174,7 @@ def anchor_entries(buffer: _Buffer, block: int, parts: int, turn: int) -> Iterat
     keep = np.sort(order[send])
     part = (mix64(h[keep]) >> np.uint64(40)).astype(np.int64) % parts
     yield from _blobs(buffer, lengths, starts[keep], h[keep] & np.uint64(0xFFFFFFFF), part, "<u4", parts)
-    own = np.sort(order[direct])
-    yield from _direct(buffer, lengths, doc[own], at[own], turn % parts)
+    yield _direct(buffer, lengths, starts[np.sort(order[direct])], turn % parts)
 
 
 def window_entries(buffer: _Buffer, width: int, parts: int, turn: int) -> Iterator[tuple]:
@@ -202,34 +205,34 @@ def window_entries(buffer: _Buffer, width: int, parts: int, turn: int) -> Iterat
     second = window_hashes(mix64(run ^ np.uint64(0xA5A5A5A5A5A5A5A5)), width)[starts[sent]]
     part = (second >> np.uint64(20)).astype(np.int64) % parts
     yield from _blobs(buffer, lengths, starts[sent], h[sent], part, "<u8", parts)
-    own = np.sort(order[direct & ~again])
-    yield from _direct(buffer, lengths, doc[own], at[own], turn % parts)
+    yield _direct(buffer, lengths, starts[np.sort(order[direct & ~again])], turn % parts)
+
 
+def _extremes(ids: np.ndarray, h: np.ndarray, tied: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by hash, smallest id of the hash among the tied entries, largest id of all) for each place of that order."""
+    order = np.argsort(h, kind="stable")
+    hs = h[order]
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = hs[1:] != hs[:-1]
+    heads = np.flatnonzero(first)
+    sizes = np.diff(np.append(heads, len(order)))
+    i = ids[order]
+    least = np.minimum.reduceat(i if tied is None else np.where(tied[order], i, np.iinfo(np.int64).max), heads)
+    return order, np.repeat(least, sizes), np.repeat(np.maximum.reduceat(i, heads), sizes)
 
-def anchor_answers(entries: list[tuple], block: int) -> np.ndarray:
+
+def anchor_answers(ids: np.ndarray, at: np.ndarray, h: np.ndarray, block: int) -> np.ndarray:
     """Step 1, receiving side: mask of entries that meet a block of a smaller document, or are a block that a larger one meets."""
-    ids = np.concatenate([e[0][e[2]] for e in entries])
-    at = np.concatenate([e[3] for e in entries])
-    h = np.concatenate([e[4] for e in entries])
-    order, heads = _groups(h)
-    group = np.zeros(len(order), dtype=np.int64)
-    group[heads] = 1
-    group = np.cumsum(group) - 1
-    i, tied = ids[order], at[order] % block == 0
-    least = np.minimum.reduceat(np.where(tied, i, np.iinfo(np.int64).max), heads)[group]
-    most = np.maximum.reduceat(i, heads)[group]
+    tied = at % block == 0
+    order, least, most = _extremes(ids, h, tied)
     out = np.zeros(len(order), dtype=bool)
-    out[order] = (i > least) | (tied & (i < most))
+    out[order] = (ids[order] > least) | (tied[order] & (ids[order] < most))
     return out
 
 
-def window_answers(entries: list[tuple], _: int) -> np.ndarray:
+def window_answers(ids: np.ndarray, at: np.ndarray, h: np.ndarray, _: int) -> np.ndarray:
     """Step 2, receiving side: mask of entries whose window also starts in a smaller document."""
-    ids = np.concatenate([e[0][e[2]] for e in entries])
-    order, heads = _groups(np.concatenate([e[4] for e in entries]))
-    group = np.zeros(len(order), dtype=np.int64)
-    group[heads] = 1
-    least = np.minimum.reduceat(ids[order], heads)[np.cumsum(group) - 1]
+    order, least, _ = _extremes(ids, h, None)
     out = np.zeros(len(order), dtype=bool)
     out[order] = ids[order] > least
     return out
@@ -238,47 +241,64 @@ def window_answers(entries: list[tuple], _: int) -> np.ndarray:
 def _exchange(rows: DataFrame, load: Callable, entries: Callable, answers: Callable, width: int, kind: str, parts: int) -> DataFrame:
     """Sends hashes of rows to partitions and returns the places (_SPOTS) that are answered yes, written as a table."""
     names = [c.split()[0] for c in _BLOBS.split(", ")]
-    kinds = [pa.int32(), *[pa.binary()] * 6]
-
-    def batch_of(blobs: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blobs, strict=True), kinds, strict=True)], names)
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+    reply_names = [c.split()[0] for c in _REPLIES.split(", ")]
 
     def send(batches):
         words, buffer, turn = _Words(), _Buffer(), 0
+
+        def close():
+            number = TaskContext.get().partitionId() << 32 | turn
+            rows_ = [(p, number, *rest) for p, *rest in entries(buffer, width, parts, turn)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows_, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
             for item in load(batch, words):
                 buffer.add(*item)
                 if buffer.words >= BUFFER_WORDS:
-                    yield batch_of(list(entries(buffer, width, parts, turn)))
+                    yield close()
                     buffer, turn = _Buffer(), turn + 1
-        if buffer.words and (blobs := list(entries(buffer, width, parts, turn))):
-            yield batch_of(blobs)
+        if buffer.words:
+            yield close()
 
     def answer(batches):
-        p, held = None, []
+        p, held, numbers = None, [], []
+
+        def reply(*row):
+            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], reply_names)
 
         def close():
             if held:
-                mask, at = answers(held, width), 0
-                for ids, subs, doc, place, h in held:
-                    yes = mask[at : at + len(h)]
-                    at += len(h)
-                    if yes.any():
-                        yield _spots(ids, subs, doc[yes], place[yes])
+                ids, at, _, h = (np.concatenate(x) for x in zip(*held, strict=True))
+                mask, i = answers(ids, at, h, width), 0
+                for number, (_, _, starts, _) in zip(numbers, held, strict=True):
+                    yes = starts[mask[i : i + len(starts)]]
+                    i += len(starts)
+                    if len(yes):
+                        yield reply(number, None, None, None, yes.tobytes())
 
         for batch in batches:
             for row in batch.to_pylist():
                 if row["p"] != p:
                     yield from close()
-                    p, held = row["p"], []
+                    p, held, numbers = row["p"], [], []
                 if row["hashes"] is None:
-                    ids, subs, doc, place, _ = _unpack(row | {"hashes": b""}, kind)
-                    yield _spots(ids, subs, doc, place)
+                    yield reply(row["buffer"], row["ids"], row["subs"], row["lengths"], _unpacked(row["low"], row["high"]).astype("<u4").tobytes())
                 else:
                     held.append(_unpack(row, kind))
+                    numbers.append(row["buffer"])
         yield from close()
 
-    spots = rows.mapInArrow(send, _BLOBS).repartition(parts, "p").sortWithinPartitions("p").mapInArrow(answer, _SPOTS)
+    def tell(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (found := _spots(row)) is not None:
+                    yield found
+
+    replies = rows.mapInArrow(send, _BLOBS).repartition(parts, "p").sortWithinPartitions("p").mapInArrow(answer, _REPLIES)
+    # A buffer has a reply from each partition at most, and its words bound their size.
+    buffers = replies.groupBy("buffer").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("ids", "subs", "lengths")), F.collect_list("at").alias("at"))
+    spots = buffers.mapInArrow(tell, _SPOTS)
     out = staged(spots, "spots")
     _release(rows.sparkSession)
     return out
@@ -305,6 +325,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
 
     A start stands for all places of the same words in its text.  Rows without
     doc_id or text have none; rows with one doc_id don't count against each other.
+    docs should come from a table, whose rows have the same order when read again.
     """
     block = window // 2 + 1
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("sub", _sub())
@@ -327,7 +348,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
                 yield doc_id, sub, h, more
 
     anchors = _exchange(texts, load, anchor_entries, anchor_answers, block, "<u4", parts)
-    around = texts.join(_gathered(anchors, "hits").hint("shuffle_hash"), ["doc_id", "sub"])
+    # In a fixed order, so that a task that runs again fills its buffers alike.
+    around = texts.join(_gathered(anchors, "hits").hint("shuffle_hash"), ["doc_id", "sub"]).sortWithinPartitions("doc_id", "sub", "text")
     return _exchange(around, load_hits, window_entries, window_answers, window, "<u8", parts)
 
 
