@@ -29,7 +29,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Token ids in a segment, at which it is closed after the document at hand.
 SEGMENT_TOKENS = 1 << 19
 #: Chunks of each of the two generations of a worker's table.
-TABLE_SIZE = 500_000
+TABLE_SIZE = 700_000
 #: Separates documents.
 END_ID = 0
 
@@ -120,6 +120,10 @@ class WaveletMatrix:
 #: A space before a character that is surely not white space: here a byte-level BPE always begins a new pre-token, as
 #: a run of white space gives its last space to the word behind it.  The lead bytes left out start some white space.
 _EDGE = re.compile(rb" (?=[!-~\xc3-\xe0\xe4-\xf4])")
+#: White space, or a byte that may begin some, or the mark below.
+_BLANK = re.compile(rb"[\x00-\x20\x7f\xc2\xe1-\xe3\xff]")
+#: Chunks that are encoded as one text.
+JOINED = 2000
 #: Marks the chunk that begins a text.
 _FIRST = b"\xff"
 _NO_EDGE = re.compile(rb" (?![!-~\xc3-\xe0\xe4-\xf4])")
@@ -140,22 +144,51 @@ class BpeEncoder:
         self.levels = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2") if self.levels <= 16 else np.dtype("<u4")
         self.table = KnownTable(self._new, TABLE_SIZE)
+        line = self.tokenizer.encode("a\n b", add_special_tokens=False).tokens
+        self.line = self.tokenizer.token_to_id(line[1]) if line == ["a", "Ċ", "Ġb"] else None
 
-    def _new(self, chunks: list[bytes]) -> list[bytes]:
-        """Packed ids of chunks; one that begins a text is marked by a byte that UTF-8 doesn't have, others lost a space."""
-        texts = [c[1:].decode() if c[:1] == _FIRST else " " + c.decode() for c in chunks]
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _new(self, chunks: list[bytes]) -> list[bytes]:
+        """Packed ids of chunks; one that begins a text is marked by a byte that UTF-8 doesn't have, others lost a space.
+
+        Chunks without white space are encoded many at a time, with a line break
+        between them: it is a pre-token and an id of its own there.
+        """
+        plain = [c for c in chunks if not _BLANK.search(c)] if self.line is not None else []
+        known: dict[bytes, bytes] = {}
+        size = self.kind.itemsize
+        for i in range(0, len(plain), JOINED):
+            own = plain[i : i + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([f" {c.decode()}\n" for c in own])], add_special_tokens=False)[0].ids, dtype=self.kind)
+            packed, at = ids.tobytes(), 0
+            ends = (np.flatnonzero(ids == self.line) * size).tolist()
+            if len(ends) != len(own):
+                raise ValueError("a line break is no id of its own in this vocabulary")
+            for c, end in zip(own, ends, strict=True):
+                known[c] = packed[at:end]
+                at = end + size
+        rest = [c for c in chunks if c not in known]
+        known.update(zip(rest, self._one_by_one([c[1:].decode() if c[:1] == _FIRST else " " + c.decode() for c in rest]), strict=True))
+        return [known[c] for c in chunks]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, packed as little-endian integers of ``kind``."""
         if self.whole:
-            return self._new([_FIRST + t for t in texts])
+            return self._one_by_one([t.decode() for t in texts])
         chunks = [_EDGE.split(t) if _NO_EDGE.search(t) else t.split(b" ") for t in texts]
         for c in chunks:
             c[0] = _FIRST + c[0]
         held = self.table.holding(set().union(*chunks))
         return [b"".join([held[c] for c in own]) for own in chunks]
 
+    def counts(self, chunks: list[bytes]) -> list[int]:
+        """Numbers of ids of chunks, each encoded on its own."""
+        keys = [c[1:] if c[:1] == b" " else _FIRST + c for c in chunks]
+        held, size = self.table.holding(set(keys)), self.kind.itemsize
+        return [len(held[k]) // size for k in keys]
+
 
 _ENCODERS: dict[tuple[str, bool], BpeEncoder] = {}
 
