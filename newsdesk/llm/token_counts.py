@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .token_store import _EDGE, TOKENIZER, BpeEncoder, bpe_encoder
+from .token_store import _EDGE, _NO_EDGE, TOKENIZER, BpeEncoder, bpe_encoder
 
 #: Chunks in a leaf when a tree is built.
 LEAF = 16
@@ -26,7 +26,7 @@ EDITS = "array<struct<at:bigint,removed:bigint,inserted:string>>"
 
 def _cut(text: bytes) -> list[bytes]:
     """A text's chunks: all but the first begin with their space."""
-    first, *more = _EDGE.split(text)
+    first, *more = _EDGE.split(text) if _NO_EDGE.search(text) else text.split(b" ")
     return [first, *(b" " + c for c in more)] if text else []
 
 
@@ -36,8 +36,9 @@ class TokenTree:
     def __init__(self, text: bytes, encoder: BpeEncoder, leaf: int = LEAF):
         self.encoder, self.encoded = encoder, 0
         chunks = _cut(text)
+        counts = encoder.counts(chunks)
         self.leaves = [chunks[i : i + leaf] for i in range(0, len(chunks), leaf)] or [[]]
-        self.counts = [self._count(own) for own in self.leaves]
+        self.counts = [counts[i : i + leaf] for i in range(0, len(chunks), leaf)] or [[]]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.bytes = [0] * (2 * self.width)
         self.tokens = [0] * (2 * self.width)
@@ -46,10 +47,6 @@ class TokenTree:
         for i in range(self.width - 1, 0, -1):
             self._sum(i)
 
-    def _count(self, chunks: list[bytes]) -> list[int]:
-        size = self.encoder.kind.itemsize
-        return [len(p) // size for p in self.encoder.encode(chunks)]
-
     def _sum(self, i: int) -> None:
         self.bytes[i] = self.bytes[2 * i] + self.bytes[2 * i + 1]
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -126,7 +123,7 @@ class TokenTree:
         # The region's first chunk keeps its own space, which is an edge already.
         lead = text[:1] == b" " and (leaf, chunk) != (0, 0)
         new = [b" " + c if lead and not i else c for i, c in enumerate(_cut(text[1:] if lead else text))] or ([text] if text else [])
-        counts = self._count(new)
+        counts = self.encoder.counts(new)
         self.encoded += len(text)
         rest, rest_counts = self.leaves[last][end:], self.counts[last][end:]
         for i in range(leaf, last + 1):
