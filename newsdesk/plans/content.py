@@ -18,7 +18,7 @@ from ..operators import releases as Z
 from ..operators import similarity as S
 from ..operators.dedup import keep_first
 from ..sources.io import page_meta
-from .registry import query, table
+from .registry import query, table, whole_sql
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 _KEY = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -221,9 +221,18 @@ SELECT DISTINCT l_orderkey, entity FROM i JOIN e USING (x)"""
 )
 def external_id_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    ids = F.collect_set(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")))
-    items = li.filter("l_orderkey % 20 = 0").groupBy("l_orderkey").agg(ids.alias("ids"))
-    return L.link_by_id(items, li.filter("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("entity")).agg(ids.alias("ids")), "l_orderkey", "ids", "entity")
+    return _external_id_link(li.filter("l_orderkey % 20 = 0"), li.filter("l_linenumber = 1"))
+
+
+def _external_id_link(items: DataFrame, entities: DataFrame) -> DataFrame:
+    ids = F.collect_set(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("ids")
+    return L.link_by_id(items.groupBy("l_orderkey").agg(ids), entities.groupBy(F.col("l_suppkey").alias("entity")).agg(ids), "l_orderkey", "ids", "entity")
+
+
+@query(whole_sql("external_id_link", " WHERE l_orderkey % 20 = 0", " WHERE l_linenumber = 1"))
+def external_id_link_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return _external_id_link(li, li)
 
 
 @query(
@@ -245,7 +254,10 @@ g AS (SELECT a, b, round(sum(round(w * overlap, 9)), 6) AS score, coalesce(strin
 SELECT a, b, score, reasons, CAST(row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS INTEGER) AS rank FROM g WHERE score >= 0.34 QUALIFY rank <= 6"""
 )
 def similar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter("p_partkey % 8 = 0")
+    return _similar_parts(table(spark, sf_dir, "part").filter("p_partkey % 8 = 0"))
+
+
+def _similar_parts(p: DataFrame) -> DataFrame:
     long = None
     for field, column in (("name", "p_name"), ("brand", "p_brand"), ("type", "p_type")):
         tokens = F.array(*(F.split_part(F.col(column), F.lit(" "), F.lit(i)) for i in range(1, 3 if field == "name" else 4))) if field != "brand" else F.array(column)
@@ -254,6 +266,11 @@ def similar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.profile_neighbours(long, {"name": (0.4, "min"), "brand": (0.25, "min"), "type": (0.35, "max")}, 0.34, 6)
 
 
+@query(whole_sql("similar_parts", " WHERE p_partkey % 8 = 0"))
+def similar_parts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similar_parts(table(spark, sf_dir, "part"))
+
+
 @query(
     """SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part WHERE contains(lower(p_name || ' ' || p_type), 'bolt') AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#3') AND p_size >= 10 AND p_size <= 40 ORDER BY p_retailprice DESC, p_partkey LIMIT 50"""
 )

@@ -12,7 +12,7 @@ from ..operators import linking as K
 from ..operators import quality as Q
 from ..operators import registry as G
 from ..operators import releases as Z
-from .registry import query, table
+from .registry import query, table, whole_sql
 
 
 def _old(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,9 +199,18 @@ w AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
 SELECT 'rank_sequence' AS rule, l_orderkey || ':' || l_linenumber AS "key", CAST(NULL AS VARCHAR) AS detail FROM w WHERE n <> l_linenumber UNION ALL SELECT 'score_order', l_orderkey || ':' || l_linenumber, NULL FROM w WHERE s < l_extendedprice"""
 )
 def rank_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rank_violations(table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3"))
+
+
+@query(whole_sql("rank_violations", " WHERE l_linenumber <= 3"))
+def rank_violations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rank_violations(table(spark, sf_dir, "lineitem"))
+
+
+def _rank_violations(lines: DataFrame) -> DataFrame:
     from ..operators.dedup import keep_first
 
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     return Q.rank_violations(keep_first(rows, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_extendedprice")]), "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
@@ -308,9 +317,19 @@ SELECT candidate, event_type AS region, CAST(max(floor(score + 0.5)) AS BIGINT)
 )
 def regional_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
+    return _regional_affinity(e.filter("event_id % 10 = 0"), e.filter("user_id % 3 = 0"))
+
+
+@query(whole_sql("regional_affinity", " WHERE event_id % 10 = 0", " WHERE user_id % 3 = 0"))
+def regional_affinity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return _regional_affinity(e, e)
+
+
+def _regional_affinity(events: DataFrame, users: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
-    rows = e.filter("event_id % 10 = 0").select(F.col("event_id").alias("event"), F.col("user_id").alias("entity"), none.alias("tokens"), F.array("event_type").alias("regions"), (F.col("event_id") % 4).alias("source"), F.floor("value").alias("score"))
-    c = e.filter("user_id % 3 = 0").select(F.col("user_id").alias("candidate")).distinct().select("candidate", F.col("candidate").alias("entity"), none.alias("tokens"))
+    rows = events.select(F.col("event_id").alias("event"), F.col("user_id").alias("entity"), none.alias("tokens"), F.array("event_type").alias("regions"), (F.col("event_id") % 4).alias("source"), F.floor("value").alias("score"))
+    c = users.select(F.col("user_id").alias("candidate")).distinct().select("candidate", F.col("candidate").alias("entity"), none.alias("tokens"))
     return K.affinity_totals(K.audience_affinity(rows, c))
 
 
@@ -343,7 +362,16 @@ def calendar_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT user_id, CASE WHEN s >= 4 THEN 'broad' WHEN s >= 3 AND m > 0 THEN 'corroborated' WHEN s >= 2 AND t >= 2 AND m >= 100 THEN 'intense' WHEN user_id % 2 = 0 AND s >= 1 THEN 'niche_franchise' ELSE 'none' END AS notability FROM (SELECT user_id, count(DISTINCT event_type) AS s, count(DISTINCT event_id % 3) AS t, sum(value) AS m FROM events WHERE event_id % 25 = 0 GROUP BY 1)"""
 )
 def notability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 25 = 0").groupBy("user_id").agg(F.count_distinct("event_type").alias("sources"), F.count_distinct(F.col("event_id") % 3).alias("sites"), F.sum("value").alias("momentum"))
+    return _notability(table(spark, sf_dir, "events").filter("event_id % 25 = 0"))
+
+
+@query(whole_sql("notability", " WHERE event_id % 25 = 0"))
+def notability_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _notability(table(spark, sf_dir, "events"))
+
+
+def _notability(events: DataFrame) -> DataFrame:
+    e = events.groupBy("user_id").agg(F.count_distinct("event_type").alias("sources"), F.count_distinct(F.col("event_id") % 3).alias("sites"), F.sum("value").alias("momentum"))
     return Z.notability(e.withColumn("mentions", F.col("sources")).withColumn("niche", F.col("user_id") % 2 == 0)).select("user_id", "notability")
 
 
@@ -363,8 +391,18 @@ FROM part LEFT JOIN (SELECT p_name AS n, count(*) AS k, min(p_partkey) AS e FROM
 )
 def attached_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
+    return _attached_variants(p, p.filter("p_partkey <= 60"))
+
+
+@query(whole_sql("attached_variants", " WHERE p_partkey <= 60"))
+def attached_variants_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return _attached_variants(p, p)
+
+
+def _attached_variants(p: DataFrame, bases: DataFrame) -> DataFrame:
     variants = p.select("p_partkey", F.col("p_name").alias("alias"), F.when(F.col("p_size") % 4 == 0, F.col("p_size").cast("long")).alias("base_hint"))
-    return G.attach_variants(variants, p.filter("p_partkey <= 60").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("alias")), "p_partkey")
+    return G.attach_variants(variants, bases.select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("alias")), "p_partkey")
 
 
 @query(
@@ -381,9 +419,18 @@ def attached_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, date, list_sort(list_distinct(list(source))) AS source_ids FROM (SELECT * FROM e UNION ALL SELECT * FROM c) GROUP BY 1, 2"""
 )
 def claimed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _claimed_events(table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3"), table(spark, sf_dir, "orders"))
+
+
+@query(whole_sql("claimed_events", " WHERE l_linenumber <= 3"))
+def claimed_events_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _claimed_events(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+
+
+def _claimed_events(lines: DataFrame, orders: DataFrame) -> DataFrame:
     day, src = F.to_date("l_shipdate"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    e = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select("l_orderkey", day.alias("date"), day.alias("date_start"), day.alias("date_end"), F.lit("exact").alias("precision"), F.lit("worldwide").alias("region"), F.array(F.lit("PC")).alias("platforms"), F.array(src).alias("source_ids"), F.lit(0.5).alias("confidence"), F.create_map(F.lit("PC"), F.array(src)).alias("confirmations"))
-    c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_add(F.to_date("o_orderdate"), 30).alias("date"), F.array(F.lit("PC")).alias("platforms"), F.lit("claim").alias("source_id"))
+    e = lines.select("l_orderkey", day.alias("date"), day.alias("date_start"), day.alias("date_end"), F.lit("exact").alias("precision"), F.lit("worldwide").alias("region"), F.array(F.lit("PC")).alias("platforms"), F.array(src).alias("source_ids"), F.lit(0.5).alias("confidence"), F.create_map(F.lit("PC"), F.array(src)).alias("confirmations"))
+    c = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.date_add(F.to_date("o_orderdate"), 30).alias("date"), F.array(F.lit("PC")).alias("platforms"), F.lit("claim").alias("source_id"))
     return Z.join_claims(e, c, "l_orderkey").select("l_orderkey", "date", "source_ids")
 
 
@@ -428,12 +475,23 @@ n AS (SELECT cluster, signal, max(len(list_intersect(m.t, s.t)) / least(len(m.t)
 SELECT cluster, count(*) AS mentions, CAST(floor(sum(8 * log10(score + 1)) + sum(10 * log10(comments + 1)) + 0.5) AS BIGINT) AS momentum FROM n WHERE sim >= 0.55 GROUP BY 1"""
 )
 def discussion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return _discussion(p.filter("p_partkey % 4 = 0"), p.filter("p_partkey % 25 = 1"))
+
+
+@query(whole_sql("discussion", " WHERE p_partkey % 4 = 0", " WHERE p_partkey % 25 = 1"))
+def discussion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return _discussion(p, p)
+
+
+def _discussion(members: DataFrame, signals: DataFrame) -> DataFrame:
     from ..operators.events import discussion as op
 
     part = lambda i: F.split_part(F.col("p_name"), F.lit(" "), F.lit(i))
-    p = table(spark, sf_dir, "part").withColumn("tokens", F.array_distinct(F.array(part(1), part(2), "p_type")))
-    signals = p.filter("p_partkey % 25 = 1").select(F.col("p_partkey").alias("signal"), "tokens", F.col("p_size").alias("score"), (F.col("p_size") % 7).alias("comments"))
-    return op(p.filter("p_partkey % 4 = 0").select(F.col("p_brand").alias("cluster"), "tokens"), signals, "cluster", "tokens")
+    tokens = F.array_distinct(F.array(part(1), part(2), "p_type")).alias("tokens")
+    signals = signals.select(F.col("p_partkey").alias("signal"), tokens, F.col("p_size").alias("score"), (F.col("p_size") % 7).alias("comments"))
+    return op(members.select(F.col("p_brand").alias("cluster"), tokens), signals, "cluster", "tokens")
 
 
 @query(
@@ -441,7 +499,16 @@ def discussion(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, entity, 'id' AS how FROM b UNION ALL SELECT o_orderkey, p_partkey, 'title' FROM orders JOIN part ON 'part ' || p_partkey = 'part ' || o_custkey WHERE o_orderkey % 50 < 2 AND p_partkey % 3 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM b) AND o_orderkey IN (SELECT l_orderkey FROM i)"""
 )
 def id_or_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 < 2").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("ids"))
-    items = li.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("part "), F.col("o_custkey").cast("string")).alias("title")), "l_orderkey")
-    e = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("entity"), F.array(F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).alias("ids"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("title"))
+    return _id_or_title(table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 < 2"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "part").filter("p_partkey % 3 = 0"))
+
+
+@query(whole_sql("id_or_title", " WHERE l_orderkey % 50 < 2", " WHERE p_partkey % 3 = 0", "o_orderkey % 50 < 2 AND p_partkey % 3 = 0 AND "))
+def id_or_title_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _id_or_title(*(table(spark, sf_dir, t) for t in ("lineitem", "orders", "part")))
+
+
+def _id_or_title(lines: DataFrame, orders: DataFrame, parts: DataFrame) -> DataFrame:
+    li = lines.groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("ids"))
+    items = li.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("part "), F.col("o_custkey").cast("string")).alias("title")), "l_orderkey")
+    e = parts.select(F.col("p_partkey").alias("entity"), F.array(F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).alias("ids"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("title"))
     return K.id_or_title(items, e, "l_orderkey", "ids", "title", "entity")

@@ -1,0 +1,43 @@
+"""Queries over whole tables: no row of the given tables is left out."""
+
+from __future__ import annotations
+
+import pytest
+
+from newsdesk import plans
+from newsdesk.plans.registry import table, whole_sql
+
+SF = "/root/testdata/sf0.001"
+
+
+def keys(spark, name, column):
+    return {r[0] for r in plans.QUERIES[name](spark, SF).select(column).distinct().collect()}
+
+
+@pytest.mark.parametrize(
+    ("name", "column", "source", "key"),
+    [
+        ("similar_parts_whole", "a", "part", "p_partkey"),
+        ("external_id_link_whole", "l_orderkey", "lineitem", "l_orderkey"),
+        ("notability_whole", "user_id", "events", "user_id"),
+        ("regional_affinity_whole", "candidate", "events", "user_id"),
+        ("id_or_title_whole", "l_orderkey", "lineitem", "l_orderkey"),
+        ("attached_variants_whole", "p_partkey", "part", "p_partkey"),
+        ("discussion_whole", "cluster", "part", "p_brand"),
+    ],
+)
+def test_every_key_has_rows(spark, name, column, source, key):
+    assert keys(spark, name, column) == {r[0] for r in table(spark, SF, source).select(key).distinct().collect()}
+
+
+def test_all_lines_of_an_order_count(spark):
+    lines = {int(r[0].split(":")[1]) for r in plans.QUERIES["rank_violations_whole"](spark, SF).select("key").collect()}
+    assert max(lines) > 3
+    days = {(r.l_orderkey, r.date) for r in plans.QUERIES["claimed_events_whole"](spark, SF).select("l_orderkey", "date").collect()}
+    assert days >= {(r.l_orderkey, r.d) for r in table(spark, SF, "lineitem").selectExpr("l_orderkey", "to_date(l_shipdate) AS d").collect()}
+
+
+def test_whole_sql_drops_what_is_there_once():
+    assert "% 8" not in whole_sql("similar_parts", " WHERE p_partkey % 8 = 0") and "% 8" in plans.ORACLES["similar_parts"]
+    with pytest.raises(ValueError, match="is not in its SQL once"):
+        whole_sql("similar_parts", " WHERE p_partkey % 9 = 0")
