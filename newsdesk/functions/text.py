@@ -115,10 +115,16 @@ def strip_markup(text: Column) -> Column:
 
 
 def _numeric_entities(text: Column) -> Column:
-    """&#N; as its character: the distinct codes of a text are replaced one after the other."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,6});"), F.lit(1)))
-    decoded = lambda t: F.aggregate(codes, t, lambda acc, c: F.replace(acc, F.concat(F.lit("&#"), c, F.lit(";")), F.when(c.cast("int") < 0x10FFFF, F.decode(F.unhex(F.lpad(F.hex(c.cast("int")), 8, "0")), "UTF-32")).otherwise(F.lit(""))))
-    return F.when(text.contains("&#"), decoded(text)).otherwise(text)
+    """&#N; as its character in one pass; codes beyond Unicode go, those of lone surrogates become U+FFFD."""
+
+    def one(piece: Column) -> Column:
+        code = F.regexp_extract(piece, r"^0*(\d{1,7});", 1)
+        n = F.when(code != "", code.cast("int"))
+        char = F.when(n.between(0xD800, 0xDFFF), "\ufffd").when(n <= 0x10FFFF, F.decode(F.unhex(F.lpad(F.hex(F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), 32).otherwise(n)), 8, "0")), "UTF-32")).otherwise("")
+        return F.when(piece.rlike(r"^\d+;"), F.concat(char, F.regexp_replace(piece, r"^\d+;", ""))).otherwise(F.concat(F.lit("&#"), piece))
+
+    decoded = F.array_join(F.transform(F.split(text, "&#"), lambda p, i: F.when(i == 0, p).otherwise(one(p))), "")
+    return F.when(text.contains("&#"), decoded).otherwise(text)
 
 
 def relevant(text: Column) -> Column:

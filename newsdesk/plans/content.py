@@ -68,6 +68,12 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").filter(~F.col("html").rlike(r"&#\d")).select("page_id", F.md5(T.strip_markup(F.col("html"))).alias("text_md5"))
 
 
+@query(None)
+def page_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of all pages, numeric entities decoded, which SQL cannot; null pages have none."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_markup(F.col("html"))).alias("text_md5"))
+
+
 @query(rf"SELECT p_partkey, {_KEY.format('p_name')} AS key, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, 'game_' || substr(sha256(p_name || ':' || p_brand), 1, 20) AS id FROM part")
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
@@ -76,10 +82,19 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(string_split({_KEY.format('text')}, ' '), lambda t: length(t) >= 3 AND NOT list_contains({_STOP}, t)))), ' ')) AS tokens_md5 FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
 def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return _token_sets(table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")))
+
+
+def _token_sets(d: DataFrame) -> DataFrame:
     return d.select("doc_id", F.md5(F.array_join(F.array_sort(T.title_tokens(T.norm_text(F.col("text")))), " ")).alias("tokens_md5"))
 
 
+@query(None)
+def token_sets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token sets of all documents: SQL has no compatibility decomposition. A null text has no token."""
+    return _token_sets(table(spark, sf_dir, "documents"))
+
+
 @query(None)
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractive summaries of all documents, their first words as titles."""
@@ -89,7 +104,16 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) AS INTEGER) AS words, CAST(len(regexp_extract_all(text, '[.!?](?:\s|$)')) AS INTEGER) AS sentences, CAST(len(regexp_extract_all(text, '(?i)<img\b')) AS INTEGER) AS images FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
 def article_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return _article_metrics(table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")))
+
+
+@query(None)
+def article_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of all documents; those of a null text are null."""
+    return _article_metrics(table(spark, sf_dir, "documents"))
+
+
+def _article_metrics(d: DataFrame) -> DataFrame:
     return d.select("doc_id", T.article_metrics(F.col("text")).alias("m")).select("doc_id", "m.words", "m.sentences", "m.images")
 
 
@@ -143,6 +167,13 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.similar_pairs(d.select("doc_id", tokens.alias("t")), "doc_id", "t", 0.8, 5)
 
 
+@query(None)
+def near_duplicate_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of all documents, letters of all scripts decomposed, which SQL cannot."""
+    tokens = T.title_tokens(T.norm_text(F.col("text")), 5, ())
+    return S.similar_pairs(table(spark, sf_dir, "documents").select("doc_id", tokens.alias("t")), "doc_id", "t", 0.8, 5)
+
+
 def _part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("t"), F.timestamp_seconds(F.lit(1704067200) + F.col("p_partkey") * 7200).alias("ts"))
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
+import unicodedata
+
 import pytest
 
 from newsdesk import plans
+from newsdesk.functions import text as T
 from newsdesk.plans.registry import table, whole_sql
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +47,68 @@ def test_whole_sql_drops_what_is_there_once():
     assert "% 8" not in whole_sql("similar_parts", " WHERE p_partkey % 8 = 0") and "% 8" in plans.ORACLES["similar_parts"]
     with pytest.raises(ValueError, match="is not in its SQL once"):
         whole_sql("similar_parts", " WHERE p_partkey % 9 = 0")
+
+
+LONG = "Çelik überquert Flüsse während Straßenbahnen wieder dauernd später fahren müssen"
+DOCS = [
+    (1, LONG),
+    (2, LONG.replace("dauernd", "selten") + " gestern"),
+    (3, "plain words without marks between other plain letters"),
+    (4, "plain words without marks between other plain letters éé"),
+    (5, None),
+    (6, ""),
+    (7, "日本語の文章 ﬁnale １２３４５ naïve\u00a0d’été. Ende! “ja”? <IMG src=a>"),
+    (8, "новые игры вышли сегодня утром вечером осенью"),
+]
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    folder = f"file://{tmp_path_factory.mktemp('texts')}"
+    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def tokens(text, least, stop):
+    key = re.sub("[’'“”\"`]", "", unicodedata.normalize("NFKD", (text or "").lower()))
+    words = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in key).split()
+    return {w for w in words if len(w) >= least and w not in stop}
+
+
+def test_token_sets_of_all_scripts(spark, texts):
+    got = {r.doc_id: r.tokens_md5 for r in plans.QUERIES["token_sets_whole"](spark, texts).collect()}
+    assert got == {i: hashlib.md5(" ".join(sorted(tokens(t, 3, T.STOP_WORDS))).encode()).hexdigest() for i, t in DOCS}
+
+
+def test_near_duplicates_of_all_scripts(spark, texts):
+    sets = {i: s for i, t in DOCS if len(s := tokens(t, 5, ())) >= 5}
+    want = {(a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * min(len(sets[a]), len(sets[b]))}
+    assert {(r.a, r.b, r.shared) for r in plans.QUERIES["near_duplicate_pairs_whole"](spark, texts).collect()} == want
+    assert {(a, b) for a, b, _ in want} == {(1, 2), (3, 4)}
+
+
+def test_article_metrics_of_all_texts(spark, texts):
+    got = {r.doc_id: (r.words, r.sentences, r.images) for r in plans.QUERIES["article_metrics_whole"](spark, texts).collect()}
+    space = "[ \t\n\x0b\f\r]"
+    count = lambda t: (len([w for w in re.split(f"{space}+", t) if w]), len(re.findall(rf"[.!?](?:{space}|$)", t)), len(re.findall(r"(?i)<img\b", t)))
+    assert got == {i: (None, None, None) if t is None else count(t) for i, t in DOCS}
+
+
+def test_page_text_decodes_numeric_entities(spark, tmp_path):
+    pages = {
+        1: ("<p>caf&#233; &#8220;x&#8221;</p> &amp; ü", "café “x” & ü"),
+        2: ("&#128512;&#1048576;&#1114111; a", "\U0001f600\U00100000\U0010ffff a"),
+        3: ("&#65; &#065; &#8364;&#x", "A A €&#x"),
+        4: ("a&#55296;b&#57343;c&#1114112;d&#9999999;e", "a\ufffdb\ufffdcde"),
+        7: ("&#38;#65; &#65;", "&#65; A"),
+        5: (None, None),
+        6: ("", ""),
+    }
+    spark.createDataFrame([(i, h) for i, (h, _) in pages.items()], "page_id long, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text_md5 for r in plans.QUERIES["page_text_whole"](spark, f"file://{tmp_path}").collect()}
+    assert got == {i: None if t is None else hashlib.md5(t.encode()).hexdigest() for i, (_, t) in pages.items()}
+
+
+def test_no_document_or_page_is_left_out(spark):
+    for name, source, key in (("token_sets_whole", "documents", "doc_id"), ("article_metrics_whole", "documents", "doc_id"), ("page_text_whole", "pages", "page_id")):
+        assert plans.QUERIES[name](spark, SF).select(key).count() == table(spark, SF, source).count()
