@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import game_basis, stable_id
 from .similarity import connected
+from .topk import places
 
 
 def identity_matches(candidates: DataFrame, entities: DataFrame) -> DataFrame:
@@ -64,9 +65,16 @@ def attach_variants(variants: DataFrame, bases: DataFrame, key: str) -> DataFram
 
 def series_members(catalogue: DataFrame, described: DataFrame, order: list[str], member: str) -> DataFrame:
     """Per series its members in order: those of the catalogue, then described ones that it doesn't assign."""
-    extra = described.join(catalogue.select(member).distinct(), member, "left_anti").select(catalogue.columns)
-    both = catalogue.unionByName(extra)
-    return both.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, member))), lambda x: x[member].cast("string")), ",").alias("members"))
+    return _members(catalogue, described, member).groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, member))), lambda x: x[member].cast("string")), ",").alias("members"))
+
+
+def series_places(catalogue: DataFrame, described: DataFrame, order: list[str], member: str) -> DataFrame:
+    """(series, member, place): as series_members, one row a member, so that no series is held in one task."""
+    return places(_members(catalogue, described, member).select("series", *order, member), ["series"], [F.col(c) for c in [*order, member]], "place").select("series", member, "place")
+
+
+def _members(catalogue: DataFrame, described: DataFrame, member: str) -> DataFrame:
+    return catalogue.unionByName(described.join(catalogue.select(member).distinct(), member, "left_anti").select(catalogue.columns))
 
 
 def register(candidates: DataFrame, trust: Column) -> DataFrame:
@@ -100,6 +108,7 @@ def attach_articles(articles: DataFrame, steps: list[tuple[str, str, DataFrame]]
 def project_catalogue(resolved: DataFrame, key: str, entity: str, order: list[Column]) -> tuple[DataFrame, DataFrame]:
     """(records, issues): the first record of each entity, and duplicates and unresolved ones with their reason."""
     w = Window.partitionBy(entity).orderBy(*order)
-    marked = resolved.withColumn("_n", F.row_number().over(w))
-    issue = F.when(F.col(entity).isNull(), "unresolved").when(F.col("_n") > 1, "duplicate")
-    return marked.filter(F.col(entity).isNotNull() & (F.col("_n") == 1)).drop("_n"), marked.withColumn("issue", issue).filter("issue IS NOT NULL").select(key, entity, "issue")
+    # Unresolved records are no group: they don't meet in one task.
+    marked = resolved.filter(F.col(entity).isNotNull()).withColumn("_n", F.row_number().over(w))
+    unresolved = resolved.filter(F.col(entity).isNull()).select(key, entity, F.lit("unresolved").alias("issue"))
+    return marked.filter("_n = 1").drop("_n"), marked.filter("_n > 1").select(key, entity, F.lit("duplicate").alias("issue")).unionByName(unresolved)

@@ -51,35 +51,59 @@ def daily_cap(df: DataFrame, day: str, manual: Column, order: list[Column], cap:
     return df.withColumn("day_rank", F.row_number().over(w)).withColumn("status", F.when((F.col("day_rank") > cap) & ~manual, "review").otherwise("public"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written and read again: where the session has a checkpoint folder, there."""
+    from .similarity import _checkpoint_dir
+
+    durable = bool(df.sparkSession.sparkContext.getCheckpointDir()) or _checkpoint_dir(df.sparkSession)
+    return df.checkpoint() if durable else df.localCheckpoint()
+
+
+def places(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with each row's place from 1 in its group (``by`` may be empty), by ``order``.
+
+    Rows are dealt by ranges of group and order, and numbered in a range; the rows
+    of the ranges before it are added.  So no task holds a group.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = kept(df.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_b"))
+    local = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order)))
+    same = F.col("_p") == F.col("_q")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return local.join(before, same).select(*df.columns, (F.col("_n") + F.col("_b")).alias(name))
+
+
 def greedy_dates(df: DataFrame, key: str, dates: str, rank: str, per_day: int, pool: int | None = None) -> DataFrame:
     """Keys taken in order of rank unless one of their dates is full; at most ``pool`` of them.
 
     A key that is skipped uses none of its dates, so the order matters where a key
-    has several.  Keys are dealt into groups of dates that are connected through
-    them, and each group is walked on its own.
+    has several.  Decided in rounds, each written: an undecided key is taken if on
+    every one of its dates fewer undecided keys precede it than there is room for,
+    whatever becomes of those, and skipped if a date is full.  The first undecided
+    key is always decided.
     """
-    from .similarity import connected
-
     rows = df.select(F.col(key).alias("k"), F.array_distinct(dates).alias("d"), F.col(rank).alias("r")).filter(F.size("d") > 0)
-    # Each date is hooked to the first date of its key: the groups are those of dates.
-    edges = rows.select(F.explode(F.slice("d", 2, 1 << 20)).alias("a"), F.col("d")[0].cast("string").alias("b")).select(F.col("a").cast("string"), "b")
-    groups = connected(edges)
-    named = rows.withColumn("first", F.col("d")[0].cast("string")).join(groups.withColumnRenamed("node", "first"), "first", "left").withColumn("g", F.coalesce("component", "first"))
-
-    def walk(group: list) -> list:
-        used: dict = {}
-        taken = []
-        for row in sorted(group, key=lambda x: (x["r"], x["k"])):
-            if all(used.get(x, 0) < per_day for x in row["d"]):
-                for x in row["d"]:
-                    used[x] = used.get(x, 0) + 1
-                taken.append((row["k"], row["r"]))
-        return taken
-
-    kinds = dict(rows.dtypes)
-    kept = walk_groups(named.withColumnRenamed("g", "part"), "part", ["k", "d", "r"], walk, f"k {kinds['k']}, r {kinds['r']}")
-    kept = kept if pool is None else kept.orderBy("r", "k").limit(pool)
-    return kept.select(F.col("k").alias(key), F.col("r").alias(rank))
+    lines = kept(kept(rows.withColumn("i", F.monotonically_increasing_id())).select("k", "r", "i", F.size("d").alias("n"), F.explode("d").alias("d")))
+    by_rank = Window.partitionBy("d").orderBy("r", "k", "i")
+    taken, used = lines.select("k", "r").limit(0), None
+    while not lines.isEmpty():
+        first = lines.withColumn("place", F.row_number().over(by_rank)).filter(F.col("place") <= per_day)
+        if used is not None:
+            first = first.join(used, first["d"].eqNullSafe(used["_d"]), "left").filter(F.col("place") <= per_day - F.coalesce("u", F.lit(0)))
+        new = kept(first.groupBy("i", "k", "r", "n").agg(F.count(F.lit(1)).alias("ok")).filter("ok = n").select("i", "k", "r"))
+        taken = kept(taken.unionByName(new.select("k", "r")))
+        more = lines.join(new.select("i"), "i", "left_semi").select(F.col("d").alias("_d"), F.lit(1).alias("u"))
+        used = kept((more if used is None else used.unionByName(more)).groupBy("_d").agg(F.sum("u").cast("int").alias("u")))
+        full = used.filter(F.col("u") >= per_day)
+        out = lines.join(full, lines["d"].eqNullSafe(full["_d"]), "left_semi").select("i").unionByName(new.select("i")).distinct()
+        lines = kept(lines.join(out, "i", "left_anti"))
+    if pool is not None:
+        taken = taken.orderBy("r", "k").limit(pool)
+    return taken.select(F.col("k").alias(key), F.col("r").alias(rank))
 
 
 def carry_over(current: DataFrame, previous: DataFrame, key: str, order: list[Column], slots: int) -> DataFrame:

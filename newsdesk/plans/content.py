@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -16,6 +16,7 @@ from ..operators import linking as L
 from ..operators import registry as G
 from ..operators import releases as Z
 from ..operators import similarity as S
+from ..operators import topk as K
 from ..operators.dedup import keep_first
 from ..sources.io import page_meta
 from .registry import query, table, whole_sql
@@ -417,8 +418,7 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey, round(greatest(0.0, least(100.0, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal / 100 END, c_acctbal / 50 / 1.22))), 4)::DOUBLE AS overall, round(greatest(0.0, least(100.0, CASE WHEN popularity IS NULL THEN NULL ELSE 0.7::DOUBLE * (2.5 * popularity) + 0.3::DOUBLE * (101 - position) END)), 4) AS players FROM customer LEFT JOIN p ON c_custkey = user_id"""
 )
 def expectation_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One row a user: few enough to rank in one task.
     g = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.avg("value").alias("popularity"))
-    p = g.withColumn("position", F.row_number().over(Window.orderBy(F.desc("popularity"), "c_custkey")))
+    p = K.places(g, [], [F.desc("popularity"), F.col("c_custkey")], "position")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") / 100).alias("expected"), (F.col("c_acctbal") / 50).alias("anticipation"))
     return Z.expectation_ratings(c, p, "c_custkey").withColumn("players", F.when(F.col("players").isNotNull(), F.col("players")))

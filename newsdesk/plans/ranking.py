@@ -186,6 +186,12 @@ def group_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("day", "n", F.transform("members", lambda m: m["doc_id"]).alias("ids"))
 
 
+@query("""SELECT source AS day, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents""")
+def group_listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("day"), "doc_id")
+    return K.places(d, ["day"], [F.col("doc_id")], "place")
+
+
 @query("""WITH r AS (SELECT l_partkey, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_extendedprice DESC, l_partkey, l_orderkey) AS p FROM lineitem QUALIFY p <= 100) SELECT l_partkey, CAST(min(p) AS INTEGER) AS best_rank, count(*) AS rankings FROM r GROUP BY 1""")
 def best_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.desc("l_extendedprice"), F.col("l_partkey"), F.col("l_orderkey")]

@@ -280,6 +280,12 @@ def series_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.series_members(p.filter("p_partkey % 3 <> 0"), p, ["p_size"], "p_partkey")
 
 
+@query("SELECT p_brand AS series, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS place FROM part")
+def series_member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("series"), "p_size", "p_partkey")
+    return G.series_places(p.filter("p_partkey % 3 <> 0"), p, ["p_size"], "p_partkey")
+
+
 @query(
     """WITH k AS (SELECT p_name || ':' || p_size AS g, p_name, p_size, p_partkey FROM part)
 SELECT p_name AS title, count(*) AS records, 'game_' || substr(sha256(p_name || ':' || (2000 + p_size) || ':game'), 1, 20) AS entity FROM k GROUP BY g, p_name, p_size"""
