@@ -162,11 +162,12 @@ def count_edits(docs: DataFrame, tokenizer_file: str, plain_specials: bool = Tru
             out = [[], [], [], [], []]
             for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
                 tree = TokenTree((text or "").encode(), encoder)
-                before = tree.total
+                before = encoder.total((text or "").encode(), tree.total)
                 for e in edits or ():
                     if e:
                         tree.edit(e["at"] or 0, e["removed"] or 0, (e["inserted"] or "").encode())
-                for column, x in zip(out, (before, tree.total, tree.length, tree.encoded, hashlib.sha256(tree.text()).hexdigest()), strict=True):
+                edited = tree.text()
+                for column, x in zip(out, (before, encoder.total(edited, tree.total), tree.length, tree.encoded, hashlib.sha256(edited).hexdigest()), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4])], [c.split()[0] for c in COUNTS.split(", ")])
 
@@ -197,4 +198,4 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return count_edits(docs.withColumn("edits", revision_edits(F.col("text"), F.col("doc_id"))), public_tokenizers.path(TOKENIZER))
+    return count_edits(docs.withColumn("edits", revision_edits(F.col("text"), F.col("doc_id"))), public_tokenizers.path(TOKENIZER), plain_specials=False)

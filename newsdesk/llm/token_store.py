@@ -133,6 +133,8 @@ class BpeEncoder:
     """Encodes with the tokenizers library; chunks that are known come from a bounded table.
 
     ``plain_specials``: strings of special tokens inside a text are ordinary text.
+    Without it, as is the library's default, texts that hold an added token are
+    encoded whole.
     """
 
     def __init__(self, tokenizer_file: str, plain_specials: bool = True):
@@ -140,7 +142,10 @@ class BpeEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = plain_specials
-        self.whole = not plain_specials  # a special string could hold a space
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # A string that is found in normalised text, or holds white space, cannot be told from the bytes of a chunk.
+        self.whole = not plain_specials and (self.tokenizer.normalizer is not None or any(c.isspace() for t in added for c in t))
+        self.specials = re.compile("|".join(map(re.escape, added)).encode()) if added and not plain_specials else None
         self.levels = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2") if self.levels <= 16 else np.dtype("<u4")
         self.table = KnownTable(self._new, TABLE_SIZE)
@@ -177,12 +182,26 @@ class BpeEncoder:
         """The ids of each text, packed as little-endian integers of ``kind``."""
         if self.whole:
             return self._one_by_one([t.decode() for t in texts])
+        if self.specials is not None and (held := [i for i, t in enumerate(texts) if self.specials.search(t)]):
+            out = dict(zip(held, self._one_by_one([texts[i].decode() for i in held]), strict=True))
+            rest = [i for i in range(len(texts)) if i not in out]
+            out.update(zip(rest, self._by_chunks([texts[i] for i in rest]), strict=True))
+            return [out[i] for i in range(len(texts))]
+        return self._by_chunks(texts)
+
+    def _by_chunks(self, texts: list[bytes]) -> list[bytes]:
         chunks = [_EDGE.split(t) if _NO_EDGE.search(t) else t.split(b" ") for t in texts]
         for c in chunks:
             c[0] = _FIRST + c[0]
         held = self.table.holding(set().union(*chunks))
         return [b"".join([held[c] for c in own]) for own in chunks]
 
+    def total(self, text: bytes, by_chunks: int) -> int:
+        """Number of ids of a text whose chunks, each on its own, have ``by_chunks``: more or less if an added token cuts it."""
+        if self.whole or self.specials is not None and self.specials.search(text):
+            return len(self._one_by_one([text.decode()])[0]) // self.kind.itemsize
+        return by_chunks
+
     def counts(self, chunks: list[bytes]) -> list[int]:
         """Numbers of ids of chunks, each encoded on its own."""
         keys = [c[1:] if c[:1] == b" " else _FIRST + c for c in chunks]
@@ -300,5 +319,5 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{shared_dir(spark)}-tokens"
-    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), plain_specials=False)
     return read_documents(spark, path)
