@@ -40,7 +40,13 @@ KNOWN = 300_000
 #: Words of reporting and of address in the languages of the corpus.
 REPORTING = frozenset(b"said says wrote quoted quote called writes dijo escribi\xc3\xb3 dit \xc3\xa9crit sagte schrieb zitierte".split())
 ADDRESS = frozenset("you your youre u ur du dich dein ihr tu toi vous te usted eres".encode().split())
-_QUOTES = re.compile('["“”«»„]'.encode())
+#: Whole marks: a class of bytes would find parts of letters.
+_QUOTES = re.compile('"|“|”|«|»|„'.encode())
+
+
+def _cut(text: bytes | None) -> list[bytes]:
+    """Folded words of a text, quotation marks being no part of them."""
+    return folded_words(_QUOTES.sub(b" ", text)) if text else []
 
 
 def _errors(length: int) -> int:
@@ -158,7 +164,7 @@ class Scorer:
     def features(self, text: bytes | None) -> np.ndarray:
         """Plain, misspelt, quoted and addressed hits by weight, distinct terms, and the share of hit words."""
         out = np.zeros(7)
-        words = folded_words(text)
+        words = _cut(text)
         hit, known = self.hit, self.known
         hits = [(i, h) for i, w in enumerate(words) if (h := known[w] if w in known else hit(w))]
         if not hits:
@@ -193,7 +199,7 @@ class Scorer:
                 m = len(part.translate(ALNUM_FOLD).split())
                 out[i : i + m] = k % 2 == 1 and k < len(parts) - 1
                 i += m
-        return out if i == n else np.zeros(n, dtype=bool)
+        return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.model is None:
@@ -220,13 +226,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 def _terms(text: bytes | None) -> set[str]:
     """Words of a text and prefix terms of the longer ones."""
-    words = {w.decode("utf-8", "replace") for w in set(folded_words(text))}
+    words = {w.decode("utf-8", "replace") for w in set(_cut(text))}
     return words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n}
 
 
 def _signature(text: bytes | None, words: _Words) -> int:
     """The least hash of three words in a row: copies of a text mostly share it, other texts hardly."""
-    w = folded_words(text)
+    w = _cut(text)
     return int(window_hashes(words.of(w), min(3, len(w))).min() >> np.uint64(1)) if w else 0
 
 
@@ -277,7 +283,7 @@ def _innocent(sample: DataFrame, weights: dict[str, float]) -> frozenset[str]:
         def each(batch):
             automaton, seen = held.value, set()
             for text in utf8(batch.column("text")):
-                seen.update(set(folded_words(text)) - seen)
+                seen.update(set(_cut(text)) - seen)
             words = (w.decode("utf-8", "replace") for w in seen)
             return [[w for w in words if (found := automaton.match(w)) and found[0]]]
 
