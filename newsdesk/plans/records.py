@@ -341,8 +341,9 @@ def _regional_affinity(events: DataFrame, users: DataFrame) -> DataFrame:
 
 @query(None)
 def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that documents hold in their first and second lines."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.substring(F.substring_index("text", "\n", 2), 1, 600).alias("summary"))
+    """Names that documents hold in their first line and in the rest."""
+    title = F.substring_index("text", "\n", 1)
+    d = table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), F.substring("text", F.char_length(title) + 2, F.char_length("text")).alias("summary"))
     return K.title_candidates(d, "doc_id", "title", "summary")
 
 
