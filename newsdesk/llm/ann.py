@@ -206,8 +206,10 @@ def search(vectors: DataFrame, step: int = QUERY_STEP, neighbours: int = NEIGHBO
                     continue
                 asked_by = _matrix(r["matrix"], d)
                 rough = asked_by @ matrix.T
-                k = min(len(nodes), keep + 16)
-                picks = np.argpartition(-rough, k - 1, axis=1)[:, :k] if k < len(nodes) else np.broadcast_to(np.arange(k), (len(asked_by), k))
+                # All rows that may be among the best or tie with them, whatever the order of summing has rounded.
+                margin = 4 * d * np.finfo(float).eps * np.linalg.norm(asked_by, axis=1) * np.linalg.norm(matrix, axis=1).max(initial=0.0)
+                least = np.partition(rough, len(nodes) - keep, axis=1)[:, len(nodes) - keep] - margin if keep < len(nodes) else np.full(len(asked_by), -np.inf)
+                picks = [np.flatnonzero(~(r < x)) for r, x in zip(rough, least, strict=True)]
                 near, scores = np.full((len(asked_by), keep), -1, dtype=np.int64), np.full((len(asked_by), keep), -np.inf)
                 for i, pick in enumerate(picks):
                     exact = _dots(asked_by[i], matrix[pick])
