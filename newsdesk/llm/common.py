@@ -111,6 +111,25 @@ class KnownTable:
         self.young.update(zip(missing, self.compute(missing), strict=True))
         return self.young
 
+    def values(self, keys: list[bytes]) -> list:
+        """The values of distinct keys, in their order."""
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        out = list(map(self.young.get, keys))
+        lacking = [i for i, v in enumerate(out) if v is None]
+        found = [self.old.get(keys[i]) for i in lacking]
+        missing = [keys[i] for i, v in zip(lacking, found, strict=True) if v is None]
+        fresh = iter(self.compute(missing))
+        for i, v in zip(lacking, found, strict=True):
+            out[i] = self.young[keys[i]] = next(fresh) if v is None else v
+        return out
+
+    def all_values(self, keys: list[bytes]) -> list:
+        """The values of keys that may occur more than once."""
+        distinct = list(set(keys))
+        held = dict(zip(distinct, self.values(distinct), strict=True))
+        return [held[k] for k in keys]
+
 
 def slices(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[list[bytes]]:
     """Texts in runs of about ``limit`` bytes, null as empty: what is split into words at once stays small."""
