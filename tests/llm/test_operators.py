@@ -205,7 +205,7 @@ def test_chunk_codecs_equal_the_libraries():
 
     sp, bpe = sentencepiece.SentencePieceProcessor(model_file=MODEL), Tokenizer.from_file(BPE)
     bpe.encode_special_tokens = True
-    codec, encoder = sentencepiece_codec.ChunkCodec(MODEL, 50), token_store.BpeEncoder(BPE)
+    codec, encoder = sentencepiece_codec.ChunkCodec(MODEL, 50), token_store.BpeEncoder(BPE, True)
     rng = random.Random(2)
     for _ in range(1500):
         t = "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 14)))
@@ -218,24 +218,31 @@ def test_token_store(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     bpe = Tokenizer.from_file(BPE)
-    bpe.encode_special_tokens = True
-    token_store.write_tokens(docs, f"file://{tmp_path}/t", BPE, partitions=3, segment_tokens=500)
-    want, start = [], 0
+    path = f"file://{tmp_path}/t"
+    token_store.write_tokens(docs, path, BPE, partitions=3, shard_tokens=100)
+    want, all_ids, owners = [], [], []
     for i, t in sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode())):
         ids = [*bpe.encode(t or "", add_special_tokens=False).ids, 0]
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
-        start += len(ids)
-    got = token_store.read_documents(spark, f"file://{tmp_path}/t")
-    assert rows(got, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
-    ends = token_store.lookup(spark, f"file://{tmp_path}/t", 0)
-    assert ends.agg(F.sum("occurrences")).first()[0] >= len(TEXTS)
+        want.append((i, len(all_ids), len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        all_ids += ids
+        owners += [i] * len(ids)
+    assert rows(token_store.read_documents(spark, path), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
+    # Shards and parts hold occurrences that only sums over them can number.
+    assert spark.read.parquet(path).select("part", "shard").distinct().count() > 4
+    places = [i for i, x in enumerate(all_ids) if x == 0]
+    assert token_store.occurrences(spark, path, 0).agg(F.sum("occurrences")).first()[0] == len(places)
+    for k in (0, len(places) // 2, len(places) - 1):
+        assert [tuple(r) for r in token_store.locate(spark, path, 0, k).collect()] == [(owners[places[k]], places[k])]
+    assert token_store.locate(spark, path, 0, len(places)).count() == 0
+    asked = [0, 17, len(all_ids) // 2, len(all_ids) - 1, len(all_ids)]
+    assert {tuple(r) for r in token_store.tokens_at(spark, path, asked).collect()} == {(p, all_ids[p]) for p in asked[:-1]}
     token_store.write_tokens(empty, f"file://{tmp_path}/e", BPE)
     assert token_store.read_documents(spark, f"file://{tmp_path}/e").count() == 0
 
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
-    for n, top in ((0, 5), (1, 1), (700, 40), (513, 65535)):
+    for n, top in ((0, 5), (1, 1), (512, 3), (700, 40), (513, 65535), (3000, 2)):
         x = rng.integers(0, top + 1, n).astype(np.uint16)
         m = token_store.WaveletMatrix.build(x, 16)
         assert (m.ids() == x).all()
@@ -251,10 +258,10 @@ def test_token_counts_follow_edits(spark, docs, empty):
     bpe = Tokenizer.from_file(BPE)
     bpe.encode_special_tokens = True
     rng = random.Random(4)
-    encoder = token_store.BpeEncoder(BPE)
+    encoder = token_store.BpeEncoder(BPE, True)
     for _ in range(300):
         text = "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 60)))
-        data, tree = text.encode(), token_counts.TokenTree(text.encode(), encoder, rng.choice([1, 2, 16]))
+        data, tree = text.encode(), token_counts.TokenTree.of(text.encode(), encoder, rng.choice([1, 2, 16]))
         for _ in range(4):
             at, n, new = rng.randint(0, len(data) + 2), rng.choice([0, 1, 7]), "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 4))).encode()
             tree.edit(at, n, new)
@@ -263,10 +270,10 @@ def test_token_counts_follow_edits(spark, docs, empty):
             data = data[:a] + new + data[max(a, b) :]
             assert tree.text() == data and tree.total == len(bpe.encode(data.decode(), add_special_tokens=False).ids)
     edited = docs.drop("edits").withColumn("edits", token_counts.revision_edits(F.coalesce("text", F.lit("")), F.col("doc_id")))
-    got = token_counts.count_edits(edited, BPE).collect()
+    got = token_counts.count_edits(edited, BPE, True).collect()
     assert len(got) == len(TEXTS) and all(r.n_tokens == len(bpe.encode(t or "", add_special_tokens=False).ids) for r in got for i, t in TEXTS if i == r.doc_id and [x for x, _ in TEXTS].count(i) == 1)
     edits = spark.createDataFrame([(6, 2, 0, 3, "zz"), (6, 1, 3, 0, "-")], "doc_id long, seq int, at long, removed long, inserted string")
-    own = {r.doc_id: r.edited_sha256 for r in token_counts.count_edits(token_counts.with_edits(docs, edits), BPE).collect()}
+    own = {r.doc_id: r.edited_sha256 for r in token_counts.count_edits(token_counts.with_edits(docs, edits), BPE, True).collect()}
     assert own[6] == hashlib.sha256(b"zz- two  three").hexdigest()
     assert token_counts.count_edits(edited.limit(0), BPE).count() == 0 and empty.count() == 0
 
