@@ -34,19 +34,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, as in tests, below a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves, which only a local master can
+    share with its tasks; on a cluster it must be set.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete the shuffle files of a query when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str = "stage", codec: str = "zstd") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}-{name}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as a table in the shared folder and reads it back; the shuffle files behind it go."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}-{name}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores before it as it takes to be the name of no column, whatever its case."""
+    held = {c.lower() for c in columns}
+    while name in held:
+        name = f"_{name}"
+    return name
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list | pa.RecordBatch | None]], schema: str) -> DataFrame:

@@ -11,10 +11,15 @@
    of a pair's registers at 0.75, given both set sizes, drops hopeless pairs; the
    others are verified on full sets.
 5. *Rest.*  Where members of one key are still in several components, those outside
-   the largest are held against the other components by their registers, and where
-   a link is likely, against all members of such a component by full sets.  Pairs
-   inside a component are never formed, so groups of copies cost in proportion to
-   their size.
+   the largest are held against the others by the likelihood of their registers, and
+   where a link is likely, against all members of such a component by full sets.
+   Pairs inside a component are never formed, so groups of copies cost in proportion
+   to their size.
+6. *Hot keys.*  A key that leaves more than ``HOT`` members outside its largest
+   component (much boilerplate, texts just below the threshold) is settled by rare
+   shingles: sets with a similarity of 0.75 share one among the rarest quarter of the
+   larger and the rarest seventh of the smaller, so members meet under these alone,
+   in proportion to their sizes.  Nothing is left out: both ways are exact.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, map_batches, staged, table, utf8, window_hashes
-from .substring_dedup import _release, _Words
+from .common import ASCII_LOWER, free_name, map_batches, release, staged, table, utf8, window_hashes
+from .substring_dedup import _Words
 
 #: Words in a shingle, and the similarity in hundredths from which documents are linked.
 SHINGLE = 5
@@ -39,8 +44,12 @@ REGISTERS = BANDS * ROWS
 BASE = 1.02
 #: Standard deviations by which a pair's likelihood at the threshold may fall short.
 Z = 5.0
-#: Nodes of a key, and members of a component, that meet others in one group.
+#: Members of a key outside its largest component up to which all of them are held against the key's members.
+HOT = 64
+#: Members of a key or a component in one group.
 BLOCK = 1024
+#: Counters of the sketch that tells rare shingles from frequent ones.
+COUNTERS = 1 << 20
 #: Members verified against one centre in a group, and nodes held at once against members of a component.
 CHUNK = 256
 
@@ -104,7 +113,7 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, perce
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, registers) of docs(doc_id, text); set_hash is null for empty sets."""
+    """(doc_id, sub, n_shingles, set_hash, registers) of docs(doc_id, text); set_hash is null for empty sets, sub a hash of the text."""
 
     def make():
         from xxhash import xxh3_128_digest
@@ -119,11 +128,12 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sizes += map(len, sets)
                 hashes += [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 rows += [r.astype("<u2").tobytes() for r in registers(sets)]
-            return [batch.column("doc_id"), sizes, hashes, rows]
+            return [batch.column("doc_id"), batch.column("sub"), sizes, hashes, rows]
 
         return each
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, n_shingles long, set_hash binary, registers binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows.withColumn("sub", F.xxhash64("text")), make, "doc_id long, sub long, n_shingles long, set_hash binary, registers binary")
 
 
 def _likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -190,27 +200,34 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        now = staged(small, "edges")
+        before, now = now, staged(small, "edges")
+        release(before)
         old, mark = mark, signature(now)
         if mark == old:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _asks(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct (node, component): nodes outside the largest component of a key, and other components under it that hold a likely partner.
+def _open_keys(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, component, main, others, size) of the members of keys that hold several components.
 
-    Whether a partner is likely is told by the number of equal registers, which
-    for linked sets falls short of the threshold's share by Z deviations at most.
+    ``main`` is the key's largest component, ``others`` the members outside it.
     """
     m = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = m.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    keys = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).filter("parts > 1")
-    keys = keys.select("key", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
-    inside = m.join(keys, "key")
-    asked = inside.filter("component <> main").select("key", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "component")
-    shown = inside.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "component")
-    rows = asked.unionByName(shown).join(classes.select("node", "registers"), "node")
+    keys = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others")).filter("parts > 1")
+    return m.join(keys.drop("parts"), "key")
+
+
+def _asks(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component): nodes outside the largest component of a key of few others, and components under it that hold a likely partner.
+
+    The key's members are dealt into blocks; its at most HOT asking nodes go to each.
+    """
+    inside = members.filter(F.col("others") <= HOT).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    asked = inside.filter("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "node", "component")
+    shown = inside.select("key", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "node", "component")
+    rows = asked.unionByName(shown).join(classes.select("node", "n_shingles", "registers"), "node")
     ordered = rows.repartition("key", "block").sortWithinPartitions("key", "block", "role")
     share = PERCENT / 100
     least = math.floor(REGISTERS * share - Z * math.sqrt(REGISTERS * share * (1 - share)))
@@ -218,24 +235,77 @@ def _asks(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]):
         group, queries, held, done = None, [], None, set()
         for batch in batches:
-            found = []
-            for key, block, role, node, component, reg in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "role", "node", "component", "registers")), strict=True):
+            pairs = []
+            for key, block, role, node, component, n, reg in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "role", "node", "component", "n_shingles", "registers")), strict=True):
                 if (key, block) != group:
                     group, queries, held, done = (key, block), [], None, set()
                 if role == 0:
-                    queries.append((node, component, reg))
+                    queries.append((node, component, n, reg))
                     continue
                 if held is None:
-                    held = np.array([q[0] for q in queries]), np.array([q[1] for q in queries]), np.frombuffer(b"".join(q[2] for q in queries), dtype="<u2").reshape(-1, REGISTERS)
-                near = (held[1] != component) & (np.count_nonzero(held[2] == np.frombuffer(reg, dtype="<u2"), axis=1) >= least)
-                for q in held[0][near].tolist():
-                    if (q, component) not in done:
-                        done.add((q, component))
-                        found.append((q, component))
+                    if not queries:
+                        continue
+                    held = np.array([q[1] for q in queries]), np.frombuffer(b"".join(q[3] for q in queries), dtype="<u2").reshape(-1, REGISTERS)
+                # Too few equal registers make every likelihood hopeless; the others are judged together.
+                near = (held[0] != component) & (np.count_nonzero(held[1] == np.frombuffer(reg, dtype="<u2"), axis=1) >= least)
+                pairs += [(*queries[k], component, n, reg) for k in np.flatnonzero(near).tolist() if (queries[k][0], component) not in done]
+            found = []
+            if pairs:
+                stack = lambda k: np.frombuffer(b"".join(p[k] for p in pairs), dtype="<u2").reshape(-1, REGISTERS)  # noqa: B023, E731
+                size = lambda k: np.array([p[k] for p in pairs], dtype=np.float64)  # noqa: B023, E731
+                for k in np.flatnonzero(likely(stack(3), stack(6), size(2), size(5))[1]).tolist():
+                    pair = pairs[k][0], pairs[k][4]
+                    if pair not in done:
+                        done.add(pair)
+                        found.append(pair)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["node", "component"])
 
-    return ordered.mapInArrow(run, "node long, component long").distinct()
+    return ordered.mapInArrow(run, "node long, component long")
+
+
+def _rare_asks(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) for the members of hot keys: components with a member that shares a rare shingle and may reach the threshold.
+
+    Shingles are ordered by a sketch of their frequency among these members (which
+    has COUNTERS numbers, whatever the input) and by hash.  Of sets x and y, |x| >= |y|,
+    with the similarity t, the first |x| - ceil(t |x|) + 1 shingles of x and the first
+    |y| - ceil(2 t |y| / (1 + t)) + 1 of y have one in common.
+    """
+    hot = members.filter(F.col("others") > HOT).select("node", "component").distinct()
+    rows = staged(hot.join(texts, "node"), "hot")
+
+    def counted(batches: Iterator[pa.RecordBatch]):
+        words, counts = _Words(), np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for text in utf8(batch.column("text")):
+                np.add.at(counts, shingle_set(text, words) & np.uint64(COUNTERS - 1), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
+
+    frequency = np.zeros(COUNTERS, dtype=np.int64)
+    for r in rows.mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        frequency[r["at"]] = r["n"]
+    held = rows.sparkSession.sparkContext.broadcast(frequency)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]):
+        words, frequency = _Words(), held.value
+        for batch in batches:
+            for node, component, text in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), utf8(batch.column("text")), strict=True):
+                own = shingle_set(text, words)
+                n = len(own)
+                own = own[np.lexsort((own, frequency[own & np.uint64(COUNTERS - 1)]))]
+                probe, index = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
+                own = own[:probe]
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.arange(len(own)) < index), pa.array(np.full(len(own), node)), pa.array(np.full(len(own), component)), pa.array(np.full(len(own), n))], ["shingle", "indexed", "node", "component", "n"])
+
+    rare = staged(rows.mapInArrow(prefixes, "shingle long, indexed boolean, node long, component long, n long"), "rare")
+    # Of a shingle's components only their sizes' range: copies don't multiply.
+    index = rare.filter("indexed").groupBy("shingle", F.col("component").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    asks = rare.join(index, "shingle").filter((F.col("component") != F.col("other")) & (F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n")))
+    out = staged(asks.select("node", F.col("other").alias("component")).distinct(), "asks")
+    release(rows, rare)
+    return out
 
 
 def _cross(asks: DataFrame, labels: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -306,49 +376,60 @@ def _texts(docs: DataFrame, involved: DataFrame) -> DataFrame:
     return map_batches(rows.join(involved.hint("shuffle_hash"), "rep"), make, "node long, text string")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id it can reach by links.
-
-    Null and empty texts have no shingles and are linked with nothing.  Rows
-    without doc_id take no part (component_id is null).  Rows with one doc_id but
-    other texts are linked only if their texts are.
-    """
-    spark = docs.sparkSession
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, sub, n_shingles, component_id) of the rows of docs(doc_id, text); see near_groups."""
     sketches = staged(sketch(docs), "sketches")
     named = sketches.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    classes = staged(named.withColumn("node", F.xxhash64("set_hash")), "classes")
+    # Numbers are given once, as the table is written, so no two classes share one.
+    classes = staged(named.withColumn("node", F.monotonically_increasing_id()), "classes")
     bytes_a_band = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * bytes_a_band + 1, F.lit(bytes_a_band))))
     rows = classes.select("node", "rep", F.explode(keys).alias("key"))
     shared = rows.groupBy("key").agg(F.min(F.struct("rep", "node")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = staged(rows.select("key", "node").join(shared.select("key", F.col("first.node").alias("centre")), "key"), "buckets")
-    _release(spark)
     involved = classes.select("node", "rep", "set_hash").join(buckets.select("node").distinct(), "node")
     texts = staged(_texts(docs, involved), "texts")
-    _release(spark)
     stars = buckets.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     linked = staged(verify(_likely_pairs(stars, classes), texts).filter("linked").select("a", "b"), "linked")
-    _release(spark)
     labels = staged(components(linked), "labels")
-    asks = staged(_asks(buckets.select("key", "node"), classes, labels), "asks")
+    members = staged(_open_keys(buckets.select("key", "node"), labels), "members")
+    asks = staged(_asks(members, classes).distinct(), "asks")
+    if members.filter(F.col("others") > HOT).head(1):
+        both = asks.unionByName(rare := _rare_asks(members, texts)).distinct()
+        asks, old = staged(both, "asks"), asks
+        release(old, rare)
     more = staged(_cross(asks, labels, texts), "linked")
-    _release(spark)
     if more.head(1):
-        labels = staged(components(linked.unionByName(more)), "labels")
+        old, labels = labels, staged(components(linked.unionByName(more)), "labels")
+        release(old)
+    release(buckets, members, texts, linked, asks, more)
     reached = classes.select("set_hash", "node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = reached.groupBy("component").agg(F.min("rep").alias("component_id"))
     ends = reached.join(least, "component").select("set_hash", "component_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return sketches.select("doc_id", "n_shingles", "set_hash").join(ends, "set_hash", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return sketches.select("doc_id", "sub", "n_shingles", "set_hash").join(ends, "set_hash", "left").select("doc_id", "sub", "n_shingles", own.alias("component_id"))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id it can reach by links.
+
+    Null and empty texts have no shingles and are linked with nothing.  Rows
+    without doc_id take no part (component_id is null).  Rows with one doc_id but
+    other texts are linked only if their texts are.
+    """
+    return _grouped(docs).drop("sub")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, columns unchanged, with one document of each group: that with its smallest doc_id.
 
     Rows without doc_id stay.  Of repeated rows of the smallest doc_id all stay.
+    Rows with one doc_id are judged by their own texts.
     """
-    groups = near_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    name = free_name("sub", docs.columns)
+    gone = _grouped(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("sub").alias("_sub")).distinct()
+    keyed = docs.withColumn(name, F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(gone, (keyed["doc_id"].cast("long") == gone["_id"]) & (keyed[name] == gone["_sub"]), "left_anti").select(docs.columns)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import shared_dir, table
+from .common import free_name, shared_dir, table
 
 #: Bytes at which a shard is finished, and bytes of rows that an arriving shard holds at most (as text).
 TARGET_BYTES = 32 << 20
@@ -92,14 +92,6 @@ def _commit(shards: DataFrame, root: str, version: int) -> bool:
     return True
 
 
-def _free(name: str, columns: list[str]) -> str:
-    """A name that no column has, whatever its case."""
-    held = {c.lower() for c in columns}
-    while name in held:
-        name = f"_{name}"
-    return name
-
-
 def _files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """(path, bytes, n_rows, first_id, last_id) of the files below a folder; of their rows only doc_id is read."""
     rows = spark.read.schema(schema).parquet(path).select(F.col("doc_id").alias("id"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
@@ -161,8 +153,8 @@ def compact(spark: SparkSession, root: str, schema: StructType, target_bytes: in
         picked = runs.join(first, "run").select("path", "n", "oldest").collect()
         if not picked:
             return None
-        number = _free("run", schema.names)
-        source = _free("file", schema.names)
+        number = free_name("run", schema.names)
+        source = free_name("file", schema.names)
         own = spark.createDataFrame([(r["path"], int(r["n"])) for r in picked], f"{source} string, {number} int")
         rows = spark.read.schema(schema).parquet(*(r["path"] for r in picked)).withColumn(source, F.col("_metadata.file_path")).join(F.broadcast(own), source).drop(source)
         folder = f"{root}/data/{uuid.uuid4().hex}"
