@@ -9,19 +9,24 @@ rolling window of block length probes them:
    bytes each; a partition tells which probes meet an indexed block of a smaller
    document, and which blocks are met.
 2. *Extension.*  Hits grow to all windows of ``window`` words around them.  Their
-   hashes go to hash partitions (64 bits, plus the partition's own bits) that
-   find the smallest document of each; later documents lose the window.  Runs of
-   such windows are the maximal exact repeats.
+   hashes (two of 64 bits each) go to hash partitions that find the smallest
+   document of each; later documents lose the window.  Runs of such windows are
+   the maximal exact repeats.
 3. Covered words are removed from each text.
 
 Hot passages: a task first settles what it can among the documents it has at
 hand, so that one hash sends at most a few entries from each buffer of
 ``BUFFER_WORDS`` words, however often it occurs.
+
+A buffer's documents are named once, in a row of their own; an entry costs its hash,
+the gap to the one before, and a share of its document's run (at most one run an
+entry), so that the bytes sent for a word don't grow with the number of partitions
+as long as a buffer has some tens of words for each: at 100 TB take larger buffers
+and partitions (both are parameters of the memory of a task).
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -31,18 +36,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cover, map_batches, mix64, staged, table, text_bytes, utf8, window_hashes, words_of
+from .common import cover, map_batches, mix64, release, staged, table, text_bytes, utf8, window_hashes, words_of
 
 #: Words in a window.
 WINDOW = 13
 #: Words that a task gathers before it sends their hashes.
 BUFFER_WORDS = 1 << 20
 #: Bytes of text for each hash partition.
-PARTITION_BYTES = 12 << 20
+PARTITION_BYTES = 24 << 20
 #: Distinct words whose hashes a task keeps; emptied when full.
 WORD_TABLE = 1 << 18
 
-_BLOBS = "p int, buffer long, ids binary, subs binary, lengths binary, low binary, high binary, hashes binary"
+_BLOBS = "p int, buffer long, ids binary, counts binary, low binary, high binary, tied binary, hashes binary, subs binary"
+#: Two hashes of a window.
+WIDE = np.dtype([("first", "<u8"), ("second", "<u8")])
 _REPLIES = "buffer long, ids binary, subs binary, lengths binary, at binary"
 _SPOTS = "doc_id long, sub long, at array<int>"
 
@@ -90,6 +97,16 @@ class _Buffer:
         return ids, lengths, run, starts, doc[starts], at[starts]
 
 
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Integers as byte planes: the high ones are mostly zeros, which compress to nothing."""
+    return values.astype(kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def _packed(starts: np.ndarray) -> tuple[bytes, bytes]:
     """Ascending places as gaps in two byte planes."""
     gaps = np.diff(starts, prepend=0)
@@ -105,28 +122,30 @@ def _unpacked(low: bytes, high: bytes) -> np.ndarray:
     return np.cumsum(gaps)
 
 
-def _blobs(buffer: _Buffer, lengths: np.ndarray, starts: np.ndarray, hashes: np.ndarray, part: np.ndarray, kind: str, parts: int) -> Iterator[tuple]:
-    """Rows of _BLOBS (but for the buffer's number): the entries at ``starts`` (ascending), dealt by ``part``."""
+def _blobs(ids: np.ndarray, starts: np.ndarray, tied: np.ndarray, hashes: np.ndarray, part: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Rows of _BLOBS (but for the buffer's number): the entries at ``starts`` (ascending) of documents ``ids``, dealt by ``part``.
+
+    Runs of entries of one document are sent as the step to its id and their number.
+    """
     order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
-    ids, sizes = np.array(buffer.ids, dtype="<i8").tobytes(), lengths.astype("<u4").tobytes()
     for p in np.flatnonzero(np.diff(edges)).tolist():
         own = order[edges[p] : edges[p + 1]]
-        yield (p, ids, None, sizes, *_packed(starts[own]), hashes[own].astype(kind).tobytes())
+        docs = ids[own]
+        heads = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1))
+        yield (p, _planes(np.diff(docs[heads], prepend=0), "<i8"), _planes(np.diff(np.append(heads, len(own))), "<u4"), *_packed(starts[own]), np.packbits(tied[own]).tobytes(), hashes[own].tobytes(), None)
 
 
 def _direct(buffer: _Buffer, lengths: np.ndarray, starts: np.ndarray, p: int) -> tuple:
     """The row of _BLOBS that names a buffer's documents, with the places that need no partition's answer."""
-    return (p, np.array(buffer.ids, dtype="<i8").tobytes(), np.array(buffer.subs, dtype="<u4").tobytes(), lengths.astype("<u4").tobytes(), *_packed(starts), None)
+    return (p, np.array(buffer.ids, dtype="<i8").tobytes(), lengths.astype("<u4").tobytes(), *_packed(starts), None, None, np.array(buffer.subs, dtype="<u4").tobytes())
 
 
-def _unpack(row: dict, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document id, place in the document, place in the buffer, hash) of each entry of a blob."""
-    lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-    starts = _unpacked(row["low"], row["high"])
-    begins = np.cumsum(lengths) - lengths
-    doc = np.searchsorted(begins, starts, side="right") - 1
-    return np.frombuffer(row["ids"], "<i8")[doc], (starts - begins[doc]).astype(np.int32), starts.astype("<u4"), np.frombuffer(row["hashes"], kind)
+def _unpack(row: dict, kind: str | np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document id, whether it starts a block, place in the buffer, hash) of each entry of a blob."""
+    hashes = np.frombuffer(row["hashes"], kind)
+    ids = np.repeat(np.cumsum(_from_planes(row["ids"], "<i8")), _from_planes(row["counts"], "<u4"))
+    return ids, np.unpackbits(np.frombuffer(row["tied"], np.uint8), count=len(hashes)).astype(bool), _unpacked(row["low"], row["high"]).astype("<u4"), hashes
 
 
 def _spots(row: dict) -> pa.RecordBatch | None:
@@ -173,7 +192,7 @@ def anchor_entries(buffer: _Buffer, block: int, parts: int, turn: int) -> Iterat
     send = ~direct | (tied & (rs == least)) | (rs == most)
     keep = np.sort(order[send])
     part = (mix64(h[keep]) >> np.uint64(40)).astype(np.int64) % parts
-    yield from _blobs(buffer, lengths, starts[keep], h[keep] & np.uint64(0xFFFFFFFF), part, "<u4", parts)
+    yield from _blobs(ids[doc[keep]], starts[keep], at[keep] % block == 0, (h[keep] & np.uint64(0xFFFFFFFF)).astype("<u4"), part, parts)
     yield _direct(buffer, lengths, starts[np.sort(order[direct])], turn % parts)
 
 
@@ -201,16 +220,18 @@ def window_entries(buffer: _Buffer, width: int, parts: int, turn: int) -> Iterat
     again = np.zeros(len(order), dtype=bool)  # repeats inside one text share the fate of its first place
     again[1:] = (hs[1:] == hs[:-1]) & (ds[1:] == ds[:-1])
     sent = np.sort(order[~direct & ~again])
-    # A second hash of the words deals windows out, so that its bits count as well.
+    # A second hash of the words deals windows out and is compared as well.
     second = window_hashes(mix64(run ^ np.uint64(0xA5A5A5A5A5A5A5A5)), width)[starts[sent]]
     part = (second >> np.uint64(20)).astype(np.int64) % parts
-    yield from _blobs(buffer, lengths, starts[sent], h[sent], part, "<u8", parts)
+    both = np.empty(len(sent), dtype=WIDE)
+    both["first"], both["second"] = h[sent], second
+    yield from _blobs(ids[doc[sent]], starts[sent], np.zeros(len(sent), dtype=bool), both, part, parts)
     yield _direct(buffer, lengths, starts[np.sort(order[direct & ~again])], turn % parts)
 
 
 def _extremes(ids: np.ndarray, h: np.ndarray, tied: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order by hash, smallest id of the hash among the tied entries, largest id of all) for each place of that order."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h, kind="stable") if h.dtype.names is None else np.lexsort((h["second"], h["first"]))
     hs = h[order]
     first = np.ones(len(order), dtype=bool)
     first[1:] = hs[1:] != hs[:-1]
@@ -221,16 +242,15 @@ def _extremes(ids: np.ndarray, h: np.ndarray, tied: np.ndarray | None) -> tuple[
     return order, np.repeat(least, sizes), np.repeat(np.maximum.reduceat(i, heads), sizes)
 
 
-def anchor_answers(ids: np.ndarray, at: np.ndarray, h: np.ndarray, block: int) -> np.ndarray:
+def anchor_answers(ids: np.ndarray, tied: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Step 1, receiving side: mask of entries that meet a block of a smaller document, or are a block that a larger one meets."""
-    tied = at % block == 0
     order, least, most = _extremes(ids, h, tied)
     out = np.zeros(len(order), dtype=bool)
     out[order] = (ids[order] > least) | (tied[order] & (ids[order] < most))
     return out
 
 
-def window_answers(ids: np.ndarray, at: np.ndarray, h: np.ndarray, _: int) -> np.ndarray:
+def window_answers(ids: np.ndarray, tied: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Step 2, receiving side: mask of entries whose window also starts in a smaller document."""
     order, least, _ = _extremes(ids, h, None)
     out = np.zeros(len(order), dtype=bool)
@@ -238,10 +258,10 @@ def window_answers(ids: np.ndarray, at: np.ndarray, h: np.ndarray, _: int) -> np
     return out
 
 
-def _exchange(rows: DataFrame, load: Callable, entries: Callable, answers: Callable, width: int, kind: str, parts: int) -> DataFrame:
+def _exchange(rows: DataFrame, load: Callable, entries: Callable, answers: Callable, width: int, kind: str | np.dtype, parts: int) -> DataFrame:
     """Sends hashes of rows to partitions and returns the places (_SPOTS) that are answered yes, written as a table."""
     names = [c.split()[0] for c in _BLOBS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
     reply_names = [c.split()[0] for c in _REPLIES.split(", ")]
 
     def send(batches):
@@ -269,8 +289,8 @@ def _exchange(rows: DataFrame, load: Callable, entries: Callable, answers: Calla
 
         def close():
             if held:
-                ids, at, _, h = (np.concatenate(x) for x in zip(*held, strict=True))
-                mask, i = answers(ids, at, h, width), 0
+                ids, tied, _, h = (np.concatenate(x) for x in zip(*held, strict=True))
+                mask, i = answers(ids, tied, h), 0
                 for number, (_, _, starts, _) in zip(numbers, held, strict=True):
                     yes = starts[mask[i : i + len(starts)]]
                     i += len(starts)
@@ -283,7 +303,7 @@ def _exchange(rows: DataFrame, load: Callable, entries: Callable, answers: Calla
                     yield from close()
                     p, held, numbers = row["p"], [], []
                 if row["hashes"] is None:
-                    yield reply(row["buffer"], row["ids"], row["subs"], row["lengths"], _unpacked(row["low"], row["high"]).astype("<u4").tobytes())
+                    yield reply(row["buffer"], row["ids"], row["subs"], row["counts"], _unpacked(row["low"], row["high"]).astype("<u4").tobytes())
                 else:
                     held.append(_unpack(row, kind))
                     numbers.append(row["buffer"])
@@ -299,15 +319,7 @@ def _exchange(rows: DataFrame, load: Callable, entries: Callable, answers: Calla
     # A buffer has a reply from each partition at most, and its words bound their size.
     buffers = replies.groupBy("buffer").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("ids", "subs", "lengths")), F.collect_list("at").alias("at"))
     spots = buffers.mapInArrow(tell, _SPOTS)
-    out = staged(spots, "spots")
-    _release(rows.sparkSession)
-    return out
-
-
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs that are over and whose frames nothing holds."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return staged(spots, "spots")
 
 
 def _sub() -> Column:
@@ -350,7 +362,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, parts: int | None =
     anchors = _exchange(texts, load, anchor_entries, anchor_answers, block, "<u4", parts)
     # In a fixed order, so that a task that runs again fills its buffers alike.
     around = texts.join(_gathered(anchors, "hits").hint("shuffle_hash"), ["doc_id", "sub"]).sortWithinPartitions("doc_id", "sub", "text")
-    return _exchange(around, load_hits, window_entries, window_answers, window, "<u8", parts)
+    windows = _exchange(around, load_hits, window_entries, window_answers, window, WIDE, parts)
+    release(anchors)
+    return windows
 
 
 def _kept(text: bytes | None, at: list[int] | None, words: _Words, window: int) -> tuple[list[bytes], np.ndarray]:
