@@ -19,9 +19,19 @@ from ..operators import similarity as S
 from ..operators import topk as K
 from ..operators.dedup import keep_first
 from ..sources.io import page_meta
-from .registry import query, table, whole_sql
+from .registry import query, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+#: Decomposed letters: a mark behind its letter becomes a space, as it is neither letter nor digit.
+_MARKED = (("àáâãäå", "a"), ("ç", "c"), ("èéêë", "e"), ("ìíîï", "i"), ("ñ", "n"), ("òóôõö", "o"), ("ùúûü", "u"), ("ýÿ", "y"))
+
+
+def _decomposed(text: str) -> str:
+    for letters, base in _MARKED:
+        text = f"regexp_replace({text}, '[{letters}]', '{base} ', 'g')"
+    return text
+
+
 _KEY = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
@@ -64,14 +74,12 @@ for _e, _c in (("&amp;", "&"), ("&quot;", '"'), ("&#39;|&apos;", "''"), ("&lt;",
     _ENTITIES = f"regexp_replace({_ENTITIES}, '{_e}', '{_c}', 'g')"
 
 
-@query(rf"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace({_ENTITIES}, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages WHERE NOT regexp_matches(html, '&#\d')")
-def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").filter(~F.col("html").rlike(r"&#\d")).select("page_id", F.md5(T.strip_markup(F.col("html"))).alias("text_md5"))
+_NUMERIC = rf"""array_to_string(list_transform(string_split({_ENTITIES}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p WHEN regexp_matches(p, '^\d+;') THEN chr(CAST(regexp_extract(p, '^0*(\d{{1,7}});', 1) AS INTEGER)) || regexp_replace(p, '^\d+;', '') ELSE '&#' || p END), '')"""
 
 
-@query(None)
-def page_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of all pages, numeric entities decoded, which SQL cannot; null pages have none."""
+@query(rf"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace({_NUMERIC}, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of all pages, numeric entities decoded; null pages have none."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_markup(F.col("html"))).alias("text_md5"))
 
 
@@ -81,21 +89,17 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", T.norm_text(F.col("p_name")).alias("key"), I.slugify(F.col("p_name")).alias("slug"), I.stable_id("game_", F.concat_ws(":", "p_name", "p_brand")).alias("id"))
 
 
-@query(rf"SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(string_split({_KEY.format('text')}, ' '), lambda t: length(t) >= 3 AND NOT list_contains({_STOP}, t)))), ' ')) AS tokens_md5 FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
-def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _token_sets(table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")))
+#: The key of a text whose letters are ASCII or Latin-1; SQL has no general decomposition.
+_KEY_OF_TEXT = rf"trim(regexp_replace({_decomposed('lower(text)')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
-def _token_sets(d: DataFrame) -> DataFrame:
+@query(rf"SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(string_split({_KEY_OF_TEXT}, ' '), lambda t: length(t) >= 3 AND NOT list_contains({_STOP}, t)))), ' ')) AS tokens_md5 FROM documents")
+def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token sets of all documents. A null text has no token."""
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(F.array_join(F.array_sort(T.title_tokens(T.norm_text(F.col("text")))), " ")).alias("tokens_md5"))
 
 
-@query(None)
-def token_sets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token sets of all documents: SQL has no compatibility decomposition. A null text has no token."""
-    return _token_sets(table(spark, sf_dir, "documents"))
-
-
 @query(None)
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractive summaries of all documents, their first words as titles."""
@@ -103,19 +107,10 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.editorial_summary(F.col("text"), F.substring_index("text", ".", 1)).alias("summary"))
 
 
-@query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) AS INTEGER) AS words, CAST(len(regexp_extract_all(text, '[.!?](?:\s|$)')) AS INTEGER) AS sentences, CAST(len(regexp_extract_all(text, '(?i)<img\b')) AS INTEGER) AS images FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+@query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) AS INTEGER) AS words, CAST(len(regexp_extract_all(text, '[.!?](?:\s|$)')) AS INTEGER) AS sentences, CAST(len(regexp_extract_all(text, '(?i)<img\b')) AS INTEGER) AS images FROM documents")
 def article_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _article_metrics(table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")))
-
-
-@query(None)
-def article_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of all documents; those of a null text are null."""
-    return _article_metrics(table(spark, sf_dir, "documents"))
-
-
-def _article_metrics(d: DataFrame) -> DataFrame:
-    return d.select("doc_id", T.article_metrics(F.col("text")).alias("m")).select("doc_id", "m.words", "m.sentences", "m.images")
+    return table(spark, sf_dir, "documents").select("doc_id", T.article_metrics(F.col("text")).alias("m")).select("doc_id", "m.words", "m.sentences", "m.images")
 
 
 def _alt(patterns: tuple[str, ...]) -> str:
@@ -153,24 +148,17 @@ def publication_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", D.publication_fields(text, "Europe/Moscow").alias("p")).select("event_id", "p.day", "p.minute")
 
 
-_DOC_TOKENS = rf"list_distinct(list_filter(string_split({_KEY.format('text')}, ' '), lambda t: length(t) >= 5))"
+_DOC_TOKENS = rf"list_distinct(list_filter(string_split({_KEY_OF_TEXT}, ' '), lambda t: length(t) >= 5))"
 
 
 @query(
-    rf"""WITH d AS (SELECT doc_id, {_DOC_TOKENS} AS t FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')),
+    rf"""WITH d AS (SELECT doc_id, {_DOC_TOKENS} AS t FROM documents),
 u AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM d WHERE len(t) >= 5),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, any_value(x.n) AS nx, any_value(y.n) AS ny FROM u x JOIN u y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY 1, 2)
 SELECT a, b, CAST(shared AS INTEGER) AS shared, shared / least(nx, ny) AS similarity FROM p WHERE shared / least(nx, ny) >= 0.8"""
 )
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    tokens = T.title_tokens(T.norm_text(F.col("text"), normalise=False), 5, ())
-    return S.similar_pairs(d.select("doc_id", tokens.alias("t")), "doc_id", "t", 0.8, 5)
-
-
-@query(None)
-def near_duplicate_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of all documents, letters of all scripts decomposed, which SQL cannot."""
+    """Pairs of all documents, letters of all scripts decomposed."""
     tokens = T.title_tokens(T.norm_text(F.col("text")), 5, ())
     return S.similar_pairs(table(spark, sf_dir, "documents").select("doc_id", tokens.alias("t")), "doc_id", "t", 0.8, 5)
 
@@ -248,12 +236,12 @@ def alias_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT DISTINCT l_orderkey, 'part:' || l_partkey AS x FROM lineitem WHERE l_orderkey % 20 = 0), e AS (SELECT DISTINCT l_suppkey AS entity, 'part:' || l_partkey AS x FROM lineitem WHERE l_linenumber = 1)
+    """WITH i AS (SELECT DISTINCT l_orderkey, 'part:' || l_partkey AS x FROM lineitem), e AS (SELECT DISTINCT l_suppkey AS entity, 'part:' || l_partkey AS x FROM lineitem)
 SELECT DISTINCT l_orderkey, entity FROM i JOIN e USING (x)"""
 )
 def external_id_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return _external_id_link(li.filter("l_orderkey % 20 = 0"), li.filter("l_linenumber = 1"))
+    return _external_id_link(li, li)
 
 
 def _external_id_link(items: DataFrame, entities: DataFrame) -> DataFrame:
@@ -261,12 +249,6 @@ def _external_id_link(items: DataFrame, entities: DataFrame) -> DataFrame:
     return L.link_by_id(items.groupBy("l_orderkey").agg(ids), entities.groupBy(F.col("l_suppkey").alias("entity")).agg(ids), "l_orderkey", "ids", "entity")
 
 
-@query(whole_sql("external_id_link", " WHERE l_orderkey % 20 = 0", " WHERE l_linenumber = 1"))
-def external_id_link_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return _external_id_link(li, li)
-
-
 @query(
     """WITH r AS (SELECT p_partkey, p_name, p_brand, p_type FROM part), a AS (SELECT p_name AS k, count(DISTINCT p_partkey) AS n, min(p_partkey) AS e FROM part WHERE p_size < 5 GROUP BY 1), b AS (SELECT p_brand || p_type AS k, count(DISTINCT p_partkey) AS n, min(p_partkey) AS e FROM part WHERE p_size < 3 GROUP BY 1)
 SELECT r.p_partkey, CASE WHEN a.n = 1 THEN a.e WHEN a.n > 1 THEN NULL WHEN b.n = 1 THEN b.e END AS entity, CASE WHEN a.n = 1 THEN 'name' WHEN a.n > 1 THEN 'ambiguous-name' WHEN b.n = 1 THEN 'kind' WHEN b.n > 1 THEN 'ambiguous-kind' ELSE 'unresolved' END AS how FROM r LEFT JOIN a ON r.p_name = a.k LEFT JOIN b ON r.p_brand || r.p_type = b.k"""
@@ -279,14 +261,14 @@ def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT DISTINCT p_partkey AS e, unnest(['name', 'name', 'brand', 'type', 'type', 'type']) AS field, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_brand, split_part(p_type, ' ', 1), split_part(p_type, ' ', 2), split_part(p_type, ' ', 3)]) AS token FROM part WHERE p_partkey % 8 = 0),
+    """WITH f AS (SELECT DISTINCT p_partkey AS e, unnest(['name', 'name', 'brand', 'type', 'type', 'type']) AS field, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_brand, split_part(p_type, ' ', 1), split_part(p_type, ' ', 2), split_part(p_type, ' ', 3)]) AS token FROM part),
 n AS (SELECT e, field, count(*) AS n FROM f GROUP BY 1, 2), s AS (SELECT x.e AS a, y.e AS b, x.field, count(*) AS k FROM f x JOIN f y ON x.field = y.field AND x.token = y.token AND x.e <> y.e GROUP BY 1, 2, 3),
 o AS (SELECT s.a, s.b, s.field, k / CASE WHEN s.field = 'type' THEN greatest(p.n, q.n) ELSE least(p.n, q.n) END AS overlap, CASE s.field WHEN 'name' THEN 0.4 WHEN 'brand' THEN 0.25 ELSE 0.35 END::DOUBLE AS w FROM s JOIN n p ON s.a = p.e AND s.field = p.field JOIN n q ON s.b = q.e AND s.field = q.field),
 g AS (SELECT a, b, round(sum(round(w * overlap, 9)), 6) AS score, coalesce(string_agg(field, ',' ORDER BY round(w * overlap, 9) DESC, field) FILTER (overlap >= 0.35), '') AS reasons FROM o GROUP BY 1, 2)
 SELECT a, b, score, reasons, CAST(row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS INTEGER) AS rank FROM g WHERE score >= 0.34 QUALIFY rank <= 6"""
 )
 def similar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar_parts(table(spark, sf_dir, "part").filter("p_partkey % 8 = 0"))
+    return _similar_parts(table(spark, sf_dir, "part"))
 
 
 def _similar_parts(p: DataFrame) -> DataFrame:
@@ -298,11 +280,6 @@ def _similar_parts(p: DataFrame) -> DataFrame:
     return S.profile_neighbours(long, {"name": (0.4, "min"), "brand": (0.25, "min"), "type": (0.35, "max")}, 0.34, 6)
 
 
-@query(whole_sql("similar_parts", " WHERE p_partkey % 8 = 0"))
-def similar_parts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar_parts(table(spark, sf_dir, "part"))
-
-
 @query(
     """SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part WHERE contains(lower(p_name || ' ' || p_type), 'bolt') AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#3') AND p_size >= 10 AND p_size <= 40 ORDER BY p_retailprice DESC, p_partkey LIMIT 50"""
 )

@@ -12,7 +12,7 @@ from ..operators import linking as K
 from ..operators import quality as Q
 from ..operators import registry as G
 from ..operators import releases as Z
-from .registry import query, table, whole_sql
+from .registry import query, table
 
 
 def _old(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,16 +194,11 @@ def quality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem WHERE l_linenumber <= 3 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_extendedprice) = 1),
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_extendedprice) = 1),
 w AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, lag(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS s FROM r)
 SELECT 'rank_sequence' AS rule, l_orderkey || ':' || l_linenumber AS "key", CAST(NULL AS VARCHAR) AS detail FROM w WHERE n <> l_linenumber UNION ALL SELECT 'score_order', l_orderkey || ':' || l_linenumber, NULL FROM w WHERE s < l_extendedprice"""
 )
 def rank_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rank_violations(table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3"))
-
-
-@query(whole_sql("rank_violations", " WHERE l_linenumber <= 3"))
-def rank_violations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rank_violations(table(spark, sf_dir, "lineitem"))
 
 
@@ -318,16 +313,10 @@ def feed_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT event_id, user_id, event_type, floor(value) AS score FROM events WHERE event_id % 10 = 0), c AS (SELECT DISTINCT user_id AS candidate FROM events WHERE user_id % 3 = 0)
+    """WITH r AS (SELECT event_id, user_id, event_type, floor(value) AS score FROM events), c AS (SELECT DISTINCT user_id AS candidate FROM events)
 SELECT candidate, event_type AS region, CAST(max(floor(score + 0.5)) AS BIGINT) AS weight, count(DISTINCT event_id) AS events, count(DISTINCT event_id % 4) AS sources, (max(floor(score + 0.5)) >= 220 AND count(DISTINCT event_id) >= 2) OR (max(floor(score + 0.5)) >= 170 AND count(DISTINCT event_id % 4) >= 2) AS notable FROM r JOIN c ON r.user_id = c.candidate GROUP BY 1, 2"""
 )
 def regional_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return _regional_affinity(e.filter("event_id % 10 = 0"), e.filter("user_id % 3 = 0"))
-
-
-@query(whole_sql("regional_affinity", " WHERE event_id % 10 = 0", " WHERE user_id % 3 = 0"))
-def regional_affinity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return _regional_affinity(e, e)
 
@@ -366,14 +355,9 @@ def calendar_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id, CASE WHEN s >= 4 THEN 'broad' WHEN s >= 3 AND m > 0 THEN 'corroborated' WHEN s >= 2 AND t >= 2 AND m >= 100 THEN 'intense' WHEN user_id % 2 = 0 AND s >= 1 THEN 'niche_franchise' ELSE 'none' END AS notability FROM (SELECT user_id, count(DISTINCT event_type) AS s, count(DISTINCT event_id % 3) AS t, sum(value) AS m FROM events WHERE event_id % 25 = 0 GROUP BY 1)"""
+    """SELECT user_id, CASE WHEN s >= 4 THEN 'broad' WHEN s >= 3 AND m > 0 THEN 'corroborated' WHEN s >= 2 AND t >= 2 AND m >= 100 THEN 'intense' WHEN user_id % 2 = 0 AND s >= 1 THEN 'niche_franchise' ELSE 'none' END AS notability FROM (SELECT user_id, count(DISTINCT event_type) AS s, count(DISTINCT event_id % 3) AS t, sum(value) AS m FROM events GROUP BY 1)"""
 )
 def notability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _notability(table(spark, sf_dir, "events").filter("event_id % 25 = 0"))
-
-
-@query(whole_sql("notability", " WHERE event_id % 25 = 0"))
-def notability_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _notability(table(spark, sf_dir, "events"))
 
 
@@ -394,15 +378,9 @@ def sourced_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN CAST(p_size AS BIGINT) WHEN k = 1 THEN e END AS base, CASE WHEN p_size % 4 = 0 THEN 'attached' WHEN k = 1 THEN 'attached' WHEN k > 1 THEN 'error' ELSE 'review' END AS outcome
-FROM part LEFT JOIN (SELECT p_name AS n, count(*) AS k, min(p_partkey) AS e FROM part WHERE p_partkey <= 60 GROUP BY 1) ON p_name = n"""
+FROM part LEFT JOIN (SELECT p_name AS n, count(*) AS k, min(p_partkey) AS e FROM part GROUP BY 1) ON p_name = n"""
 )
 def attached_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return _attached_variants(p, p.filter("p_partkey <= 60"))
-
-
-@query(whole_sql("attached_variants", " WHERE p_partkey <= 60"))
-def attached_variants_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return _attached_variants(p, p)
 
@@ -422,15 +400,10 @@ def attached_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS date, 's' || l_suppkey AS source FROM lineitem WHERE l_linenumber <= 3), c AS (SELECT o_orderkey AS l_orderkey, CAST(o_orderdate AS DATE) + 30 AS date, 'claim' AS source FROM orders)
+    """WITH e AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS date, 's' || l_suppkey AS source FROM lineitem), c AS (SELECT o_orderkey AS l_orderkey, CAST(o_orderdate AS DATE) + 30 AS date, 'claim' AS source FROM orders)
 SELECT l_orderkey, date, list_sort(list_distinct(list(source))) AS source_ids FROM (SELECT * FROM e UNION ALL SELECT * FROM c) GROUP BY 1, 2"""
 )
 def claimed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _claimed_events(table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3"), table(spark, sf_dir, "orders"))
-
-
-@query(whole_sql("claimed_events", " WHERE l_linenumber <= 3"))
-def claimed_events_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _claimed_events(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
 
 
@@ -477,17 +450,11 @@ def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT p_brand AS cluster, p_partkey, list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type]) AS t FROM part WHERE p_partkey % 4 = 0), s AS (SELECT p_partkey AS signal, list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type]) AS t, p_size AS score, p_size % 7 AS comments FROM part WHERE p_partkey % 25 = 1),
+    """WITH m AS (SELECT p_brand AS cluster, p_partkey, list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type]) AS t FROM part), s AS (SELECT p_partkey AS signal, list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type]) AS t, p_size AS score, p_size % 7 AS comments FROM part),
 n AS (SELECT cluster, signal, max(len(list_intersect(m.t, s.t)) / least(len(m.t), len(s.t))) AS sim, any_value(score) AS score, any_value(comments) AS comments FROM m, s GROUP BY 1, 2)
 SELECT cluster, count(*) AS mentions, CAST(floor(sum(8 * log10(score + 1)) + sum(10 * log10(comments + 1)) + 0.5) AS BIGINT) AS momentum FROM n WHERE sim >= 0.55 GROUP BY 1"""
 )
 def discussion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return _discussion(p.filter("p_partkey % 4 = 0"), p.filter("p_partkey % 25 = 1"))
-
-
-@query(whole_sql("discussion", " WHERE p_partkey % 4 = 0", " WHERE p_partkey % 25 = 1"))
-def discussion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return _discussion(p, p)
 
@@ -502,15 +469,10 @@ def _discussion(members: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT DISTINCT l_orderkey, 'p' || l_partkey AS x FROM lineitem WHERE l_orderkey % 50 < 2), e AS (SELECT 'p' || p_partkey AS x, p_partkey AS entity FROM part WHERE p_partkey % 3 = 0), b AS (SELECT DISTINCT l_orderkey, entity FROM i JOIN e USING (x))
-SELECT l_orderkey, entity, 'id' AS how FROM b UNION ALL SELECT o_orderkey, p_partkey, 'title' FROM orders JOIN part ON 'part ' || p_partkey = 'part ' || o_custkey WHERE o_orderkey % 50 < 2 AND p_partkey % 3 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM b) AND o_orderkey IN (SELECT l_orderkey FROM i)"""
+    """WITH i AS (SELECT DISTINCT l_orderkey, 'p' || l_partkey AS x FROM lineitem), e AS (SELECT 'p' || p_partkey AS x, p_partkey AS entity FROM part), b AS (SELECT DISTINCT l_orderkey, entity FROM i JOIN e USING (x))
+SELECT l_orderkey, entity, 'id' AS how FROM b UNION ALL SELECT o_orderkey, p_partkey, 'title' FROM orders JOIN part ON 'part ' || p_partkey = 'part ' || o_custkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM b) AND o_orderkey IN (SELECT l_orderkey FROM i)"""
 )
 def id_or_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _id_or_title(table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 < 2"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "part").filter("p_partkey % 3 = 0"))
-
-
-@query(whole_sql("id_or_title", " WHERE l_orderkey % 50 < 2", " WHERE p_partkey % 3 = 0", "o_orderkey % 50 < 2 AND p_partkey % 3 = 0 AND "))
-def id_or_title_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _id_or_title(*(table(spark, sf_dir, t) for t in ("lineitem", "orders", "part")))
 
 

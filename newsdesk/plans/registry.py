@@ -26,13 +26,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-def whole_sql(name: str, *cuts: str) -> str:
-    """The SQL of a registered query without the given filters, so that whole tables go in."""
-    sql = ORACLES[name]
-    for cut in cuts:
-        if sql.count(cut) != 1:
-            raise ValueError(f"{name}: {cut!r} is not in its SQL once")
-        sql = sql.replace(cut, "")
-    return sql
