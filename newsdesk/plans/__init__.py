@@ -1,6 +1,6 @@
 """Queries over the given tables: operators bound to columns, each with the SQL that gives the same rows."""
 
-from . import content, ranking, records
+from . import content, ranking, records, rules
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "content", "ranking", "records"]
+__all__ = ["ORACLES", "QUERIES", "content", "ranking", "records", "rules"]
