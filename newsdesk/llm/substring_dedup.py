@@ -315,7 +315,7 @@ def _exchange(rows: DataFrame, load: Callable, entries: Callable, answers: Calla
                 if (found := _spots(row)) is not None:
                     yield found
 
-    replies = rows.mapInArrow(send, _BLOBS).repartition(parts, "p").sortWithinPartitions("p").mapInArrow(answer, _REPLIES)
+    replies = rows.mapInArrow(send, _BLOBS).repartitionById(parts, F.col("p")).sortWithinPartitions("p").mapInArrow(answer, _REPLIES)
     # A buffer has a reply from each partition at most, and its words bound their size.
     buffers = replies.groupBy("buffer").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("ids", "subs", "lengths")), F.collect_list("at").alias("at"))
     spots = buffers.mapInArrow(tell, _SPOTS)
