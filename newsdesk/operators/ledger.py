@@ -152,10 +152,12 @@ def failure_streaks(checks: DataFrame, source: str, ts: str, tie: str, ok: Colum
 def redirect_roots(redirects: DataFrame, most: int = 20) -> DataFrame:
     """(source, target, cyclic): the end of each chain of merges; a chain that comes back to itself is cyclic.
 
-    Pointers double each round, so ``most`` rounds follow chains of 2 ** most steps.
+    Pointers double each round, so ``most`` rounds follow chains of 2 ** most steps; longer ones are an error.
     """
     now = redirects.select("source", "target")
-    for _ in range(most):
+    for turn in range(most + 1):
+        if turn == most:
+            raise ValueError(f"chains of merges are longer than 2 ** {most}")
         step = now.select(F.col("source").alias("target"), F.col("target").alias("next"))
         joined = now.join(step, "target", "left").select("source", F.coalesce("next", "target").alias("new"), "target")
         moved = joined.filter("new <> target AND new <> source AND target <> source").limit(1).count()
@@ -173,3 +175,28 @@ def merge_entities(entities: DataFrame, redirects: DataFrame, key: str, arrays:
     named = entities.join(roots.select(F.col("source").alias(key), F.col("target").alias("_root")), key, "left").withColumn("_root", F.coalesce("_root", key))
     return named.groupBy(F.col("_root").alias(key)).agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in arrays), F.array_sort(F.collect_list(key)).alias("members"))
 
+
+
+def undo_merges(entities: DataFrame, undone: DataFrame, key: str, reason: str = "merge_undone") -> DataFrame:
+    """entities(key, status, status_reason, merged_into) with the merges of undone(key) taken back: they need review again.
+
+    Undoing what is not merged is an error.
+    """
+    marked = entities.join(undone.select(key).distinct().withColumn("_undo", F.lit(True)), key, "left")
+    back, merged = F.coalesce(F.col("_undo"), F.lit(False)), F.coalesce(F.col("status") == "merged_into_another_game", F.lit(False))
+    status = F.when(back & ~merged, F.raise_error(F.concat(F.lit("not merged: "), F.col(key).cast("string"))).cast("string")).when(back, "needs_review").otherwise(F.col("status"))
+    return marked.withColumns({"status": status, "status_reason": F.when(back, reason).otherwise(F.col("status_reason")), "merged_into": F.when(~back, F.col("merged_into"))}).select(entities.columns)
+
+
+def roll_back(items: DataFrame, revisions: DataFrame, targets: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """items with ``columns`` as they were in the revisions that targets(key, revision_no) name, and a status for those targets.
+
+    *rolled_back* where the revision exists, else *revision_not_found*, with the item
+    as it is; other items have a null status.
+    """
+    wanted = targets.select(key, "revision_no", F.lit(True).alias("_t")).distinct()
+    found = wanted.join(revisions.select(key, "revision_no", F.struct(*columns).alias("_r")), [key, "revision_no"], "left")
+    rows = items.join(found, key, "left")
+    value = {c: F.when(F.col("_r").isNotNull(), F.col("_r")[c]).otherwise(F.col(c)) for c in columns}
+    status = F.when(F.col("_r").isNotNull(), "rolled_back").when(F.col("_t"), "revision_not_found")
+    return rows.withColumns(value).withColumn("rollback_status", status).select(*items.columns, "rollback_status")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def walk_groups(df: DataFrame, key: str, columns: list[str], walk: Callable[[list], list], schema: str) -> DataFrame:
     """Rows that ``walk`` makes of each group's rows (dicts of ``columns``): sequential in a group, parallel over groups.
@@ -51,14 +53,6 @@ def daily_cap(df: DataFrame, day: str, manual: Column, order: list[Column], cap:
     return df.withColumn("day_rank", F.row_number().over(w)).withColumn("status", F.when((F.col("day_rank") > cap) & ~manual, "review").otherwise("public"))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written and read again: where the session has a checkpoint folder, there."""
-    from .similarity import _checkpoint_dir
-
-    durable = bool(df.sparkSession.sparkContext.getCheckpointDir()) or _checkpoint_dir(df.sparkSession)
-    return df.checkpoint() if durable else df.localCheckpoint()
-
-
 def places(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """df with each row's place from 1 in its group (``by`` may be empty), by ``order``.
 
@@ -66,7 +60,7 @@ def places(df: DataFrame, by: list[str], order: list[Column], name: str) -> Data
     of the ranges before it are added.  So no task holds a group.
     """
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = kept(df.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()))
+    dealt = stored(df.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()))
     counts = dealt.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_b"))
@@ -87,20 +81,20 @@ def greedy_dates(df: DataFrame, key: str, dates: str, rank: str, per_day: int, p
     key is always decided.
     """
     rows = df.select(F.col(key).alias("k"), F.array_distinct(dates).alias("d"), F.col(rank).alias("r")).filter(F.size("d") > 0)
-    lines = kept(kept(rows.withColumn("i", F.monotonically_increasing_id())).select("k", "r", "i", F.size("d").alias("n"), F.explode("d").alias("d")))
+    lines = stored(stored(rows.withColumn("i", F.monotonically_increasing_id())).select("k", "r", "i", F.size("d").alias("n"), F.explode("d").alias("d")))
     by_rank = Window.partitionBy("d").orderBy("r", "k", "i")
     taken, used = lines.select("k", "r").limit(0), None
     while not lines.isEmpty():
         first = lines.withColumn("place", F.row_number().over(by_rank)).filter(F.col("place") <= per_day)
         if used is not None:
             first = first.join(used, first["d"].eqNullSafe(used["_d"]), "left").filter(F.col("place") <= per_day - F.coalesce("u", F.lit(0)))
-        new = kept(first.groupBy("i", "k", "r", "n").agg(F.count(F.lit(1)).alias("ok")).filter("ok = n").select("i", "k", "r"))
-        taken = kept(taken.unionByName(new.select("k", "r")))
+        new = stored(first.groupBy("i", "k", "r", "n").agg(F.count(F.lit(1)).alias("ok")).filter("ok = n").select("i", "k", "r"))
+        taken = stored(taken.unionByName(new.select("k", "r")))
         more = lines.join(new.select("i"), "i", "left_semi").select(F.col("d").alias("_d"), F.lit(1).alias("u"))
-        used = kept((more if used is None else used.unionByName(more)).groupBy("_d").agg(F.sum("u").cast("int").alias("u")))
+        used = stored((more if used is None else used.unionByName(more)).groupBy("_d").agg(F.sum("u").cast("int").alias("u")))
         full = used.filter(F.col("u") >= per_day)
         out = lines.join(full, lines["d"].eqNullSafe(full["_d"]), "left_semi").select("i").unionByName(new.select("i")).distinct()
-        lines = kept(lines.join(out, "i", "left_anti"))
+        lines = stored(lines.join(out, "i", "left_anti"))
     if pool is not None:
         taken = taken.orderBy("r", "k").limit(pool)
     return taken.select(F.col("k").alias(key), F.col("r").alias(rank))

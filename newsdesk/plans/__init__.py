@@ -1,6 +1,7 @@
 """Queries over the given tables: operators bound to columns, each with the SQL that gives the same rows."""
 
-from . import content, ranking, records, rules
+from . import content, ranking, records, rules  # noqa: I001
+from . import feeds
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "content", "ranking", "records", "rules"]
+__all__ = ["ORACLES", "QUERIES", "content", "feeds", "ranking", "records", "rules"]

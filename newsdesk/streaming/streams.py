@@ -7,31 +7,76 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.dedup import latest
 from ..operators.ledger import append_revisions, content_hash
 
 
-def latest_votes(votes: DataFrame, table: str) -> None:
-    """foreachBatch step: upserts the latest vote of each (game, voter) into a Parquet folder with a version pointer.
+#: Buckets of a table of latest rows; a micro-batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _places(spark: SparkSession, table: str) -> dict[int, int]:
+    """The version that holds each bucket: at most BUCKETS rows."""
+    if not _exists(spark, f"{table}/_versions"):
+        return {}
+    return {r[0]: r[1] for r in spark.read.parquet(f"{table}/_versions").groupBy("bucket").agg(F.max("version")).collect()}
+
 
-    Votes are ordered by time and rating, so replaying a batch changes nothing.
+def _stored(spark: SparkSession, table: str, places: dict[int, int], schema) -> list[DataFrame]:
+    """The rows of buckets with their bucket, a DataFrame for each version that holds some."""
+    out = []
+    for v in sorted(set(places.values())):
+        paths = [f"{table}/v{v}/bucket={b}" for b in sorted(places) if places[b] == v]
+        out.append(spark.read.schema(StructType([*schema, StructField("bucket", IntegerType())])).option("basePath", f"{table}/v{v}").parquet(*paths))
+    return out
+
+
+def upsert_latest(rows: DataFrame, table: str, keys: list[str], order: list[str]) -> None:
+    """Keeps the last of each key, by ``order``, in a folder of buckets; only buckets that rows touch are written again.
+
+    A pointer for each bucket is appended when its new version is complete.  The
+    order is total up to equal rows, so replaying a batch changes nothing.
     """
-    spark = votes.sparkSession
-    new = votes.filter(F.col("rating").between(1, 10)).select("game", "voter", "rating", "ts")
-    version = current_version(spark, table)
-    both = new if version is None else spark.read.parquet(f"{table}/v{version}").unionByName(new)
-    latest(both, ["game", "voter"], ["ts", "rating"]).write.mode("overwrite").parquet(f"{table}/v{(version or 0) + 1}")
-    spark.createDataFrame([((version or 0) + 1,)], "version int").coalesce(1).write.mode("append").parquet(f"{table}/_versions")
+    spark = rows.sparkSession
+    new = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+    touched = {r[0] for r in new.select("bucket").distinct().collect()}
+    if not touched:
+        return
+    places = _places(spark, table)
+    version = max(places.values(), default=0) + 1
+    for old in _stored(spark, table, {b: places[b] for b in touched & places.keys()}, rows.schema):
+        new = new.unionByName(old)
+    latest(new, ["bucket", *keys], order).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v{version}")
+    spark.createDataFrame([(b, version) for b in sorted(touched)], "bucket int, version int").coalesce(1).write.mode("append").parquet(f"{table}/_versions")
+
+
+def read_latest(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    """The rows of a table of latest rows."""
+    out = spark.createDataFrame([], schema)
+    for part in _stored(spark, table, _places(spark, table), out.schema):
+        out = out.unionByName(part.drop("bucket"))
+    return out
 
 
-def current_version(spark: SparkSession, table: str) -> int | None:
-    """The highest committed version of a folder; None if it has none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/_versions")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.parquet(f"{table}/_versions").agg(F.max("version")).first()[0]
+VOTES = "game string, voter string, rating int, ts timestamp"
+
+
+def latest_votes(votes: DataFrame, table: str) -> None:
+    """foreachBatch step: upserts the latest vote of each (game, voter), by time and rating; ratings are 1 to 10."""
+    rows = votes.filter(F.col("rating").between(1, 10)).select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in VOTES.split(", ")))
+    upsert_latest(rows, table, ["game", "voter"], ["ts", "rating"])
+
+
+def read_votes(spark: SparkSession, table: str) -> DataFrame:
+    return read_latest(spark, table, VOTES)
 
 
 def vote_stream(stream: DataFrame, table: str, checkpoint: str):
@@ -73,17 +118,44 @@ def source_health(stream: DataFrame) -> DataFrame:
     return stream.groupBy("source").transformWithStateInPandas(SourceHealth(), "source string, failures long, persistent boolean", "Update", "None")
 
 
-def import_snapshot(items: DataFrame, ledger: str, key: str, columns: list[str]) -> None:
-    """foreachBatch step: appends revisions of items whose content changed; the same snapshot again appends none."""
-    spark = items.sparkSession
-    incoming = items.select(key, content_hash(columns).alias("digest")).dropDuplicates([key])
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
-    exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    schema = f"{key} {dict(items.dtypes)[key]}, revision_no int, digest string"
-    old = spark.read.schema(schema).parquet(ledger) if exists else spark.createDataFrame([], schema)
-    append_revisions(old, incoming, key, "digest").select(key, F.col("revision_no").cast("int"), "digest").write.mode("append").parquet(ledger)
+RUNS = "run long, version string, status string, item_count long, message string"
+
+
+def import_snapshot(items: DataFrame, ledger: str, key: str, columns: list[str], current: str | None = None, runs: str | None = None, version: str = "", run: int = 0) -> None:
+    """foreachBatch step: appends revisions of items whose content changed; the same snapshot again appends none.
 
+    With ``current`` the items themselves are upserted there, and with ``runs`` the
+    run is noted as running, then as success with its item count, or as failed.  Of
+    several contents of a key in one batch the one with the largest digest counts.
+    """
+    spark = items.sparkSession
 
-def snapshot_stream(stream: DataFrame, ledger: str, key: str, columns: list[str], checkpoint: str):
-    """Starts the import of a stream of snapshot items."""
-    return stream.writeStream.foreachBatch(lambda df, _: import_snapshot(df, ledger, key, columns)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def note(status: str, count: int | None = None, message: str | None = None) -> None:
+        if runs:
+            spark.createDataFrame([(run, version, status, count, message)], RUNS).coalesce(1).write.mode("append").parquet(runs)
+
+    note("running")
+    try:
+        digest = content_hash(columns)
+        chosen = items.groupBy(key).agg(F.max(F.struct(digest.alias("digest"), *(F.col(c) for c in columns))).alias("_i")).select(key, "_i.*")
+        schema = f"{key} {dict(items.dtypes)[key]}, revision_no int, digest string"
+        old = spark.read.schema(schema).parquet(ledger) if _exists(spark, ledger) else spark.createDataFrame([], schema)
+        append_revisions(old, chosen.select(key, "digest"), key, "digest").select(key, F.col("revision_no").cast("int"), "digest").write.mode("append").parquet(ledger)
+        if current:
+            upsert_latest(chosen.withColumn("run", F.lit(run).cast("long")), current, [key], ["run", "digest"])
+    except Exception as e:
+        note("failed", message=str(e)[:500])
+        raise
+    note("success", chosen.count())
+
+
+def current_items(spark: SparkSession, current: str, items: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The items of an imported ledger as they stand; ``items`` gives their types."""
+    kinds = dict(items.dtypes)
+    return read_latest(spark, current, f"{key} {kinds[key]}, digest string, {', '.join(f'{c} {kinds[c]}' for c in columns)}, run long")
+
+
+def snapshot_stream(stream: DataFrame, ledger: str, key: str, columns: list[str], checkpoint: str, current: str | None = None, runs: str | None = None):
+    """Starts the import of a stream of snapshot items, a run for each micro-batch."""
+    step = lambda df, i: import_snapshot(df, ledger, key, columns, current, runs, f"batch-{i}", i)
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

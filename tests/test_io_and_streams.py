@@ -74,8 +74,7 @@ def test_vote_stream_equals_its_batch(spark, tmp_path):
     votes.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(votes.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     streams.vote_stream(stream, f"{tmp_path}/votes", f"{tmp_path}/cp").awaitTermination()
-    version = streams.current_version(spark, f"{tmp_path}/votes")
-    got = ratings.vote_totals(spark.read.parquet(f"{tmp_path}/votes/v{version}"), "game", "rating")
+    got = ratings.vote_totals(streams.read_votes(spark, f"{tmp_path}/votes"), "game", "rating")
     want = ratings.vote_totals(latest(votes.filter("rating between 1 and 10"), ["game", "voter"], ["ts", "rating"]), "game", "rating")
     assert sorted(got.collect()) == sorted(want.collect())
 
