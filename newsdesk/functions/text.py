@@ -153,26 +153,50 @@ def tag_by_rules(text: Column, rules: dict[str, str]) -> Column:
 
 #: Patterns of regions.
 REGIONS = {
-    "ru": r"росси|\brussia", "cis": r"\bснг\b|казахстан|беларус|узбекистан|kazakhstan|belarus", "eu": r"\beurope|\bevrop|европ|germany|france|германи|франци",
-    "uk": r"\bunited kingdom\b|\bbritain\b|британи", "us": r"\bunited states\b|\busa\b|\bamerica|сша", "jp": r"\bjapan|япони", "cn": r"\bchina\b|chinese|китай|китае", "kr": r"\bkorea|коре[яи]", "latam": r"\bbrazil|latin america|бразили", "in": r"\bindia\b|инди[яи]\b",
-}
-
-
-def infer_axes(text: Column, axes: dict[str, dict[str, list[str]]]) -> Column:
-    """map<axis, labels>: labels of which the normalised text holds a term."""
-    entries = []
+    "cis": "росси|казахстан|беларус|снг|армени|азербайджан|грузи|кыргыз|молдов|таджик|туркмен|узбекистан|рубл|тенге|vk play",
+    "europe": r"европ|евросоюз|\beu\b|великобритан|британи|германи|франци|итали|испан|польш",
+    "north-america": r"сша|америк|канад|мексик|\bus\b",
+    "japan": "япони|японск",
+    "korea": "коре|корейск",
+    "china": "кита|китайск|гонконг|тайван",
+    "latam": "бразил|аргентин|чили|колумби|перу|латинск.*америк",
+    "mena": "ближн.*восток|саудов|эмират|турци|израил|егип",
+    "sea": "юго-восточн.*ази|сингапур|малайзи|индонези|таиланд|вьетнам|филиппин",
+    "oceania": "австрали|нов.*зеланд",
+}
+
+
+def tag_regions(text: Column) -> Column:
+    """Ids of the regions that a text names."""
+    return tag_by_rules(text, REGIONS)
+
+
+def infer_axes(text: Column, axes: dict[str, dict[str, list[str]]], explicit: dict[str, Column] | None = None) -> Column:
+    """map<axis, labels>: labels of which the normalised text holds a term; a profile's own labels (arrays, by axis) win over them."""
+    entries, said = [], explicit or {}
     for axis, labels in axes.items():
         found = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, (text.contains(t) for t in terms)), F.lit(label)) for label, terms in labels.items())))
-        entries += [F.lit(axis), found]
+        entries += [F.lit(axis), F.when(F.size(said[axis]) > 0, said[axis]).otherwise(found) if axis in said else found]
     return F.create_map(*entries)
 
 
-def franchise_term(title: Column, stop: Iterable[str] = STOP_WORDS) -> Column:
-    """A term to search a franchise by: a token like XX-9, else the last usable segment, three words at most."""
-    code = F.regexp_extract(title, r"\b([A-Za-z]{2,}-\d+)\b", 1)
-    usable = lambda s: F.filter(F.split(F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: (F.char_length(w) > 0) & ~w.isin(*stop) & ~w.rlike(r"^(19|20)\d\d$"))
-    segments = F.filter(F.transform(F.reverse(F.split(title, r"\s*[.:;—]\s*")), usable), lambda ws: F.size(ws) > 0)
-    return F.when(code != "", F.lower(code)).otherwise(F.array_join(F.slice(F.try_element_at(segments, F.lit(1)), 1, 3), " "))
+#: Words that name no franchise.
+FRANCHISE_STOP = ("series", "game", "games", "edition", "remastered", "remaster", "complete", "ultimate", "definitive", "deluxe", "simulator", "simulation", "the", "a", "an")
+
+
+def franchise_term(title: Column) -> Column:
+    """A term to search a franchise by: a token like XX-9, else up to three usable words of the last segment that has some, as written.
+
+    Segments are divided by . : ; and dashes; stop words and years are not usable;
+    of several segments one needs three characters.
+    """
+    clean = F.trim(F.regexp_replace(title, "[™®]", ""))
+    code = F.regexp_extract(clean, r"(?U)\b(\p{L}{1,10}-\d{1,4})\b", 1)
+    key = lambda w: F.trim(F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", " "))
+    term = lambda seg: F.array_join(F.slice(F.filter(F.split(F.trim(seg), r"\s+"), lambda w: (key(w) != "") & ~key(w).isin(*FRANCHISE_STOP) & ~w.rlike(r"^(19|20)\d{2}$")), 1, 3), " ")
+    segments = F.filter(F.transform(F.split(clean, r"[.:;—–]\s*"), F.trim), lambda x: x != "")
+    usable = F.filter(F.transform(F.reverse(segments), term), lambda x: F.char_length(x) >= 3)
+    return F.when(code != "", code).when(F.size(segments) > 1, F.coalesce(F.try_element_at(usable, F.lit(1)), term(clean))).otherwise(term(clean))
 
 
 #: What lends a sentence weight in a summary, as (pattern, points).

@@ -49,3 +49,32 @@ def publisher_key(title: Column, source: Column, aliases: dict[str, str] | None
         return said
     named = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
     return F.coalesce(F.try_element_at(named, said), said)
+
+
+#: Other names of publishers, and names of platforms and makers, which are not independent.
+PUBLISHERS = {"gamesradar+": "gamesradar", "v g c": "vgc", "pcgamesn.com": "pcgamesn", "polygon.com": "polygon", "eurogamer.net": "eurogamer"}
+OFFICIAL = r"(?i)\b(steam|electronic arts|ea games|playstation|xbox|nintendo|bandai namco|ubisoft|rockstar games|bethesda|focus entertainment|lucasfilm|starwars\.com|epic games|developer|publisher)\b"
+
+
+def publisher_name(title: Column, source: Column, aggregated: Column) -> Column:
+    """The publisher of an item: of an aggregated feed what follows the title's last " - ", if that can be a name, else its source."""
+    said = F.regexp_extract(title, r"\s+-\s+([^–—|]{2,100})$", 1)
+    return F.when(aggregated & (F.trim(said) != ""), F.trim(said)).otherwise(source)
+
+
+def publisher_family(name: Column, aliases: dict[str, str] | None = None) -> Column:
+    """One key for a publisher's names: lower case, aliases replaced, national editions united."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    key, table = plain(name), {**PUBLISHERS, **(aliases or {})}
+    simple = {" ".join("".join(ch if ch.isalnum() else " " for ch in k.lower()).split()): v for k, v in table.items()}
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in simple.items() for x in pair)), key)
+    return F.when(known.isNotNull(), known).when(key.rlike(r"(^|\s)ign(\s|$)"), "ign").when(key.contains("gamereactor"), "gamereactor").otherwise(key)
+
+
+def trusted_publisher(name: Column, trusted: tuple[str, ...]) -> Column:
+    """Whether a publisher is no platform or maker, and its key is a trusted one, holds one or is held by one."""
+    key = publisher_family(name)
+    near = F.lit(False)
+    for t in trusted:
+        near = near | key.contains(t) | F.lit(t).contains(key)
+    return (key != "") & ~key.rlike(OFFICIAL) & near

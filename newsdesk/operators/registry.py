@@ -112,3 +112,61 @@ def project_catalogue(resolved: DataFrame, key: str, entity: str, order: list[Co
     marked = resolved.filter(F.col(entity).isNotNull()).withColumn("_n", F.row_number().over(w))
     unresolved = resolved.filter(F.col(entity).isNull()).select(key, entity, F.lit("unresolved").alias("issue"))
     return marked.filter("_n = 1").drop("_n"), marked.filter("_n > 1").select(key, entity, F.lit("duplicate").alias("issue")).unionByName(unresolved)
+
+
+def resolve_system(records: DataFrame, games: DataFrame, variants: DataFrame, externals: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
+    """(key, status, entity, reason) of records(key, game_id, slug, variant_id, ids, alias) by the indexes of a registry of active games.
+
+    games(entity, slug), variants(entity, variant_id, slug), externals(entity, id),
+    aliases(entity, alias).  In this order: the owner of a variant (by id, or slug),
+    the explicit id, the slug, a single external id, a single alias.  Outcomes:
+    embedded_variant, matched, mismatch (the explicit id is unknown or another than
+    the slug's or the variant's), unresolved.  Of several variants with one id or
+    slug the smallest owner counts.
+    """
+    own = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    r = records.select(key, own("game_id").alias("_g"), own("slug").alias("_s"), own("variant_id").alias("_v"), "ids", own("alias").alias("_a"))
+    one = lambda df, c, name: df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_k{name}")).agg(F.min("entity").alias(f"_{name}"), F.count_distinct("entity").alias(f"_n{name}"))
+    known = games.select(F.col("entity").cast("string").alias("_kid"), F.col("entity").alias("_explicit")).distinct()
+    r = r.join(known, r["_g"] == F.col("_kid"), "left")
+    for df, c, name, column in ((games, "slug", "slug", "_s"), (variants, "variant_id", "byvariant", "_v"), (variants, "slug", "byslug", "_s"), (aliases, "alias", "alias", "_a")):
+        r = r.join(one(df, c, name), F.col(column) == F.col(f"_k{name}"), "left")
+    met = r.select(key, F.explode(F.array_distinct("ids")).alias("id")).join(externals.select("id", "entity"), "id").groupBy(key).agg(F.min("entity").alias("_ext"), F.count_distinct("entity").alias("_next"))
+    r = r.join(met, key, "left")
+    owner = F.coalesce("_byvariant", "_byslug")
+    other = lambda a, b: F.coalesce(a != b, F.lit(False))
+    unknown = F.col("_g").isNotNull() & F.col("_explicit").isNull()
+    cases = [
+        (owner.isNotNull() & other(F.col("_explicit"), owner), "mismatch", owner, "variant_base_game_id_mismatch"),
+        (owner.isNotNull(), "embedded_variant", owner, "embedded_variant"),
+        (unknown & F.col("_slug").isNotNull(), "mismatch", F.col("_slug"), "unknown_explicit_game_id"),
+        (unknown, "unresolved", None, "unknown_explicit_game_id"),
+        (other(F.col("_explicit"), F.col("_slug")), "mismatch", F.col("_slug"), "game_id_slug_mismatch"),
+        (F.col("_explicit").isNotNull(), "matched", F.col("_explicit"), "canonical_game_id"),
+        (F.col("_slug").isNotNull(), "matched", F.col("_slug"), "canonical_slug"),
+        (F.col("_next") == 1, "matched", F.col("_ext"), "canonical_external_id"),
+        (F.col("_next") > 1, "unresolved", None, "ambiguous_external_id"),
+        (F.col("_nalias") == 1, "matched", F.col("_alias"), "canonical_alias"),
+        (F.col("_nalias") > 1, "unresolved", None, "ambiguous_alias"),
+    ]
+    kind = games.schema["entity"].dataType
+    out = F.struct(F.lit("unresolved").alias("status"), F.lit(None).cast(kind).alias("entity"), F.lit("not_found").alias("reason"))
+    for condition, status, entity, reason in reversed(cases):
+        out = F.when(condition, F.struct(F.lit(status).alias("status"), (F.lit(None) if entity is None else entity).cast(kind).alias("entity"), F.lit(reason).alias("reason"))).otherwise(out)
+    return r.select(key, out.alias("_o")).select(key, "_o.status", "_o.entity", "_o.reason")
+
+
+def registration_outcomes(candidates: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, review queue) of candidates by identity_matches.
+
+    outcomes(candidate, decision, entity): matched with one match and nothing
+    ambiguous, needs_review with several or ambiguous ones, else created.  The queue
+    has a row for each possible entity of a candidate under review: (candidate,
+    entity, reason), best first by confidence.
+    """
+    said = identity_decisions(candidates, matches)
+    decision = F.when(F.col("status") == "review", "needs_review").when(F.col("status") == "new", "created").otherwise(F.col("status"))
+    outcomes = said.select("candidate", decision.alias("decision"), "entity")
+    queue = matches.filter("decision <> 'none'").join(outcomes.filter("decision = 'needs_review'").select("candidate"), "candidate", "left_semi")
+    place = Window.partitionBy("candidate").orderBy(F.desc("confidence"), "entity")
+    return outcomes, queue.select("candidate", "entity", F.col("decision").alias("reason"), F.row_number().over(place).alias("place"))

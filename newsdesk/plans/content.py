@@ -221,7 +221,7 @@ def phrase_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " ")
     b = table(spark, sf_dir, "benchmark").select(words("text").alias("w"), F.col("item_id").alias("entity")).filter(F.size("w") >= 5)
     aliases = b.select(F.array_join(F.slice("w", 1, 5), " ").alias("alias"), "entity")
-    return L.link_by_phrase(table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w")), aliases, "doc_id", F.col("w"), 5)
+    return L.link_by_phrase(table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w")), aliases, "doc_id", F.col("w"), 5).select("doc_id", "phrase", "entity", "status")
 
 
 @query(
