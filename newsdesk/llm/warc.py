@@ -1,9 +1,11 @@
 """WARC archives of pages: written with revisit records, read back sequentially (operator 10).
 
-Each record is a gzip member of its own.  The reader never holds a file: it
-decompresses step by step, frames records by Content-Length and verifies the
-payload digest of each.  Archives are written by tasks under names that no other
-attempt uses; only files in the manifest, which Spark commits as a table, count.
+Each record is a gzip member of its own.  The reader never holds a file, nor a
+record unless its payload is asked for: it decompresses step by step, cuts the
+header from the first bytes, counts the content length down, and feeds the payload
+to its digest piece by piece.  Archives are written by tasks under names that no
+other attempt uses, and closed at about ``ARCHIVE_BYTES``; only files in the
+manifest, which Spark commits as a table, count.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -21,12 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import default_partitions, shared_dir, staged, table
+from .common import shared_dir, staged, table
 
 #: Payloads of fewer bytes are stored again rather than revisited.
 MIN_REVISIT_BYTES = 1000
 #: Bytes read from an archive at a time.
 READ_BYTES = 1 << 18
+#: Bytes of an archive from which a task begins another, and bytes of a record's headers at most.
+ARCHIVE_BYTES, HEADER_BYTES = 1 << 30, 1 << 20
+#: Revisits that are sent to every task (some 60 bytes each); with more, pages are joined with them by shuffle.
+SENT_REVISITS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -48,17 +54,30 @@ def _number(name: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """A record as one gzip member: a response, or a revisit if ``refers_to`` is given."""
+def write_record(write: Callable[[bytes], object], page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None, date: str = DATE) -> int:
+    """Writes a record as one gzip member, a response, or a revisit if ``refers_to`` is given; returns its bytes.  The payload is not copied as a whole."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
     head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": _name(page_id), "WARC-Date": date, "WARC-Target-URI": _uri(url), "WARC-Payload-Digest": "sha1:" + base64.b32encode(sha1).decode()}
     if refers_to is not None:
         head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": _name(refers_to)}
-    head |= {"Content-Type": "application/http;msgtype=response", "Content-Length": str(len(block))}
+    head |= {"Content-Type": "application/http;msgtype=response", "Content-Length": str(len(http) + (len(payload) if refers_to is None else 0))}
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n"
-    z = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return z.compress(text.encode() + block + b"\r\n\r\n") + z.flush()
+    z, size, view = zlib.compressobj(6, zlib.DEFLATED, 31), 0, memoryview(payload)
+    pieces = (view[i : i + READ_BYTES] for i in range(0, len(payload), READ_BYTES)) if refers_to is None else ()
+    for piece in (text.encode() + http, *pieces, b"\r\n\r\n"):
+        if data := z.compress(piece):
+            write(data)
+            size += len(data)
+    data = z.flush()
+    write(data)
+    return size + len(data)
+
+
+def record_bytes(*record) -> bytes:
+    """A record as bytes; arguments as those of write_record."""
+    out = []
+    write_record(out.append, *record)
+    return b"".join(out)
 
 
 def _members(stream: BinaryIO) -> Iterator[Iterator[bytes]]:
@@ -81,22 +100,60 @@ def _members(stream: BinaryIO) -> Iterator[Iterator[bytes]]:
         yield pieces()
 
 
-def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """(headers, HTTP header, payload) of each record.  Raises ValueError on a broken frame or a wrong digest."""
+class _Pieces:
+    """The bytes of a record, taken from its pieces by a mark or by a number."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, b""
+
+    def until(self, mark: bytes, most: int) -> bytes | None:
+        """What stands before a mark within the next ``most`` bytes, the mark passed; None if there is none."""
+        while (at := self.held.find(mark, 0, most + len(mark))) < 0:
+            piece = next(self.pieces, None) if len(self.held) < most + len(mark) else None
+            if piece is None:
+                return None
+            self.held += piece
+        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        return out
+
+    def take(self, n: int) -> Iterator[bytes]:
+        """The next n bytes, in pieces; fewer at the end."""
+        while n > 0:
+            piece, self.held = self.held, b""
+            if not piece and not (piece := next(self.pieces, b"")):
+                return
+            if len(piece) > n:
+                piece, self.held = piece[:n], piece[n:]
+            n -= len(piece)
+            yield piece
+
+
+def read_records(stream: BinaryIO, payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes, bytes | None]]:
+    """(headers, HTTP header, payload) of each record; without ``payloads`` none is held.  Raises ValueError on a broken frame or a wrong digest."""
     for member in _members(stream):
-        data = b"".join(member)
-        head, mark, rest = data.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        if not mark or not lines[0].startswith("WARC/1."):
+        data = _Pieces(member)
+        head = data.until(b"\r\n\r\n", HEADER_BYTES)
+        lines = head.decode().split("\r\n") if head is not None else [""]
+        if not lines[0].startswith("WARC/1."):
             raise ValueError("no WARC record")
         headers = dict(line.split(": ", 1) for line in lines[1:])
         n = int(headers["Content-Length"])
-        if rest[n:] != b"\r\n\r\n":
+        http = data.until(b"\r\n\r\n", min(n, HEADER_BYTES))
+        if http is None:
+            raise ValueError("a record has no HTTP header")
+        left, sha1, kept = n - len(http) - 4, hashlib.sha1(), []
+        if left < 0:
             raise ValueError("a record's length is wrong")
-        http, _, payload = rest[:n].partition(b"\r\n\r\n")
-        if headers["WARC-Type"] == "response" and headers["WARC-Payload-Digest"] != "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode():
+        for piece in data.take(left):
+            left -= len(piece)
+            sha1.update(piece)
+            if payloads:
+                kept.append(piece)
+        if left or b"".join(data.take(5)) != b"\r\n\r\n":
+            raise ValueError("a record's length is wrong")
+        if headers["WARC-Type"] == "response" and headers["WARC-Payload-Digest"] != "sha1:" + base64.b32encode(sha1.digest()).decode():
             raise ValueError(f"{headers['WARC-Record-ID']}: the payload digest is wrong")
-        yield headers, http, payload
+        yield headers, http, b"".join(kept) if payloads else None
 
 
 def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -110,7 +167,7 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     return narrow.join(kept, ["sha1", "n"]).filter("page_id <> refers_to").select("page_id", "sha1", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, date: str = DATE) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes pages(page_id, url, html) as .warc.gz files below ``path``; returns the committed manifest.
 
     A null html is an empty payload.  Rows with the largest page_id of a group are
@@ -118,24 +175,33 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    plan = rows.join(revisits(rows, min_bytes).hint("shuffle_hash"), ["page_id", "sha1"], "left")
+    found = staged(revisits(rows, min_bytes), "revisits")
+    # Payloads stay where they are, unless there are too many revisits to send them all to every task.
+    plan = rows.join(F.broadcast(found) if found.count() <= SENT_REVISITS else found.hint("shuffle_hash"), ["page_id", "sha1"], "left")
 
     def run(batches):
         from pyarrow import fs
 
-        out, records, size, target = None, 0, 0, f"{path}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
+        out, target, records, size, turn = None, "", 0, 0, 0
+
+        def closed():
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([target]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
+
         for batch in batches:
-            if out is None:
-                store, name = fs.FileSystem.from_uri(target)
-                store.create_dir(name.rpartition("/")[0], recursive=True)
-                out = store.open_output_stream(name)
             for page_id, url, payload, sha1, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers_to")), strict=True):
-                data = record_bytes(page_id, url, payload, bytes.fromhex(sha1), refers, date)
-                out.write(data)
-                records, size = records + 1, size + len(data)
+                if out is None:
+                    target, records, size, turn = f"{path}/part-{TaskContext.get().partitionId():05d}-{turn:03d}-{uuid.uuid4().hex}.warc.gz", 0, 0, turn + 1
+                    store, name = fs.FileSystem.from_uri(target)
+                    store.create_dir(name.rpartition("/")[0], recursive=True)
+                    out = store.open_output_stream(name)
+                size += write_record(out.write, page_id, url, payload, bytes.fromhex(sha1), refers, date)
+                records += 1
+                if size >= archive_bytes:
+                    yield closed()
+                    out = None
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
+            yield closed()
 
     return staged(plan.select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(run, MANIFEST), "manifest")
 
@@ -145,7 +211,8 @@ def scan_archives(manifest: DataFrame, payloads: bool = True, partitions: int |
 
     The payload of a revisit is null here; payload_digest is lower-case hex.
     """
-    n = partitions or default_partitions(manifest.sparkSession)
+    # Files of up to ARCHIVE_BYTES: one to a task.
+    n = partitions or max(1, manifest.count())
 
     def run(batches):
         from pyarrow import fs
@@ -160,11 +227,11 @@ def scan_archives(manifest: DataFrame, payloads: bool = True, partitions: int |
                 store, name = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with store.open_input_stream(name) as stream:
-                    for headers, http, payload in read_records(stream):
+                    for headers, http, payload in read_records(stream, payloads):
                         length = re.search(rb"(?mi)^Content-Length: (\d+)\r?$", http + b"\r\n")
                         kind = headers["WARC-Type"]
                         digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                        rows.append((_number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], kind, _number(headers.get("WARC-Refers-To")), int(length[1]) if length else None, digest, payload if payloads and kind == "response" else None))
+                        rows.append((_number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], kind, _number(headers.get("WARC-Refers-To")), int(length[1]) if length else None, digest, payload if kind == "response" else None))
                         held += len(payload) if payloads else 64
                         if held >= 1 << 23:
                             yield flush(rows)
@@ -172,7 +239,7 @@ def scan_archives(manifest: DataFrame, payloads: bool = True, partitions: int |
                 if rows:
                     yield flush(rows)
 
-    return manifest.select("path").repartition(n, "path").mapInArrow(run, RECORDS)
+    return manifest.select("path").repartition(n).mapInArrow(run, RECORDS)
 
 
 def resolved(records: DataFrame) -> DataFrame:
