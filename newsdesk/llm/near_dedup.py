@@ -48,6 +48,8 @@ Z = 5.0
 HOT = 64
 #: Members of a key or a component in one group.
 BLOCK = 1024
+#: Parts into which the members of a component are dealt before they meet what is known of it.
+SALTS = 32
 #: Counters of the sketch that tells rare shingles from frequent ones.
 COUNTERS = 1 << 20
 #: Members verified against one centre in a group, and nodes held at once against members of a component.
@@ -320,7 +322,9 @@ def _cross(asks: DataFrame, labels: DataFrame, texts: DataFrame, percent: int =
     spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = asks.join(sizes, "component").select("component", spread("askers", 2).alias("i"), "node", "holders").select("component", "i", each("holders").alias("j"), F.lit(0).alias("role"), "node")
-    held_by = members.join(sizes, "component").select("component", spread("holders", 3).alias("j"), "node", "askers").select("component", each("askers").alias("i"), "j", F.lit(1).alias("role"), "node")
+    # A large component is dealt over several tasks before it meets its sizes.
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(4)), F.lit(SALTS)))
+    held_by = salted.join(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["component", "salt"]).select("component", spread("holders", 3).alias("j"), "node", "askers").select("component", each("askers").alias("i"), "j", F.lit(1).alias("role"), "node")
     rows = asked.unionByName(held_by).join(texts, "node")
     ordered = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "role")
 
@@ -403,9 +407,11 @@ def _grouped(docs: DataFrame) -> DataFrame:
         old, labels = labels, staged(components(linked.unionByName(more)), "labels")
         release(old)
     release(buckets, members, texts, linked, asks, more)
-    reached = classes.select("set_hash", "node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = reached.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ends = reached.join(least, "component").select("set_hash", "component_id")
+    reached = classes.select("set_hash", "node", "rep").join(labels, "node", "left")
+    alone = reached.filter("component IS NULL").select("set_hash", F.col("rep").alias("component_id"))
+    linked_ = reached.filter("component IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)))
+    least = linked_.groupBy("component").agg(F.min("rep").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    ends = alone.unionByName(linked_.join(least, ["component", "salt"]).select("set_hash", "component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return sketches.select("doc_id", "sub", "n_shingles", "set_hash").join(ends, "set_hash", "left").select("doc_id", "sub", "n_shingles", own.alias("component_id"))
 
