@@ -24,8 +24,8 @@ from .substring_dedup import _Words
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of doc_id.
 SAMPLE = 20_000
-#: Terms of a lexicon at most, the best supported first; log likelihood by which a term's record must beat chance.
-TERMS, EVIDENCE = 3_000, 7.5
+#: Log likelihood by which a term's record must beat chance.
+EVIDENCE = 7.5
 #: Clean documents for each toxic one that a term may have at most.
 CLEAN_SHARE = 0.2
 #: Characters of a prefix term.
@@ -34,8 +34,8 @@ PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.3
 #: Words on each side that make a hit's context.
 CONTEXT = 6
-#: Words with known answers that a task keeps.
-KNOWN = 300_000
+#: Words with known answers, and states of the automaton, that a task keeps; both begin anew when full.
+KNOWN, STATES = 300_000, 100_000
 
 #: Words of reporting and of address in the languages of the corpus.
 REPORTING = frozenset(b"said says wrote quoted quote called writes dijo escribi\xc3\xb3 dit \xc3\xa9crit sagte schrieb zitierte".split())
@@ -67,6 +67,10 @@ class LexiconAutomaton:
         self.reach: list[int] = [0]  # the most errors that a term below a node allows
         for t in sorted(terms):
             self._add(t)
+        self._begin()
+
+    def _begin(self) -> None:
+        """Without any state but the first."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -124,6 +128,8 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[int, str] | None:
         """(errors, term) of the nearest term, exact before prefix before misspelt; None without one."""
+        if len(self.sets) > STATES:
+            self._begin()
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
@@ -255,7 +261,7 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 
 def _lexicon(counts: DataFrame, folds: tuple[int, ...], totals: dict[tuple[int, int], int]) -> dict[str, float]:
-    """Term weights (log odds) from the given folds, for terms whose record is unlikely to be chance."""
+    """Term weights (log odds) from the given folds, for all terms whose record is unlikely to be chance; the sample bounds their number."""
     n_bad, n_good = sum(totals.get((f, 1), 0) for f in folds), sum(totals.get((f, 0), 0) for f in folds)
     if not n_bad or not n_good:
         return {}
@@ -265,7 +271,7 @@ def _lexicon(counts: DataFrame, folds: tuple[int, ...], totals: dict[tuple[int,
     chance = F.col("bad") * F.log(F.col("bad") / (all_of * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (all_of * (1 - share)))).otherwise(0.0)
     weight = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
     picked = rows.filter("bad > 0").withColumn("chance", chance).withColumn("weight", weight).filter((F.col("chance") >= EVIDENCE) & (F.col("good") <= CLEAN_SHARE * F.col("bad")))
-    found = {r["term"]: (r["weight"], r["bad"]) for r in picked.orderBy(F.desc("chance"), "term").limit(TERMS).collect()}
+    found = {r["term"]: (r["weight"], r["bad"]) for r in picked.collect()}
     # A prefix that stands for one word only adds nothing to it.
     alone: Counter = Counter()
     for t, (_, n) in found.items():
@@ -276,7 +282,7 @@ def _lexicon(counts: DataFrame, folds: tuple[int, ...], totals: dict[tuple[int,
 
 
 def _innocent(sample: DataFrame, weights: dict[str, float]) -> frozenset[str]:
-    """Words of clean documents that only look like a term: at most 50 for each term a lexicon can have."""
+    """Words of the sample's clean documents that only look like a term; the sample bounds their number."""
     held = sample.sparkSession.sparkContext.broadcast(LexiconAutomaton(list(weights)))
 
     def make():
@@ -289,8 +295,8 @@ def _innocent(sample: DataFrame, weights: dict[str, float]) -> frozenset[str]:
 
         return each
 
-    words = map_batches(sample.filter("toxic = 0").select("text"), make, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return frozenset(r["word"] for r in words.orderBy(F.desc("n"), "word").limit(50 * TERMS).collect())
+    words = map_batches(sample.filter("toxic = 0").select("text"), make, "word string").distinct()
+    return frozenset(r["word"] for r in words.collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
