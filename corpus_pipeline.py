@@ -1,7 +1,14 @@
 """A corpus pipeline of five of the training-text operators; part of ``newsdesk.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps.  ``run`` writes
-each stage's rows to the shared folder and hands on the table that it reads back.
+each stage's rows to the shared folder, hands on the table that it reads back, and
+deletes the one before.
+
+What stages do with odd rows: null and empty texts are not toxic, near nothing, hold
+no passage and no benchmark window, and encode to no ids.  Rows without doc_id stay
+in every stage, and take no part where documents are compared by it; rows that share
+one are judged by their own texts.  An empty table gives an empty table.  All stages
+but the last keep the columns of docs, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from newsdesk.llm import decontaminate, near_dedup, sentencepiece_codec, substring_dedup, toxicity
-from newsdesk.llm.common import staged, table
+from newsdesk.llm.common import release, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +53,16 @@ STAGES = [
     ("sentencepiece", encode_and_decode),
 ]
 
-#: The toxicity model cannot be put in SQL; tests hold run() against the stages one by one and their own models.
+#: The toxicity model cannot be put in SQL; tests hold run() against a plain computation.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            release(before)
+        before = docs
     return docs

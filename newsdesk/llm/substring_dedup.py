@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cover, map_batches, mix64, release, staged, table, text_bytes, utf8, window_hashes, words_of
+from .common import cover, free_name, map_batches, mix64, release, staged, table, text_bytes, utf8, window_hashes, words_of
 
 #: Words in a window.
 WINDOW = 13
@@ -376,10 +376,13 @@ def _kept(text: bytes | None, at: list[int] | None, words: _Words, window: int)
     return w, cover(np.flatnonzero(np.isin(runs, runs[np.array(at)])), window, len(w))
 
 
-def _with_repeats(docs: DataFrame, window: int, parts: int | None) -> DataFrame:
-    found = _gathered(repeated_windows(docs.select("doc_id", "text"), window, parts), "at").select(F.col("doc_id").alias("_id"), F.col("sub").alias("_sub"), F.col("at").alias("_at"))
-    keyed = docs.withColumn("_key", _sub())
-    return keyed.join(found.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_sub")), "left").drop("_id", "_sub", "_key")
+def _with_repeats(docs: DataFrame, window: int, parts: int | None) -> tuple[DataFrame, str]:
+    """docs with the starts of repeated windows, and the name of that column, which docs does not have."""
+    names = [free_name(n, docs.columns) for n in ("_id", "_sub", "_at", "_key")]
+    doc, sub, at, key = names
+    found = _gathered(repeated_windows(docs.select("doc_id", "text"), window, parts), "at").select(F.col("doc_id").alias(doc), F.col("sub").alias(sub), F.col("at").alias(at))
+    keyed = docs.withColumn(key, _sub())
+    return keyed.join(found.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(key) == F.col(sub)), "left").drop(doc, sub, key), at
 
 
 def scan(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
@@ -393,7 +396,7 @@ def scan(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> Dat
 
         def each(batch):
             n, removed, sha = [], [], []
-            for text, at in zip(utf8(batch.column("text")), batch.column("_at").to_pylist(), strict=True):
+            for text, at in zip(utf8(batch.column("text")), batch.column(name).to_pylist(), strict=True):
                 w, gone = _kept(text, at, words, window)
                 n.append(len(w))
                 removed.append(int(gone.sum()))
@@ -403,7 +406,8 @@ def scan(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> Dat
         return each
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(_with_repeats(rows, window, parts), make, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    repeats, name = _with_repeats(rows, window, parts)
+    return map_batches(repeats, make, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
@@ -413,12 +417,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = No
     joined by one space, and documents of which no word is left go.
     """
     names = docs.columns
+    repeats, name = _with_repeats(docs, window, parts)
 
     def run(batches):
         words = _Words()
         for batch in batches:
             texts, keep = [], []
-            for text, at in zip(utf8(batch.column("text")), batch.column("_at").to_pylist(), strict=True):
+            for text, at in zip(utf8(batch.column("text")), batch.column(name).to_pylist(), strict=True):
                 if at:
                     w, gone = _kept(text, at, words, window)
                     text = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g])
@@ -429,7 +434,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = No
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    return _with_repeats(docs, window, parts).mapInArrow(run, docs.schema)
+    return repeats.mapInArrow(run, docs.schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_FOLD, folded_words, map_batches, staged, table, utf8, window_hashes
+from .common import ALNUM_FOLD, folded_words, free_name, map_batches, staged, table, utf8, window_hashes
 from .substring_dedup import _Words
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of doc_id.
@@ -363,8 +363,9 @@ def in_training(doc_id: str = "doc_id") -> F.Column:
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, columns unchanged, without those that score ``threshold`` or more."""
-    scored = score(docs, fit(docs, labels.filter(in_training())), "_toxicity")
-    return scored.filter(F.col("_toxicity") < threshold).select(docs.columns)
+    name = free_name("_toxicity", docs.columns)
+    scored = score(docs, fit(docs, labels.filter(in_training())), name)
+    return scored.filter(F.col(name) < threshold).select(docs.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
