@@ -31,12 +31,20 @@ def game_basis(alias: Column, year: Column, kind: Column, **external: Column) ->
     return F.coalesce(*ids, F.concat_ws(":", F.coalesce(alias, F.lit("")), F.coalesce(year.cast("string"), F.lit("")), kind))
 
 
+#: Lines of a bucket at most, on average.
+BUCKET_LINES = 50_000
+
+
 def set_digest(df: DataFrame, key: str, content: Column, buckets: int = 256) -> DataFrame:
     """One row (digest, n): sha256 over a table, order-free.
 
     Lines key:hash are sorted and digested in buckets by key, and the digests of
-    the buckets in their order; a bucket is the only list that is gathered.
+    the buckets in their order; a bucket is the only list that is gathered.  There
+    are four times as many for each fourfold of BUCKET_LINES * ``buckets`` rows.
     """
+    n = df.count()
+    while n > buckets * BUCKET_LINES:
+        buckets *= 4
     lines = df.select(F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long").alias("h"), F.concat_ws(":", F.col(key).cast("string"), F.sha2(content, 256)).alias("line"))
     parts = lines.groupBy((F.col("h") % buckets).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"), F.sum("n").alias("n"))

@@ -33,8 +33,8 @@ def roll_up(items: DataFrame, cluster: str) -> DataFrame:
     media = ~F.col("official")
     return items.groupBy(cluster).agg(
         F.max("trend").alias("trend"), F.max("global_score").alias("global_score"), F.max("regional").alias("regional"), F.max("mentions").alias("mentions"),
-        F.count_distinct(F.when(media, F.col("source"))).alias("media_sources"), F.bool_or("official").alias("official"), F.max("ts").alias("published"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("regions")))).alias("regions"),
+        F.size(F.collect_set(F.when(media, F.col("source")))).cast("long").alias("media_sources"), F.bool_or("official").alias("official"), F.max("ts").alias("published"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("regions")))).alias("regions"),
         F.max_by("title", F.struct(F.when(media, 1).otherwise(0), "global_score", "trend", "ts", "url")).alias("title"),
         F.substring(F.sha1(F.array_join(F.array_sort(F.collect_list("url")), "|")), 1, 16).alias("event_id"),
     )

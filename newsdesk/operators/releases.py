@@ -12,13 +12,12 @@ def merge_events(events: DataFrame, key: str) -> DataFrame:
     Arrays become unique unions, confirmations (map of platform to source ids) are united by platform.
     """
     by = [key, "date", "date_start", "date_end", "precision", "region"]
-    base = events.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("platforms")))).alias("platforms"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"), F.max("confidence").alias("confidence"))
-    said = events.select(*by, F.explode("confirmations").alias("_p", "_ids")).groupBy(*by, "_p").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("_ids"))
-    maps = said.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_p", "_ids")))).alias("confirmations"))
-    same = None
-    for c in by:
-        same = base[c].eqNullSafe(maps[c]) if same is None else same & base[c].eqNullSafe(maps[c])
-    return base.join(maps, same, "left").select(*(base[c] for c in [*by, "platforms", "source_ids", "confidence"]), "confirmations")
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(c)))
+    # One shuffle: equal arrays are merged before it, and platforms are united inside the few rows of an event.
+    g = events.groupBy(*by).agg(united(F.collect_set("platforms")).alias("platforms"), united(F.collect_set("source_ids")).alias("source_ids"), F.max("confidence").alias("confidence"), F.flatten(F.collect_set(F.map_entries("confirmations"))).alias("_said"))
+    g = g.withColumn("_p", F.array_sort(F.array_distinct(F.transform("_said", lambda e: e["key"]))))
+    ids = F.transform("_p", lambda p: united(F.transform(F.filter("_said", lambda e: e["key"] == p), lambda e: e["value"])))
+    return g.withColumn("confirmations", F.when(F.size("_p") > 0, F.map_from_arrays("_p", ids))).drop("_said", "_p")
 
 
 def is_public(platforms: Column, confirmations: Column) -> Column:

@@ -262,7 +262,8 @@ def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH f AS (SELECT DISTINCT p_partkey AS e, unnest(['name', 'name', 'brand', 'type', 'type', 'type']) AS field, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_brand, split_part(p_type, ' ', 1), split_part(p_type, ' ', 2), split_part(p_type, ' ', 3)]) AS token FROM part),
-n AS (SELECT e, field, count(*) AS n FROM f GROUP BY 1, 2), s AS (SELECT x.e AS a, y.e AS b, x.field, count(*) AS k FROM f x JOIN f y ON x.field = y.field AND x.token = y.token AND x.e <> y.e GROUP BY 1, 2, 3),
+z AS (SELECT * FROM f WHERE token <> ''),
+n AS (SELECT e, field, count(*) AS n FROM z GROUP BY 1, 2), s AS (SELECT x.e AS a, y.e AS b, x.field, count(*) AS k FROM z x JOIN z y ON x.field = y.field AND x.token = y.token AND x.e <> y.e GROUP BY 1, 2, 3),
 o AS (SELECT s.a, s.b, s.field, k / CASE WHEN s.field = 'type' THEN greatest(p.n, q.n) ELSE least(p.n, q.n) END AS overlap, CASE s.field WHEN 'name' THEN 0.4 WHEN 'brand' THEN 0.25 ELSE 0.35 END::DOUBLE AS w FROM s JOIN n p ON s.a = p.e AND s.field = p.field JOIN n q ON s.b = q.e AND s.field = q.field),
 g AS (SELECT a, b, round(sum(round(w * overlap, 9)), 6) AS score, coalesce(string_agg(field, ',' ORDER BY round(w * overlap, 9) DESC, field) FILTER (overlap >= 0.35), '') AS reasons FROM o GROUP BY 1, 2)
 SELECT a, b, score, reasons, CAST(row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS INTEGER) AS rank FROM g WHERE score >= 0.34 QUALIFY rank <= 6"""
