@@ -55,7 +55,7 @@ def accept_sources(rows: DataFrame, game: str, order: str, maximum: int) -> Data
         urls: set = set()
         publications: set = set()
         out = []
-        for row in sorted(group, key=lambda x: (x["o"], x["url"])):
+        for row in sorted(group, key=lambda x: (x["o"], x["url"], x["publication"], x["blocked"])):
             reason = "blocked" if row["blocked"] else "duplicate_url" if row["url"] in urls else "duplicate_publication" if row["publication"] in publications else "maximum" if len(urls) >= maximum else ""
             if not reason:
                 urls.add(row["url"])

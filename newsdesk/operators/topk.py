@@ -154,8 +154,10 @@ def section_fill(media: DataFrame, article: str, least: int = 3, most: int = 6)
     """(article, section, media_id): sections are filled in turn, each up to ``least``, then up to ``most``; a medium once.
 
     media(article, section, media_id, score) may offer a medium to several
-    sections.  The walk is sequential in an article and parallel over articles.
+    sections; with a column ``duplicate_group``, of a group's media only one is used.
+    The walk is sequential in an article and parallel over articles.
     """
+    same = "duplicate_group" if "duplicate_group" in media.columns else "media_id"
 
     def walk(group: list) -> list:
         used: set = set()
@@ -166,15 +168,15 @@ def section_fill(media: DataFrame, article: str, least: int = 3, most: int = 6)
         for limit in (least, most):
             for s in sections:
                 for row in rows:
-                    if row["section"] == s and count[s] < limit and row["media_id"] not in used:
-                        used.add(row["media_id"])
+                    if row["section"] == s and count[s] < limit and row["same"] not in used:
+                        used.add(row["same"])
                         count[s] += 1
                         out.append((row["article"], s, row["media_id"]))
         return out
 
     kinds = dict(media.dtypes)
-    rows = media.withColumn("article", F.col(article))
-    out = walk_groups(rows, article, ["article", "section", "media_id", "score"], walk, f"article {kinds[article]}, section {kinds['section']}, media_id {kinds['media_id']}")
+    rows = media.withColumn("article", F.col(article)).withColumn("same", F.coalesce(F.col(same).cast("string"), F.col("media_id").cast("string")))
+    out = walk_groups(rows, article, ["article", "section", "media_id", "score", "same"], walk, f"article {kinds[article]}, section {kinds['section']}, media_id {kinds['media_id']}")
     return out.withColumnRenamed("article", article)
 
 
@@ -182,3 +184,16 @@ def source_share(selected: DataFrame, article: str, source: str) -> DataFrame:
     """Per article: media, sources, and the largest source's share."""
     per = selected.groupBy(article, source).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(article).agg(F.sum("n").alias("media"), F.count(F.lit(1)).alias("sources"), (F.max("n") / F.sum("n")).alias("largest_share"))
+
+
+def media_gate(selected: DataFrame, article: str, source: str, url: str, section: str, total: int, unique: int, sources: int = 5, share: float = 0.35, least: int = 1) -> DataFrame:
+    """Per article of selected media: passed, with media, unique addresses, sources, the largest source's share and the smallest section.
+
+    No medium twice, enough media and sources, no source with more than ``share``,
+    and ``least`` media in every section.
+    """
+    per = selected.groupBy(article).agg(F.count(F.lit(1)).alias("media"), F.count_distinct(url).alias("unique"))
+    smallest = selected.groupBy(article, section).agg(F.count(F.lit(1)).alias("n")).groupBy(article).agg(F.min("n").alias("smallest_section"))
+    full = per.join(source_share(selected, article, source).select(article, "sources", "largest_share"), article).join(smallest, article)
+    ok = (F.col("media") >= total) & (F.col("unique") == F.col("media")) & (F.col("unique") >= unique) & (F.col("sources") >= sources) & (F.col("largest_share") <= share) & (F.col("smallest_section") >= least)
+    return full.withColumn("passed", ok)

@@ -348,7 +348,13 @@ def publication_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey", "l_suppkey", [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_quantity")], "l_quantity", 3, 4)
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE r AS (SELECT l_orderkey AS g, l_linenumber AS o, CAST(l_partkey AS VARCHAR) AS url, l_suppkey % 5 AS p, l_returnflag = 'R' AS blocked, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), l_suppkey % 5, l_returnflag = 'R') AS i FROM lineitem),
+w AS (SELECT g, 0::BIGINT AS i, 0 AS o, '' AS url, '' AS reason, []::VARCHAR[] AS us, []::BIGINT[] AS ps FROM (SELECT DISTINCT g FROM r)
+  UNION ALL SELECT g, i, o, url, reason, CASE WHEN reason = '' THEN list_append(us, url) ELSE us END, CASE WHEN reason = '' THEN list_append(ps, p) ELSE ps END
+  FROM (SELECT r.*, us, ps, CASE WHEN blocked THEN 'blocked' WHEN list_contains(us, r.url) THEN 'duplicate_url' WHEN list_contains(ps, r.p) THEN 'duplicate_publication' WHEN len(us) >= 3 THEN 'maximum' ELSE '' END AS reason FROM w JOIN r ON r.g = w.g AND r.i = w.i + 1))
+SELECT g AS l_orderkey, o AS l_linenumber, url, reason = '' AS accepted, reason FROM w WHERE i > 0"""
+)
 def accepted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as sources: parts as addresses, suppliers as publications, three at most."""
     from ..operators.ratings import accept_sources as op

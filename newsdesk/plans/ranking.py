@@ -273,3 +273,13 @@ def source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT event_id FROM events WHERE {_AGE} <= 336""")
 def age_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter(age_hours(F.col("ts"), _as_of()) <= 336).select("event_id")
+
+
+@query(
+    """WITH m AS (SELECT l_orderkey, count(*) AS media, count(DISTINCT l_partkey) AS u FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT l_orderkey, count(*) AS sources, max(n) / sum(n) AS largest_share FROM s GROUP BY 1),
+c AS (SELECT l_orderkey, min(n) AS smallest_section FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1)
+SELECT l_orderkey, media, u AS "unique", sources, largest_share, smallest_section, media >= 4 AND u = media AND sources >= 4 AND largest_share <= 0.35 AND smallest_section >= 1 AS passed FROM m JOIN t USING (l_orderkey) JOIN c USING (l_orderkey)"""
+)
+def media_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as its media, parts as addresses, flags as sections; four of them and four suppliers are asked for."""
+    return K.media_gate(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", "l_partkey", "l_returnflag", 4, 4, 4)
