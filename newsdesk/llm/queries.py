@@ -11,6 +11,7 @@ from .decontaminate import ORACLE_OP1, op1_decontaminate
 from .near_dedup import ORACLE_OP9, op9_near_dedup
 from .sentencepiece_codec import op7_sentencepiece
 from .sharding import ORACLE_OP6, op6_sharding
+from .spelling import ORACLE_OP13, op13_spelling
 from .substring_dedup import ORACLE_OP3, op3_substring_dedup
 from .token_counts import op2_token_counts
 from .token_store import op5_token_store
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op8_ann": ORACLE_OP8,
     "op9_near_dedup": ORACLE_OP9,
     "op10_warc": ORACLE_OP10,
+    "op13_spelling": ORACLE_OP13,
 }
