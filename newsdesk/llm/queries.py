@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import ORACLE_OP8, op8_ann
 from .decontaminate import ORACLE_OP1, op1_decontaminate
+from .lexical import ORACLE_OP12, op12_search
 from .near_dedup import ORACLE_OP9, op9_near_dedup
 from .sentencepiece_codec import op7_sentencepiece
 from .sharding import ORACLE_OP6, op6_sharding
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
+    "op12_search": op12_search,
     "op13_spelling": op13_spelling,
 }
 
@@ -39,5 +41,6 @@ ORACLES: dict[str, str] = {
     "op8_ann": ORACLE_OP8,
     "op9_near_dedup": ORACLE_OP9,
     "op10_warc": ORACLE_OP10,
+    "op12_search": ORACLE_OP12,
     "op13_spelling": ORACLE_OP13,
 }
