@@ -10,6 +10,7 @@ from .ann import ORACLE_OP8, op8_ann
 from .decontaminate import ORACLE_OP1, op1_decontaminate
 from .lexical import ORACLE_OP12, op12_search
 from .near_dedup import ORACLE_OP9, op9_near_dedup
+from .pii import op11_pii
 from .sentencepiece_codec import op7_sentencepiece
 from .sharding import ORACLE_OP6, op6_sharding
 from .spelling import ORACLE_OP13, op13_spelling
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
+    "op11_pii": op11_pii,
     "op12_search": op12_search,
     "op13_spelling": op13_spelling,
 }
