@@ -18,8 +18,10 @@
 6. *Hot keys.*  A key that leaves more than ``HOT`` members outside its largest
    component (much boilerplate, texts just below the threshold) is settled by rare
    shingles: sets with a similarity of 0.75 share one among the rarest quarter of the
-   larger and the rarest seventh of the smaller, so members meet under these alone,
-   in proportion to their sizes.  Nothing is left out: both ways are exact.
+   larger and the rarest seventh of the smaller, so members meet under these alone.
+   How many members hold a shingle is counted exactly, by one shuffle of hashes; a
+   shingle of at most ``RARE`` members brings each of them that many partners at most,
+   and one of more comes late in its order.  Nothing is left out: both ways are exact.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, free_name, map_batches, release, staged, table, utf8, window_hashes
@@ -50,8 +52,10 @@ HOT = 64
 BLOCK = 1024
 #: Parts into which the members of a component are dealt before they meet what is known of it.
 SALTS = 32
-#: Counters of the sketch that tells rare shingles from frequent ones.
-COUNTERS = 1 << 20
+#: Members of hot keys that a rare shingle has at most.
+RARE = 4
+#: Frequent shingles that are sent to every task (16 bytes each); with more, shingles are joined with them by shuffle.
+SENT_FREQUENT = 1 << 20
 #: Members verified against one centre in a group, and nodes held at once against members of a component.
 CHUNK = 256
 
@@ -266,47 +270,71 @@ def _asks(members: DataFrame, classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "node long, component long")
 
 
-def _rare_asks(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) for the members of hot keys: components with a member that shares a rare shingle and may reach the threshold.
-
-    Shingles are ordered by a sketch of their frequency among these members (which
-    has COUNTERS numbers, whatever the input) and by hash.  Of sets x and y, |x| >= |y|,
-    with the similarity t, the first |x| - ceil(t |x|) + 1 shingles of x and the first
-    |y| - ceil(2 t |y| / (1 + t)) + 1 of y have one in common.
-    """
-    hot = members.filter(F.col("others") > HOT).select("node", "component").distinct()
-    rows = staged(hot.join(texts, "node"), "hot")
+def _shingles(rows: DataFrame) -> DataFrame:
+    """(shingle, node, component, n) of rows(node, component, text), n being the size of the node's set."""
 
-    def counted(batches: Iterator[pa.RecordBatch]):
-        words, counts = _Words(), np.zeros(COUNTERS, dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]):
+        words = _Words()
         for batch in batches:
-            for text in utf8(batch.column("text")):
-                np.add.at(counts, shingle_set(text, words) & np.uint64(COUNTERS - 1), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
-
-    frequency = np.zeros(COUNTERS, dtype=np.int64)
-    for r in rows.mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        frequency[r["at"]] = r["n"]
-    held = rows.sparkSession.sparkContext.broadcast(frequency)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]):
-        words, frequency = _Words(), held.value
+            for node, component, text in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), utf8(batch.column("text")), strict=True):
+                own = shingle_set(text, words)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *(pa.array(np.full(len(own), x)) for x in (node, component, len(own)))], ["shingle", "node", "component", "n"])
+
+    return rows.mapInArrow(run, "shingle long, node long, component long, n long")
+
+
+def _prefixes_sent(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """(shingle, indexed, node, component, n): each set's prefix, by frequent(shingle, held) that is sent to every task."""
+    found = frequent.toPandas()
+    order = np.argsort(found["shingle"].to_numpy().view(np.uint64))
+    sent = rows.sparkSession.sparkContext.broadcast((found["shingle"].to_numpy().view(np.uint64)[order], found["held"].to_numpy()[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        words, (names, held) = _Words(), sent.value
         for batch in batches:
             for node, component, text in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), utf8(batch.column("text")), strict=True):
                 own = shingle_set(text, words)
-                n = len(own)
-                own = own[np.lexsort((own, frequency[own & np.uint64(COUNTERS - 1)]))]
+                n, often = len(own), np.zeros(len(own), dtype=np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                    often = np.where(names[at] == own, held[at], 0)
+                own = own.view(np.int64)
+                own = own[np.lexsort((own, often))]
                 probe, index = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
                 own = own[:probe]
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.arange(len(own)) < index), pa.array(np.full(len(own), node)), pa.array(np.full(len(own), component)), pa.array(np.full(len(own), n))], ["shingle", "indexed", "node", "component", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.arange(len(own)) < index), *(pa.array(np.full(len(own), x)) for x in (node, component, n))], ["shingle", "indexed", "node", "component", "n"])
+
+    return rows.mapInArrow(run, "shingle long, indexed boolean, node long, component long, n long")
+
+
+def _prefixes_joined(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """The same where frequent shingles are too many to send; each is dealt over salts, so that no task holds all members of one."""
+    salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    held = _shingles(rows).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(6)), F.lit(SALTS))).join(frequent.withColumn("salt", salt), ["shingle", "salt"], "left")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("held", F.lit(0)), "shingle"))
+    share = lambda up, down: F.ceil(up * F.col("n") / down)
+    placed = held.withColumn("place", place).filter(F.col("place") <= F.col("n") - share(percent, 100) + 1)
+    return placed.select("shingle", (F.col("place") <= F.col("n") - share(2 * percent, 100 + percent) + 1).alias("indexed"), "node", "component", "n")
+
 
-    rare = staged(rows.mapInArrow(prefixes, "shingle long, indexed boolean, node long, component long, n long"), "rare")
+def _rare_asks(members: DataFrame, texts: DataFrame, percent: int = PERCENT, sent: int = SENT_FREQUENT) -> DataFrame:
+    """(node, component) for the members of hot keys: components with a member that shares a rare shingle and may reach the threshold.
+
+    Shingles that more than RARE of these members hold are ordered by their number,
+    after all others, which go by hash.  Of sets x and y, |x| >= |y|, with the
+    similarity t, the first |x| - ceil(t |x|) + 1 shingles of x and the first
+    |y| - ceil(2 t |y| / (1 + t)) + 1 of y have one in common, whatever the order.
+    """
+    hot = members.filter(F.col("others") > HOT).select("node", "component").distinct()
+    rows = staged(hot.join(texts, "node"), "hot")
+    frequent = staged(_shingles(rows).groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > RARE), "frequent")
+    prefixes = _prefixes_sent if frequent.count() <= sent else _prefixes_joined
+    rare = staged(prefixes(rows, frequent, percent), "rare")
     # Of a shingle's components only their sizes' range: copies don't multiply.
     index = rare.filter("indexed").groupBy("shingle", F.col("component").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     asks = rare.join(index, "shingle").filter((F.col("component") != F.col("other")) & (F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n")))
     out = staged(asks.select("node", F.col("other").alias("component")).distinct(), "asks")
-    release(rows, rare)
+    release(rows, frequent, rare)
     return out
 
 

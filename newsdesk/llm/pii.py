@@ -347,7 +347,7 @@ _EXAMPLES = ("ann.lee@mail.example.org", "10.24.133.7", "4111 1111 1111 1111", "
 _NOTHING = (
     "version 4.0 of the licence, see page 17", "on 2024-05-12 at 10:45 we met 3 times", "chapter 12.3.4 ends here", "a sum of 1,250,000.00 in all", "id 48213377 and code 99-1204-7", "order 2023/11/0042",
     "from 1990-1995 and 2001 to 2010", "token = \"9b0b3c6a43eb78aa99cb\"", "number 1234567890123456 is no card", "the end.Next begins", "we met at noon. dot by dot it grew", "look at example.txt and main.py",
-    "300.400.500.600 is no place", "score 21-19 21-17 15-12", "3.14159265358979", "at 7 (seven) or 8 (eight)", "room 101 - 102 - 103", "5 of 20 (25 %) and 15 of 20 (75 %)",
+    "300.400.500.600 is no place", "12.5 13.75 16.0 7.15 and 4.2", "6083 8645 775 1985 4120", "score 21-19 21-17 15-12", "3.14159265358979", "at 7 (seven) or 8 (eight)", "room 101 - 102 - 103", "5 of 20 (25 %) and 15 of 20 (75 %)",
 )
 
 
@@ -435,12 +435,14 @@ def _passes(kind: int, span: str) -> bool:
         words = re.findall(r"[^\W_]+", span.lower())
         has_at, has_dot = "@" in span or any(w in AT_WORDS for w in words[1:-1]), "." in span or any(w in DOT_WORDS for w in words[1:-1])
         return has_at and has_dot and len(words) >= 3 and "\n" not in span
-    if kind == 1:
-        parts = re.findall(r"[0-9]+", span)
-        return len(parts) == 4 and all(map(_small, parts)) and not re.search(r"[^\W\d_]", span)
-    if re.search(r"[^\W\d_]|\n", span):
+    if re.search(r"[^\W\d_]|\n", span) or not re.match(r"[0-9(+]", span):
         return False
-    return 16 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+    groups, between = re.findall(r"[0-9]+", span), re.findall(r"(?<=[0-9])[^0-9]+(?=[0-9])", span)
+    if kind == 1:
+        return len(groups) == 4 and len(set(between)) == 1 and all(map(_small, groups))
+    if kind == 2:
+        return 16 <= len(digits) <= 19 and len(set(between)) <= 1 and luhn(digits)
+    return 9 <= len(digits) <= 15 and (span[0] in "+(0" or [len(g) for g in groups] == [3, 3, 4])
 
 
 def _pieces(text: str) -> Iterator[tuple[int, str]]:

@@ -2,7 +2,7 @@
 
 Each record is a gzip member of its own.  The reader never holds a file, nor a
 record unless its payload is asked for: it decompresses step by step, cuts the
-header from the first bytes, counts the content length down, and feeds the payload
+header (of any length, as long addresses make long ones) from the first bytes, counts the content length down, and feeds the payload
 to its digest piece by piece.  Archives are written by tasks under names that no
 other attempt uses, and closed at about ``ARCHIVE_BYTES``; only files in the
 manifest, which Spark commits as a table, count.
@@ -29,8 +29,8 @@ from .common import shared_dir, staged, table
 MIN_REVISIT_BYTES = 1000
 #: Bytes read from an archive at a time.
 READ_BYTES = 1 << 18
-#: Bytes of an archive from which a task begins another, and bytes of a record's headers at most.
-ARCHIVE_BYTES, HEADER_BYTES = 1 << 30, 1 << 20
+#: Bytes of an archive from which a task begins another.
+ARCHIVE_BYTES = 1 << 30
 #: Revisits that are sent to every task (some 60 bytes each); with more, pages are joined with them by shuffle.
 SENT_REVISITS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -104,26 +104,31 @@ class _Pieces:
     """The bytes of a record, taken from its pieces by a mark or by a number."""
 
     def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.held = pieces, b""
-
-    def until(self, mark: bytes, most: int) -> bytes | None:
-        """What stands before a mark within the next ``most`` bytes, the mark passed; None if there is none."""
-        while (at := self.held.find(mark, 0, most + len(mark))) < 0:
-            piece = next(self.pieces, None) if len(self.held) < most + len(mark) else None
+        self.pieces, self.held = pieces, bytearray()
+
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """What stands before a mark (that ends within the next ``most`` bytes), the mark passed; None if there is none.  No byte is looked at twice."""
+        looked = 0
+        while (at := self.held.find(mark, max(0, looked - len(mark) + 1), most)) < 0:
+            looked = len(self.held)
+            piece = next(self.pieces, None) if most is None or looked < most else None
             if piece is None:
                 return None
             self.held += piece
-        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        out = bytes(self.held[:at])
+        del self.held[: at + len(mark)]
         return out
 
     def take(self, n: int) -> Iterator[bytes]:
         """The next n bytes, in pieces; fewer at the end."""
         while n > 0:
-            piece, self.held = self.held, b""
-            if not piece and not (piece := next(self.pieces, b"")):
+            piece = bytes(self.held[:n]) or next(self.pieces, b"")
+            if not piece:
                 return
-            if len(piece) > n:
-                piece, self.held = piece[:n], piece[n:]
+            if self.held:
+                del self.held[: len(piece)]
+            elif len(piece) > n:
+                piece, self.held = piece[:n], bytearray(piece[n:])
             n -= len(piece)
             yield piece
 
@@ -132,13 +137,13 @@ def read_records(stream: BinaryIO, payloads: bool = True) -> Iterator[tuple[dict
     """(headers, HTTP header, payload) of each record; without ``payloads`` none is held.  Raises ValueError on a broken frame or a wrong digest."""
     for member in _members(stream):
         data = _Pieces(member)
-        head = data.until(b"\r\n\r\n", HEADER_BYTES)
+        head = data.until(b"\r\n\r\n")
         lines = head.decode().split("\r\n") if head is not None else [""]
         if not lines[0].startswith("WARC/1."):
             raise ValueError("no WARC record")
         headers = dict(line.split(": ", 1) for line in lines[1:])
         n = int(headers["Content-Length"])
-        http = data.until(b"\r\n\r\n", min(n, HEADER_BYTES))
+        http = data.until(b"\r\n\r\n", n)
         if http is None:
             raise ValueError("a record has no HTTP header")
         left, sha1, kept = n - len(http) - 4, hashlib.sha1(), []
@@ -170,7 +175,8 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes pages(page_id, url, html) as .warc.gz files below ``path``; returns the committed manifest.
 
-    A null html is an empty payload.  Rows with the largest page_id of a group are
+    A null html is an empty payload, and an address may be null (about:blank) or of any
+    length.  Other columns are not read.  Rows with the largest page_id of a group are
     all responses, also when the row is repeated; so are rows without page_id.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))

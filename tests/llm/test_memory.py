@@ -11,6 +11,7 @@ import sys
 import tracemalloc
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsdesk.llm import decontaminate, warc
 
@@ -88,3 +89,15 @@ def test_a_null_item_marks_words_but_is_no_item(spark):
     kept = decontaminate.reject(docs, bench)
     assert kept.schema == docs.schema and [tuple(r) for r in kept.collect()] == [(3, "none", 7)]
     assert decontaminate.remove_spans(docs, bench).schema == docs.schema
+
+
+def test_addresses_of_any_length(spark, tmp_path):
+    """Headers of megabytes are read as they were written, within the query as well."""
+    url = "http://a.example/" + "x/" * 2_500_000
+    good = warc.record_bytes(1, url, b"hello", hashlib.sha1(b"hello").digest(), None)
+    assert [(h["WARC-Target-URI"], p) for h, _, p in warc.read_records(io.BytesIO(good + good))] == [(url, b"hello")] * 2
+    page = "p" * 2000
+    pages = spark.createDataFrame([(1, url, page), (2, "u", page), (3, url, None), (4, None, "")], "page_id long, url string, html string").withColumn("records", F.lit("clash")).withColumn("sha1", F.lit(0))
+    records = warc.scan_archives(warc.write_archives(pages, f"file://{tmp_path}/l"), payloads=False)
+    assert {(r.page_id, len(r.url)) for r in records.collect()} == {(1, len(url)), (2, 1), (3, len(url)), (4, 11)}
+    assert {(r.page_id, r.record_type) for r in warc.resolved(records).collect()} == {(1, "revisit"), (2, "response"), (3, "response"), (4, "response")}

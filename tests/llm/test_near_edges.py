@@ -67,3 +67,33 @@ def test_bytes_sent_for_a_word_hardly_grow_with_partitions():
         return sum(len(pa.compress(b"".join(x for x in r[1:] if x is not None), codec="lz4", asbytes=True)) for r in rows) / buffer.words
 
     assert cost(2500) < 2 * cost(8) and cost(8000) < 10
+
+
+def test_asks_of_hot_keys_grow_with_members_alone(spark, monkeypatch):
+    """Templates whose texts are just below the threshold: no pair inside a template asks, whichever way frequent shingles are met."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for t in range(8):
+        common = [word() for _ in range(42)]
+        rows += [(80 * t + i, 80 * t + i, " ".join(common + [word() for _ in range(11)])) for i in range(80)]
+    rows += [(9000 + i, 9000 + i, rows[i][2] + " " + word()) for i in range(5)]  # near copies, to be found
+    texts = spark.createDataFrame([(n, t) for n, _, t in rows], "node long, text string")
+    members = spark.createDataFrame([(n, c) for n, c, _ in rows], "node long, component long").withColumn("others", F.lit(1000))
+    for sent in (1 << 20, 0):
+        asks = {tuple(r) for r in near_dedup._rare_asks(members, texts, sent=sent).collect()}
+        assert {(9000 + i, i) for i in range(5)} <= {tuple(sorted(a, reverse=True)) for a in asks}
+        assert len(asks) <= 8 * len(rows) // 10, len(asks)
+
+
+def test_both_ways_of_meeting_frequent_shingles_agree(spark):
+    rng = random.Random(4)
+    common = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(40)]
+    texts = [(i, 1000 + i, " ".join(common[rng.randrange(8) : rng.randint(20, 40)] + rng.choices(common, k=rng.randrange(6)))) for i in range(60)]
+    rows = spark.createDataFrame(texts, "node long, component long, text string")
+    frequent = near_dedup._shingles(rows).groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > near_dedup.RARE)
+    sent, joined = ({tuple(r) for r in f(rows, frequent, 75).collect()} for f in (near_dedup._prefixes_sent, near_dedup._prefixes_joined))
+    strip = lambda x: {(r[2], r[1], r[4]) for r in x}
+    per = lambda x: Counter((r[2], r[1]) for r in x)
+    assert per(sent) == per(joined) and strip(sent) == strip(joined)
+    assert frequent.count() > 10
