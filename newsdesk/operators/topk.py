@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import release, stored
+
+#: Rows that a walk in one task takes at most.
+WALK = 100_000
 
 
 def walk_groups(df: DataFrame, key: str, columns: list[str], walk: Callable[[list], list], schema: str) -> DataFrame:
@@ -71,30 +74,71 @@ def places(df: DataFrame, by: list[str], order: list[Column], name: str) -> Data
     return local.join(before, same).select(*df.columns, (F.col("_n") + F.col("_b")).alias(name))
 
 
-def greedy_dates(df: DataFrame, key: str, dates: str, rank: str, per_day: int, pool: int | None = None) -> DataFrame:
+def first_walked(rows: DataFrame, order: list[str], walk: Callable[[Iterator[tuple], bool], list], columns: list[str], schema: str, most: int) -> DataFrame:
+    """What ``walk`` makes of the first ``most`` rows in order, as tuples of ``columns``; it is told whether these are all."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        met = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+        if made := walk(met, len(met) < most):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
+
+    return rows.orderBy(*order).limit(most).select(*columns).mapInArrow(run, schema)
+
+
+def greedy_dates(df: DataFrame, key: str, dates: str, rank: str, per_day: int, pool: int | None = None, walk: int = WALK) -> DataFrame:
     """Keys taken in order of rank unless one of their dates is full; at most ``pool`` of them.
 
     A key that is skipped uses none of its dates, so the order matters where a key
     has several.  Decided in rounds, each written: an undecided key is taken if on
     every one of its dates fewer undecided keys precede it than there is room for,
-    whatever becomes of those, and skipped if a date is full.  The first undecided
-    key is always decided.
+    whatever becomes of those, and skipped if a date is full.  Besides, each round
+    decides the undecided keys of the first ``walk`` rows one after the other, in
+    one task: they depend on none behind them.  So keys that wait for each other in
+    long chains take a round for some ``walk`` of them, others hardly any.
     """
     rows = df.select(F.col(key).alias("k"), F.array_distinct(dates).alias("d"), F.col(rank).alias("r")).filter(F.size("d") > 0)
-    lines = stored(stored(rows.withColumn("i", F.monotonically_increasing_id())).select("k", "r", "i", F.size("d").alias("n"), F.explode("d").alias("d")))
+    numbered = stored(rows.withColumn("i", F.monotonically_increasing_id()))
+    lines = stored(numbered.select("k", "r", "i", F.size("d").alias("n"), F.explode("d").alias("d")))
+    release(numbered)
     by_rank = Window.partitionBy("d").orderBy("r", "k", "i")
-    taken, used = lines.select("k", "r").limit(0), None
+    taken, used = stored(lines.select("k", "r").limit(0)), stored(lines.select(F.col("d").alias("_d"), F.lit(0).alias("u")).limit(0))
+
+    def in_order(met: list[tuple], all_of: bool) -> list[tuple]:
+        keys: dict = {}
+        for i, k, r, d, u in met:
+            keys.setdefault(i, (k, r, []))[2].append((d, u))
+        if not all_of:
+            keys.popitem()  # its dates may be cut off
+        full: dict = {}
+        out = []
+        for i, (k, r, own) in keys.items():
+            ok = all(full.setdefault(d, u) < per_day for d, u in own)
+            if ok:
+                for d, _ in own:
+                    full[d] += 1
+            out.append((i, k, r, ok))
+        return out
+
+    kinds = dict(lines.dtypes)
     while not lines.isEmpty():
+        room = lines.join(used, lines["d"].eqNullSafe(used["_d"]), "left").withColumn("u", F.coalesce("u", F.lit(0)))
         first = lines.withColumn("place", F.row_number().over(by_rank)).filter(F.col("place") <= per_day)
-        if used is not None:
-            first = first.join(used, first["d"].eqNullSafe(used["_d"]), "left").filter(F.col("place") <= per_day - F.coalesce("u", F.lit(0)))
-        new = stored(first.groupBy("i", "k", "r", "n").agg(F.count(F.lit(1)).alias("ok")).filter("ok = n").select("i", "k", "r"))
-        taken = stored(taken.unionByName(new.select("k", "r")))
-        more = lines.join(new.select("i"), "i", "left_semi").select(F.col("d").alias("_d"), F.lit(1).alias("u"))
-        used = stored((more if used is None else used.unionByName(more)).groupBy("_d").agg(F.sum("u").cast("int").alias("u")))
+        first = first.join(used, first["d"].eqNullSafe(used["_d"]), "left").filter(F.col("place") <= per_day - F.coalesce("u", F.lit(0)))
+        fit = first.groupBy("i", "k", "r", "n").agg(F.count(F.lit(1)).alias("ok")).filter("ok = n").select("i", "k", "r", F.lit(True).alias("taken"))
+        walked = first_walked(room, ["r", "k", "i"], in_order, ["i", "k", "r", "d", "u"], f"i long, k {kinds['k']}, r {kinds['r']}, taken boolean", walk)
+        new = stored(fit.unionByName(walked).distinct())
+        old_taken, taken = taken, stored(taken.unionByName(new.filter("taken").select("k", "r")))
+        more = lines.join(new.filter("taken").select("i"), "i", "left_semi").select(F.col("d").alias("_d"), F.lit(1).alias("u"))
+        old_used, used = used, stored(used.unionByName(more).groupBy("_d").agg(F.sum("u").cast("int").alias("u")))
         full = used.filter(F.col("u") >= per_day)
         out = lines.join(full, lines["d"].eqNullSafe(full["_d"]), "left_semi").select("i").unionByName(new.select("i")).distinct()
-        lines = stored(lines.join(out, "i", "left_anti"))
+        old_lines, lines = lines, stored(lines.join(out, "i", "left_anti"))
+        release(old_taken, old_used, old_lines, new)
+    release(used, lines)
     if pool is not None:
         taken = taken.orderBy("r", "k").limit(pool)
     return taken.select(F.col("k").alias(key), F.col("r").alias(rank))

@@ -176,7 +176,20 @@ def timed_similar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.timed_pairs(_part_items(spark, sf_dir), "p_partkey", "t", "ts", 96, 0.58)
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE p AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part), u AS (SELECT p_partkey, len(t) AS n, unnest(t) AS w FROM p),
+j AS (SELECT x.p_partkey AS a, y.p_partkey AS b, count(*) AS s, any_value(x.n) AS nx, any_value(y.n) AS ny FROM u x JOIN u y ON x.w = y.w AND x.p_partkey < y.p_partkey AND (y.p_partkey - x.p_partkey) * 2 <= 96 GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b, s / least(nx, ny) AS similarity FROM j WHERE s / least(nx, ny) >= 0.75),
+o AS MATERIALIZED (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey DESC) AS i, coalesce(near, []) AS near FROM part LEFT JOIN (SELECT a, list(b) AS near FROM e GROUP BY a) ON a = p_partkey),
+w(one, i, leaders) USING KEY (one) AS (
+  SELECT 1, 0::BIGINT, []::BIGINT[]
+  UNION SELECT 1, o.i, CASE WHEN list_has_any(o.near, leaders) THEN leaders ELSE list_append(leaders, o.k) END FROM w JOIN o ON o.i = w.i + 1
+),
+l AS (SELECT unnest(leaders) AS leader FROM w),
+m AS (SELECT p_partkey, coalesce(l.leader, (SELECT arg_max(b, (similarity, b)) FROM e WHERE a = p_partkey AND b IN (SELECT leader FROM l))) AS leader FROM part LEFT JOIN l ON l.leader = p_partkey),
+g AS (SELECT m.leader, count(DISTINCT p_brand) AS sources, count(*) AS items, sum(p_size % 3 + 1) AS w, max(1704067200 + p_partkey * 7200) AS newest FROM m JOIN part USING (p_partkey) GROUP BY 1)
+SELECT leader, sources, items, CAST(floor((sources - 1) * 120 + w * 18 + 2 * greatest(0.0, 36 - greatest(0.0, (epoch(TIMESTAMP '2024-07-01') - newest) / 3600)) + 0.5) AS BIGINT) AS trend FROM g"""
+)
 def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of parts as stories: leaders newest first, scored with their suppliers as sources."""
     items = _part_items(spark, sf_dir)

@@ -250,7 +250,17 @@ def best_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_retailprice"), ["p_type"], [F.desc("p_retailprice"), F.col("p_partkey")])
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE d AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(CAST(l_shipdate AS DATE) - DATE '1970-01-01'))) AS days FROM lineitem GROUP BY 1),
+o AS MATERIALIZED (SELECT o_orderkey AS k, -o_totalprice AS r, days, row_number() OVER (ORDER BY -o_totalprice, o_orderkey) AS i FROM orders JOIN d ON o_orderkey = k),
+f AS (SELECT min(x) AS low, max(x) AS high FROM (SELECT unnest(days) AS x FROM o)),
+w(one, i, used, taken) USING KEY (one) AS (
+  SELECT 1, 0::BIGINT, list_transform(range(low, high + 1), lambda x: 0), []::BIGINT[] FROM f
+  UNION SELECT 1, o.i, CASE WHEN ok THEN list_transform(used, lambda n, x: CASE WHEN list_contains(places, x) THEN n + 1 ELSE n END) ELSE used END, CASE WHEN ok THEN list_append(taken, o.k) ELSE taken END
+  FROM (SELECT w.*, o.k, o.i AS oi, list_transform(o.days, lambda x: x - low + 1) AS places, list_max(list_transform(o.days, lambda x: used[x - low + 1])) < 6 AS ok FROM w JOIN o ON o.i = w.i + 1, f) AS s JOIN o ON o.i = s.oi
+)
+SELECT o.k AS l_orderkey, o.r FROM (SELECT unnest(taken) AS k FROM w) JOIN o USING (k)"""
+)
 def greedy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the ship days of their lines, by price: a day takes six orders."""
     days = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.to_date("l_shipdate"))).alias("days"))

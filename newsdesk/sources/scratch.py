@@ -23,4 +23,15 @@ def stored(df: DataFrame) -> DataFrame:
     """df written as a table and read again: its lineage ends there, and a lost executor loses nothing."""
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes stored tables that nothing will read any more."""
+    for df in tables:
+        if df is not None:
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
