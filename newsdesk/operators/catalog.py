@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .linking import title_containment
+
 
 def merge_layers(layers: list[DataFrame], key: str, scalars: list[str], arrays: list[str]) -> DataFrame:
     """Per key of the first layer: each scalar from the first layer where it isn't empty, arrays as sorted unique unions of all."""
@@ -54,8 +56,32 @@ def facet_counts(catalog: DataFrame, facet: str, labels: list[str] | None = None
     return fixed.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def recommend(catalog: DataFrame, profiles: DataFrame, key: str, base: Column, k: int = 6) -> DataFrame:
-    """(profile, key, score, reasons, rank): the k best entries for each profile.
+def infer_profiles(texts: DataFrame, needles: DataFrame, many: tuple[str, ...] = ()) -> DataFrame:
+    """(profile, field, value) of texts(profile, text), by needles(field, place, needle, value) that stand in them.
+
+    Of a field the value of the last needle in order counts, of the fields ``many`` all
+    do.  Texts and needles meet by runs of characters (title_containment), whatever
+    their number.
+    """
+    folded = texts.select("profile", F.lower("text").alias("_t"))
+    wanted = needles.select("field", "place", "value", F.lower("needle").alias("_t"))
+    distinct = wanted.select("_t").distinct().withColumn("_needle", F.col("_t"))
+    met = title_containment(distinct, folded, "_needle", "profile", "_t", 1, 4).join(wanted.withColumnRenamed("_t", "_needle"), "_needle")
+    one = met.filter(~F.col("field").isin(*many)) if many else met
+    out = one.groupBy("profile", "field").agg(F.max_by("value", F.struct("place", "value")).alias("value"))
+    return out.unionByName(met.filter(F.col("field").isin(*many)).select("profile", "field", "value").distinct()) if many else out
+
+
+def token_bonus(catalog: DataFrame, texts: DataFrame, key: str, tokens: str, points: float = 5.0) -> DataFrame:
+    """(profile, key, bonus): ``points`` for each of an entry's tokens (once each) that a profile's free text holds."""
+    own = catalog.select(key, F.explode(F.array_distinct(F.transform(tokens, lambda t: F.lower(t)))).alias("_w"))
+    words = own.select("_w").distinct().withColumn("_t", F.col("_w"))
+    met = title_containment(words, texts.select("profile", F.lower("text").alias("_t")), "_w", "profile", "_t", 1, 4)
+    return met.join(own, "_w").groupBy("profile", key).agg((F.count(F.lit(1)) * points).alias("bonus"))
+
+
+def recommend(catalog: DataFrame, profiles: DataFrame, key: str, base: Column, k: int = 6, bonus: DataFrame | None = None) -> DataFrame:
+    """(profile, key, score, reasons, rank): the k best entries for each profile; ``bonus``(profile, key, bonus) comes on top.
 
     catalog(key, attributes array), profiles(profile, attribute, points, otherwise):
     an entry gets the points of each attribute that it has, and ``otherwise`` of
@@ -65,6 +91,8 @@ def recommend(catalog: DataFrame, profiles: DataFrame, key: str, base: Column, k
     """
     totals = profiles.groupBy("profile").agg(F.sum("otherwise").alias("_o"))
     met = catalog.select(key, F.explode(F.array_distinct("attributes")).alias("attribute")).join(profiles, "attribute").groupBy("profile", key).agg(F.sum(F.col("points") - F.col("otherwise")).alias("_p"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("points") > 0, F.col("attribute")))), ",").alias("reasons"))
+    if bonus is not None:  # an entry may have the profile's words alone
+        met = met.join(bonus, ["profile", key], "full").select("profile", key, (F.coalesce("_p", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("_p"), F.coalesce("reasons", F.lit("")).alias("reasons"))
     scored = met.join(totals, "profile").join(catalog.select(key, base.alias("_b")), key).withColumn("score", F.round(F.col("_p") + F.col("_o") + F.col("_b"), 6)).filter("score > 0")
     w = Window.partitionBy("profile").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("profile", key, "score", "reasons", "rank")

@@ -44,19 +44,52 @@ def awards(rows: DataFrame, game: str, required: list[str], unique: list[str], l
     return good.groupBy(game).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*listed))).alias("awards")), rows.filter(~ok)
 
 
+def source_reasons(terms: list[str], domains: list[str], url: str = "url", title: str = "title", publication: str = "publication", score: str = "score", scale: str = "scale", grade: str = "grade") -> Column:
+    """What speaks against a source by itself, as an array of reasons.
+
+    No publication or web address; a forbidden term in title or address, else a
+    forbidden domain (or one below it); an address of fewer than two path segments;
+    neither a score on a scale above 0 nor a grade.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    hay = F.lower(F.concat_ws(" ", text(title), text(url)))
+    host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(text(url), F.lit("HOST")), F.lit(""))), r"^www\.", "")
+    path = F.coalesce(F.try_parse_url(text(url), F.lit("PATH")), F.lit(""))
+    term = F.lit(False)
+    for t in terms:
+        term = term | F.contains(hay, F.lit(t.lower()))
+    domain = F.lit(False)
+    for d in domains:
+        domain = domain | (host == d.lower()) | F.endswith(host, F.lit(f".{d.lower()}"))
+    rated = F.col(score).try_cast("double").isNotNull() & (F.coalesce(F.col(scale).try_cast("double"), F.lit(0.0)) > 0)
+    return F.array_compact(F.array(
+        F.when((text(publication) == "") | ~F.startswith(text(url), F.lit("http")), "missing"),
+        F.when(term, "forbidden_term").when(domain, "forbidden_domain"),
+        F.when(~F.startswith(text(url), F.lit("http")) | (F.size(F.filter(F.split(path, "/"), lambda x: x != "")) < 2), "shallow_path"),
+        F.when(~rated & (text(grade) == ""), "no_score"),
+    ))
+
+
 def accept_sources(rows: DataFrame, game: str, order: str, maximum: int) -> DataFrame:
     """rows(game, order, url, publication, blocked) with accepted and reason, decided in order within a game.
 
-    A rejected row blocks neither its address nor its publication, so the walk is
-    sequential; a game has a bounded list of sources.
+    With a column ``reasons`` (source_reasons) instead of ``blocked``, all reasons are
+    named, comma-joined, those of the order (duplicates) first.  A rejected row blocks
+    neither its address nor its publication, so the walk is sequential; a game has a
+    bounded list of sources.
     """
+    named = "reasons" in rows.columns
 
     def walk(group: list) -> list:
         urls: set = set()
         publications: set = set()
         out = []
-        for row in sorted(group, key=lambda x: (x["o"], x["url"], x["publication"], x["blocked"])):
-            reason = "blocked" if row["blocked"] else "duplicate_url" if row["url"] in urls else "duplicate_publication" if row["publication"] in publications else "maximum" if len(urls) >= maximum else ""
+        for row in sorted(group, key=lambda x: (x["o"], x["url"], x["publication"], x["own"])):
+            again = ["duplicate_url"] * (row["url"] in urls) + ["duplicate_publication"] * (row["publication"] in publications)
+            if named:
+                reason = ",".join(again + row["own"]) or ("maximum" if len(urls) >= maximum else "")
+            else:
+                reason = "blocked" if row["own"] else again[0] if again else "maximum" if len(urls) >= maximum else ""
             if not reason:
                 urls.add(row["url"])
                 publications.add(row["publication"])
@@ -64,6 +97,16 @@ def accept_sources(rows: DataFrame, game: str, order: str, maximum: int) -> Data
         return out
 
     kinds = dict(rows.dtypes)
-    few = rows.select(F.col(game).alias("g"), F.col(order).alias("o"), F.col("url").cast("string").alias("url"), "publication", "blocked")
-    made = walk_groups(few.withColumn("_k", F.col("g")), "_k", ["g", "o", "url", "publication", "blocked"], walk, f"g {kinds[game]}, o {kinds[order]}, url string, accepted boolean, reason string")
+    few = rows.select(F.col(game).alias("g"), F.col(order).alias("o"), F.col("url").cast("string").alias("url"), "publication", F.col("reasons" if named else "blocked").alias("own"))
+    made = walk_groups(few.withColumn("_k", F.col("g")), "_k", ["g", "o", "url", "publication", "own"], walk, f"g {kinds[game]}, o {kinds[order]}, url string, accepted boolean, reason string")
     return made.withColumnsRenamed({"g": game, "o": order})
+
+
+def source_gate(decided: DataFrame, game: str, contemporary: Column, minimum: int, least_contemporary: int) -> DataFrame:
+    """Per game of decided sources: accepted, contemporary, green, needs_more.
+
+    Green with ``minimum`` accepted ones, of which ``least_contemporary`` (or all, if they are fewer) are contemporary.
+    """
+    g = decided.groupBy(game).agg(F.count_if("accepted").alias("accepted"), F.count_if(F.col("accepted") & contemporary).alias("contemporary"))
+    green = (F.col("accepted") >= minimum) & (F.col("contemporary") >= F.least(F.lit(least_contemporary), F.col("accepted")))
+    return g.withColumn("green", green).withColumn("needs_more", F.greatest(F.lit(0), F.lit(minimum) - F.col("accepted")))

@@ -419,3 +419,60 @@ def expectation_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = K.places(g, [], [F.desc("popularity"), F.col("c_custkey")], "position")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") / 100).alias("expected"), (F.col("c_acctbal") / 50).alias("anticipation"))
     return Z.expectation_ratings(c, p, "c_custkey").withColumn("players", F.when(F.col("players").isNotNull(), F.col("players")))
+
+
+_TERMS, _DOMAINS = ["walkthrough", "guide"], ["shop.example", "wiki.example"]
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT l_orderkey AS g, l_linenumber AS o, l_partkey, l_suppkey, l_returnflag, l_quantity, l_tax FROM lineitem),
+s AS (SELECT g, o, 'https://' || CASE WHEN l_suppkey % 7 = 0 THEN 'www.shop.example' WHEN l_suppkey % 11 = 0 THEN 'a.wiki.example' ELSE 'p' || l_suppkey % 5 || '.example' END || CASE WHEN l_partkey % 9 = 0 THEN '/front' ELSE '/reviews/' || l_partkey % 8 END AS url, 'p' || l_suppkey % 5 AS publication,
+  CASE WHEN l_partkey % 13 = 0 THEN 'A Walkthrough' ELSE 'A review' END AS title, CASE WHEN l_quantity > 5 THEN l_quantity END AS score, CASE WHEN l_quantity > 45 THEN 0 ELSE 50 END AS scale, CASE WHEN l_quantity > 48 THEN 'B+' ELSE '' END AS grade FROM l),
+t AS (SELECT *, list_filter([CASE WHEN contains(lower(title || ' ' || url), 'walkthrough') OR contains(lower(title || ' ' || url), 'guide') THEN 'forbidden_term' WHEN url LIKE 'https://www.shop.example/%' OR url LIKE 'https://a.wiki.example/%' THEN 'forbidden_domain' END, CASE WHEN url LIKE '%/front' THEN 'shallow_path' END, CASE WHEN NOT (score IS NOT NULL AND scale > 0) AND grade = '' THEN 'no_score' END], lambda x: x IS NOT NULL) AS own FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY o, url, publication, own) AS i FROM t),
+w AS (SELECT g, 0::BIGINT AS i, 0 AS o, '' AS url, '' AS reason, []::VARCHAR[] AS us, []::VARCHAR[] AS ps FROM (SELECT DISTINCT g FROM r)
+  UNION ALL SELECT g, i, o, url, reason, CASE WHEN reason = '' THEN list_append(us, url) ELSE us END, CASE WHEN reason = '' THEN list_append(ps, publication) ELSE ps END
+  FROM (SELECT z.*, CASE WHEN all_of <> '' THEN all_of WHEN len(us) >= 3 THEN 'maximum' ELSE '' END AS reason FROM (SELECT r.*, us, ps, array_to_string(list_concat(list_filter([CASE WHEN list_contains(us, r.url) THEN 'duplicate_url' END, CASE WHEN list_contains(ps, r.publication) THEN 'duplicate_publication' END], lambda x: x IS NOT NULL), own), ',') AS all_of FROM w JOIN r ON r.g = w.g AND r.i = w.i + 1) AS z)),
+d AS (SELECT g, count(*) FILTER (reason = '') AS accepted, count(*) FILTER (reason = '' AND url NOT LIKE '%/0') AS contemporary, string_agg(reason, ';' ORDER BY o, url, reason) AS reasons FROM w WHERE i > 0 GROUP BY g)
+SELECT g AS l_orderkey, accepted, contemporary, accepted >= 2 AND contemporary >= least(2, accepted) AS green, greatest(0, 2 - accepted) AS needs_more, reasons FROM d"""
+)
+def source_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as its sources, each with the reasons against it; orders are green by their counts."""
+    from ..operators import ratings as R
+
+    host = F.when(F.col("l_suppkey") % 7 == 0, "www.shop.example").when(F.col("l_suppkey") % 11 == 0, "a.wiki.example").otherwise(F.concat(F.lit("p"), F.col("l_suppkey") % 5, F.lit(".example")))
+    path = F.when(F.col("l_partkey") % 9 == 0, "/front").otherwise(F.concat(F.lit("/reviews/"), F.col("l_partkey") % 8))
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat(F.lit("https://"), host, path).alias("url"), F.concat(F.lit("p"), F.col("l_suppkey") % 5).alias("publication"), F.when(F.col("l_partkey") % 13 == 0, "A Walkthrough").otherwise("A review").alias("title"),
+        F.when(F.col("l_quantity") > 5, F.col("l_quantity")).alias("score"), F.when(F.col("l_quantity") > 45, 0).otherwise(50).alias("scale"), F.when(F.col("l_quantity") > 48, "B+").otherwise("").alias("grade"),
+    )
+    rows = rows.withColumn("reasons", R.source_reasons(_TERMS, _DOMAINS))
+    decided = R.accept_sources(rows, "l_orderkey", "l_linenumber", 3)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "url", "reason"))), lambda x: x["reason"]), ";")
+    return R.source_gate(decided, "l_orderkey", ~F.col("url").endswith("/0"), 2, 2).join(decided.groupBy("l_orderkey").agg(listed.alias("reasons")), "l_orderkey")
+
+
+@query(
+    """WITH t AS (SELECT c_custkey AS profile, lower(c_mktsegment || ' wants ' || CASE c_custkey % 4 WHEN 0 THEN 'steel and large ones' WHEN 1 THEN 'a hot ring, small or promo' WHEN 2 THEN 'economy bolts of brand#7, no hot ones' ELSE 'nothing' END) AS text FROM customer),
+n(field, place, needle, value) AS (VALUES ('size', 1, 'large', 'LARGE'), ('size', 2, 'small', 'SMALL'), ('size', 3, 'economy', 'ECONOMY'), ('size', 4, 'promo', 'PROMO'), ('brand', 1, 'brand#7', 'Brand#7'), ('avoid', 1, 'no hot', 'hot'), ('avoid', 2, 'nothing', 'bolt')),
+m AS (SELECT profile, field, arg_max(value, place) AS value FROM t JOIN n ON contains(text, needle) GROUP BY 1, 2),
+a AS (SELECT p_partkey, p_retailprice, list_distinct([p_brand, p_type, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) AS attributes, list_distinct([lower(split_part(p_name, ' ', 1)), lower(split_part(p_name, ' ', 2)), lower(p_type)]) AS tokens FROM part),
+pr AS (SELECT profile, value AS attribute, CASE field WHEN 'size' THEN 24.0 WHEN 'brand' THEN 22.0 ELSE -34.0 END AS points, CASE field WHEN 'brand' THEN -100.0 ELSE 0.0 END AS otherwise FROM m),
+o AS (SELECT profile, sum(otherwise) AS o FROM pr GROUP BY 1),
+g AS (SELECT profile, p_partkey, sum(points - otherwise) AS p, string_agg(attribute, ',' ORDER BY attribute) FILTER (points > 0) AS reasons FROM (SELECT p_partkey, unnest(attributes) AS attribute FROM a) JOIN pr USING (attribute) GROUP BY 1, 2),
+w AS (SELECT profile, p_partkey, 5.0 * count(*) AS bonus FROM t JOIN (SELECT p_partkey, unnest(tokens) AS token FROM a) ON contains(text, token) GROUP BY 1, 2),
+z AS (SELECT profile, p_partkey, round(CAST(coalesce(p, 0) + coalesce(bonus, 0) + o + p_retailprice / 1000 AS DOUBLE), 6) AS score, coalesce(reasons, '') AS reasons FROM g FULL JOIN w USING (profile, p_partkey) JOIN o USING (profile) JOIN a USING (p_partkey))
+SELECT profile, p_partkey, score, reasons, CAST(row_number() OVER (PARTITION BY profile ORDER BY score DESC, p_partkey) AS INTEGER) AS rank FROM z WHERE score > 0 QUALIFY rank <= 6"""
+)
+def preference_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customers ask for in their own words, against all parts: needles make profiles, words that a part is named by give points."""
+    c = table(spark, sf_dir, "customer")
+    i = F.col("c_custkey") % 4
+    words = F.when(i == 0, "steel and large ones").when(i == 1, "a hot ring, small or promo").when(i == 2, "economy bolts of brand#7, no hot ones").otherwise("nothing")
+    texts = c.select(F.col("c_custkey").alias("profile"), F.concat("c_mktsegment", F.lit(" wants "), words).alias("text"))
+    needles = spark.createDataFrame([("size", 1, "large", "LARGE"), ("size", 2, "small", "SMALL"), ("size", 3, "economy", "ECONOMY"), ("size", 4, "promo", "PROMO"), ("brand", 1, "brand#7", "Brand#7"), ("avoid", 1, "no hot", "hot"), ("avoid", 2, "nothing", "bolt")], "field string, place int, needle string, value string")
+    field = F.col("field")
+    profiles = C.infer_profiles(texts, needles).select("profile", F.col("value").alias("attribute"), F.when(field == "size", 24.0).when(field == "brand", 22.0).otherwise(-34.0).alias("points"), F.when(field == "brand", -100.0).otherwise(0.0).alias("otherwise"))
+    name = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    catalog = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.array("p_brand", "p_type", name(1), name(2)).alias("attributes"), F.array(name(1), name(2), F.col("p_type")).alias("tokens"))
+    return C.recommend(catalog, profiles, "p_partkey", F.col("p_retailprice") / 1000, 6, C.token_bonus(catalog, texts, "p_partkey", "tokens"))

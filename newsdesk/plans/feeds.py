@@ -138,10 +138,10 @@ def intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLES["mention_windows"])
 def mention_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows of the batch query, from a stream of events in two micro-batches."""
+    """The windows of the batch query, from the panes of a stream of events in two micro-batches."""
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    path, last = _drained(streams.mention_stream(_landed(e, 2), "ts", "user_id", "event_type", "value", slide="24 hours"), "complete")
-    return spark.read.parquet(f"{path}/batch={last}")
+    path, last = _drained(streams.mention_panes(_landed(e, 2), "ts", "user_id", "event_type", "value", "24 hours"), "complete")
+    return streams.windows_of_panes(spark.read.parquet(f"{path}/batch={last}"), "user_id", "event_type", 96, 24)
 
 
 @query(

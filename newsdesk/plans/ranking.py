@@ -268,7 +268,14 @@ def greedy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.greedy_dates(ranked.join(days, "l_orderkey"), "l_orderkey", "days", "r", 6)
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE m AS (SELECT l_orderkey AS g, l_returnflag AS s, l_partkey AS id, l_extendedprice AS score FROM lineitem),
+r AS (SELECT g, s, id, most, row_number() OVER (PARTITION BY g ORDER BY most, s, score DESC, id) AS i FROM m, (VALUES (1), (2)) AS t(most)),
+w AS (SELECT g, 0::BIGINT AS i, '' AS s, 0::BIGINT AS id, false AS ok, []::BIGINT[] AS used, []::VARCHAR[] AS filled FROM (SELECT DISTINCT g FROM r)
+  UNION ALL SELECT g, i, s, id, ok, CASE WHEN ok THEN list_append(used, id) ELSE used END, CASE WHEN ok THEN list_append(filled, s) ELSE filled END
+  FROM (SELECT r.g, r.i, r.s, r.id, used, filled, NOT list_contains(used, r.id) AND len(list_filter(filled, lambda x: x = r.s)) < r.most AS ok FROM w JOIN r ON r.g = w.g AND r.i = w.i + 1))
+SELECT g AS l_orderkey, s AS section, id AS media_id FROM w WHERE ok"""
+)
 def section_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media for sections: the lines of an order as media, their flags as sections."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("section"), F.col("l_partkey").alias("media_id"), F.col("l_extendedprice").alias("score"))

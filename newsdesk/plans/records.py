@@ -255,17 +255,18 @@ _KINDS = "CASE p_size % 3 WHEN 0 THEN 'game' WHEN 1 THEN 'edition' ELSE 'dlc' EN
 
 
 @query(
-    f"""WITH p AS (SELECT p_partkey, p_name, {_KINDS} AS kind, 1990 + p_size % 2 AS year FROM part), c AS (SELECT * FROM p WHERE p_partkey % 10 = 1), e AS (SELECT * FROM p WHERE p_partkey % 10 = 2),
-j AS (SELECT c.p_partkey AS candidate, e.p_partkey AS entity, c.kind AS ck, e.kind AS ek, c.year <> e.year AS years FROM c JOIN e ON c.p_name = e.p_name),
-k AS (SELECT candidate, entity, CASE WHEN years THEN 0.0 WHEN ck = ek THEN 0.98 WHEN ck IN ('game', 'edition') AND ek IN ('game', 'edition') THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM j)
+    f"""WITH p AS (SELECT p_partkey, p_name, p_name || ' ' || p_type AS alias, p_partkey // 2 AS id, {_KINDS} AS kind, 1990 + p_size % 2 AS year FROM part), c AS (SELECT *, p_partkey % 6 = 0 AS known FROM p WHERE p_partkey % 2 = 0), e AS (SELECT *, p_partkey % 9 = 1 AS known FROM p WHERE p_partkey % 2 = 1),
+j AS (SELECT c.p_partkey AS candidate, e.p_partkey AS entity, c.kind AS ck, e.kind AS ek, c.year <> e.year AS years, c.known AND e.known AND c.id = e.id AS same, c.alias = e.alias AS exact, c.p_name = e.p_name AS stripped FROM c JOIN e ON c.p_name = e.p_name OR (c.known AND e.known AND c.id = e.id)),
+k AS (SELECT candidate, entity, CASE WHEN same THEN 1.0 WHEN years THEN 0.0 WHEN exact AND ck = ek THEN 0.98 WHEN exact AND ck <> 'dlc' AND ek <> 'dlc' THEN 0.9 WHEN stripped AND ck <> 'dlc' AND ek <> 'dlc' THEN 0.84 WHEN ck <> ek THEN 0.7 ELSE 0.0 END::DOUBLE AS confidence FROM j)
 SELECT candidate, entity, CASE WHEN confidence >= 0.84 THEN 'match' WHEN confidence = 0.7 THEN 'ambiguous' ELSE 'none' END AS decision, confidence FROM k"""
 )
 def identity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts, as candidates and entities by turns, some with ids; names without their type are stripped aliases."""
     kind = F.when(F.col("p_size") % 3 == 0, "game").when(F.col("p_size") % 3 == 1, "edition").otherwise("dlc")
-    p = table(spark, sf_dir, "part").withColumn("kind", kind).withColumn("year", 1990 + F.col("p_size") % 2)
-    none = F.array().cast("array<string>")
-    c = p.filter("p_partkey % 10 = 1").select(F.col("p_partkey").alias("candidate"), none.alias("ids"), F.col("p_name").alias("alias"), F.col("p_name").alias("stripped"), "kind", "year")
-    e = p.filter("p_partkey % 10 = 2").select(F.col("p_partkey").alias("entity"), none.alias("ids"), F.array("p_name").alias("aliases"), F.array("p_name").alias("stripped_aliases"), "kind", "year")
+    p = table(spark, sf_dir, "part").withColumn("kind", kind).withColumn("year", 1990 + F.col("p_size") % 2).withColumn("alias", F.concat_ws(" ", "p_name", "p_type"))
+    ids = lambda known: F.when(known, F.array(F.concat(F.lit("sku:"), F.floor(F.col("p_partkey") / 2).cast("string")))).otherwise(F.array().cast("array<string>"))
+    c = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("candidate"), ids(F.col("p_partkey") % 6 == 0).alias("ids"), "alias", F.col("p_name").alias("stripped"), "kind", "year")
+    e = p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("entity"), ids(F.col("p_partkey") % 9 == 1).alias("ids"), F.array("alias").alias("aliases"), F.array("p_name").alias("stripped_aliases"), "kind", "year")
     return G.identity_matches(c, e)
 
 
@@ -313,18 +314,26 @@ def feed_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT event_id, user_id, event_type, floor(value) AS score FROM events), c AS (SELECT DISTINCT user_id AS candidate FROM events)
-SELECT candidate, event_type AS region, CAST(max(floor(score + 0.5)) AS BIGINT) AS weight, count(DISTINCT event_id) AS events, count(DISTINCT event_id % 4) AS sources, (max(floor(score + 0.5)) >= 220 AND count(DISTINCT event_id) >= 2) OR (max(floor(score + 0.5)) >= 170 AND count(DISTINCT event_id % 4) >= 2) AS notable FROM r JOIN c ON r.user_id = c.candidate GROUP BY 1, 2"""
+    """WITH r AS (SELECT event_id, user_id, event_type, floor(value) AS score, event_id % 3 = 0 AS known, event_type || ' i' || user_id % 40 || ' of s' || user_id % 40 AS title FROM events),
+c AS (SELECT DISTINCT user_id AS candidate, CASE WHEN user_id % 2 = 0 THEN 'i' || user_id % 40 || ' of s' ELSE 's' || user_id % 40 || ' i' || user_id % 40 || ' more' END AS title FROM events),
+k AS (SELECT r.*, candidate, CASE WHEN known THEN CASE WHEN user_id = candidate THEN 1.0 ELSE 0 END WHEN contains(r.title, c.title) THEN 1.0
+  WHEN len(list_intersect(string_split(r.title, ' '), string_split(c.title, ' '))) >= 2 THEN len(list_intersect(string_split(r.title, ' '), string_split(c.title, ' '))) / len(string_split(c.title, ' ')) ELSE 0 END AS m
+  FROM r JOIN c ON CASE WHEN known THEN user_id = candidate ELSE contains(r.title, c.title) OR user_id % 40 = candidate % 40 END),
+m AS (SELECT *, CAST(floor(score * m + 0.5) AS BIGINT) AS w FROM k WHERE m >= 0.55)
+SELECT candidate, event_type AS region, max(w) AS weight, count(DISTINCT event_id) AS events, count(DISTINCT event_id % 4) AS sources, (max(w) >= 220 AND count(DISTINCT event_id) >= 2) OR (max(w) >= 170 AND count(DISTINCT event_id % 4) >= 2) AS notable FROM m GROUP BY 1, 2"""
 )
 def regional_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a user as an entity, or with a title alone, for users as candidates: by id, by titles that hold another, by common tokens."""
     e = table(spark, sf_dir, "events")
     return _regional_affinity(e, e)
 
 
 def _regional_affinity(events: DataFrame, users: DataFrame) -> DataFrame:
-    none = F.array().cast("array<string>")
-    rows = events.select(F.col("event_id").alias("event"), F.col("user_id").alias("entity"), none.alias("tokens"), F.array("event_type").alias("regions"), (F.col("event_id") % 4).alias("source"), F.floor("value").alias("score"))
-    c = users.select(F.col("user_id").alias("candidate")).distinct().select("candidate", F.col("candidate").alias("entity"), none.alias("tokens"))
+    nth = lambda c: (F.col(c) % 40).cast("string")
+    title = F.concat("event_type", F.lit(" i"), nth("user_id"), F.lit(" of s"), nth("user_id"))
+    rows = events.select(F.col("event_id").alias("event"), F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("entity"), title.alias("title"), F.split(title, " ").alias("tokens"), F.array("event_type").alias("regions"), (F.col("event_id") % 4).alias("source"), F.floor("value").alias("score"))
+    name = F.when(F.col("candidate") % 2 == 0, F.concat(F.lit("i"), nth("candidate"), F.lit(" of s"))).otherwise(F.concat(F.lit("s"), nth("candidate"), F.lit(" i"), nth("candidate"), F.lit(" more")))
+    c = users.select(F.col("user_id").alias("candidate")).distinct().select("candidate", F.col("candidate").alias("entity"), name.alias("title"), F.split(name, " ").alias("tokens"))
     return K.affinity_totals(K.audience_affinity(rows, c))
 
 
@@ -469,15 +478,21 @@ def _discussion(members: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT DISTINCT l_orderkey, 'p' || l_partkey AS x FROM lineitem), e AS (SELECT 'p' || p_partkey AS x, p_partkey AS entity FROM part), b AS (SELECT DISTINCT l_orderkey, entity FROM i JOIN e USING (x))
-SELECT l_orderkey, entity, 'id' AS how FROM b UNION ALL SELECT o_orderkey, p_partkey, 'title' FROM orders JOIN part ON 'part ' || p_partkey = 'part ' || o_custkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM b) AND o_orderkey IN (SELECT l_orderkey FROM i)"""
+    """WITH i AS (SELECT DISTINCT l_orderkey, l_partkey AS x FROM lineitem WHERE l_orderkey % 4 <> 0), b AS (SELECT l_orderkey, p_partkey AS entity FROM i JOIN part ON x = p_partkey AND p_partkey % 3 <> 0)
+SELECT l_orderkey, entity, 'id' AS how FROM b
+UNION ALL SELECT o_orderkey, p_partkey, 'title' FROM orders JOIN part ON contains('news of part ' || o_custkey || ' today', 'part ' || p_partkey)
+  WHERE p_partkey NOT IN (SELECT entity FROM b) AND o_orderkey % 4 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)"""
 )
 def id_or_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items, a quarter of them without ids; parts as entities, a third of them without."""
     return _id_or_title(*(table(spark, sf_dir, t) for t in ("lineitem", "orders", "part")))
 
 
 def _id_or_title(lines: DataFrame, orders: DataFrame, parts: DataFrame) -> DataFrame:
-    li = lines.groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("ids"))
-    items = li.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("part "), F.col("o_custkey").cast("string")).alias("title")), "l_orderkey")
-    e = parts.select(F.col("p_partkey").alias("entity"), F.array(F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).alias("ids"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("title"))
+    named = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    li = lines.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_orderkey") % 4 != 0, named("l_partkey"))).alias("ids"))
+    title = F.concat(F.lit("news of part "), F.col("o_custkey").cast("string"), F.lit(" today"))
+    items = li.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), title.alias("title")), "l_orderkey")
+    none = F.array().cast("array<string>")
+    e = parts.select(F.col("p_partkey").alias("entity"), F.when(F.col("p_partkey") % 3 != 0, F.array(named("p_partkey"))).otherwise(none).alias("ids"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("title"))
     return K.id_or_title(items, e, "l_orderkey", "ids", "title", "entity")

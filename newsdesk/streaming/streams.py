@@ -12,10 +12,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.dedup import latest
 from ..operators.ledger import append_revisions, content_hash
+from ..sources.scratch import release, stored
 
 
-#: Buckets of a table of latest rows; a micro-batch rewrites those that it touches.
+#: Buckets of a table of latest rows.
 BUCKETS = 64
+#: Runs of one level that a bucket holds; one more, and they become a run of the next level.
+RUNS_A_LEVEL = 8
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -23,26 +26,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def _places(spark: SparkSession, table: str) -> dict[int, int]:
-    """The version that holds each bucket: at most BUCKETS rows."""
-    if not _exists(spark, f"{table}/_versions"):
+def _live(spark: SparkSession, table: str) -> dict[int, dict[int, int]]:
+    """Of each bucket its runs (versions) that no other has taken in, and their levels: a few for each level, which are few."""
+    if not _exists(spark, f"{table}/_runs"):
         return {}
-    return {r[0]: r[1] for r in spark.read.parquet(f"{table}/_versions").groupBy("bucket").agg(F.max("version")).collect()}
+    noted = spark.read.schema(_RUN).parquet(f"{table}/_runs")
+    gone = noted.select("bucket", F.explode("merged").alias("version"))
+    out: dict[int, dict[int, int]] = {}
+    for r in noted.join(gone, ["bucket", "version"], "left_anti").select("bucket", "version", "level").distinct().collect():
+        out.setdefault(r["bucket"], {})[r["version"]] = r["level"]
+    return out
+
 
+_RUN = "bucket int, version int, level int, merged array<int>"
 
-def _stored(spark: SparkSession, table: str, places: dict[int, int], schema) -> list[DataFrame]:
-    """The rows of buckets with their bucket, a DataFrame for each version that holds some."""
+
+def _stored(spark: SparkSession, table: str, runs: list[tuple[int, int]], schema) -> list[DataFrame]:
+    """The rows of runs (bucket, version) with their bucket, a DataFrame for each version that holds some."""
     out = []
-    for v in sorted(set(places.values())):
-        paths = [f"{table}/v{v}/bucket={b}" for b in sorted(places) if places[b] == v]
+    for v in sorted({v for _, v in runs}):
+        paths = [f"{table}/v{v}/bucket={b}" for b, x in sorted(runs) if x == v]
         out.append(spark.read.schema(StructType([*schema, StructField("bucket", IntegerType())])).option("basePath", f"{table}/v{v}").parquet(*paths))
     return out
 
 
 def upsert_latest(rows: DataFrame, table: str, keys: list[str], order: list[str]) -> None:
-    """Keeps the last of each key, by ``order``, in a folder of buckets; only buckets that rows touch are written again.
+    """Adds rows to a table that keeps the last of each key, by ``order``.
 
-    A pointer for each bucket is appended when its new version is complete.  The
+    A batch is written as a new run of each bucket that it touches, and no more: a
+    bucket's runs of one level become one run of the next when there are
+    ``RUNS_A_LEVEL`` of them, so that a row is written once a level, however large the
+    table is.  A run counts when it has been noted, with the runs that it took in.  The
     order is total up to equal rows, so replaying a batch changes nothing.
     """
     spark = rows.sparkSession
@@ -50,20 +64,38 @@ def upsert_latest(rows: DataFrame, table: str, keys: list[str], order: list[str]
     touched = {r[0] for r in new.select("bucket").distinct().collect()}
     if not touched:
         return
-    places = _places(spark, table)
-    version = max(places.values(), default=0) + 1
-    for old in _stored(spark, table, {b: places[b] for b in touched & places.keys()}, rows.schema):
+    live = _live(spark, table)
+    version = max((v for runs in live.values() for v in runs), default=0) + 1
+    noted, taken = [], []
+    for b in sorted(touched):
+        level, merged = 0, []
+        while len(same := [v for v, at in live.get(b, {}).items() if at == level]) + 1 >= RUNS_A_LEVEL:
+            merged, level = merged + same, level + 1
+        noted.append((b, version, level, merged))
+        taken += [(b, v) for v in merged]
+    for old in _stored(spark, table, taken, rows.schema):
         new = new.unionByName(old)
     latest(new, ["bucket", *keys], order).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v{version}")
-    spark.createDataFrame([(b, version) for b in sorted(touched)], "bucket int, version int").coalesce(1).write.mode("append").parquet(f"{table}/_versions")
+    spark.createDataFrame(noted, _RUN).coalesce(1).write.mode("append").parquet(f"{table}/_runs")
 
 
-def read_latest(spark: SparkSession, table: str, schema: str) -> DataFrame:
-    """The rows of a table of latest rows."""
+def _latest_of(spark: SparkSession, table: str, schema, keys: list[str], order: list[str], buckets: set[int] | None = None) -> DataFrame:
     out = spark.createDataFrame([], schema)
-    for part in _stored(spark, table, _places(spark, table), out.schema):
+    runs = [(b, v) for b, own in _live(spark, table).items() if buckets is None or b in buckets for v in own]
+    for part in _stored(spark, table, runs, out.schema):
         out = out.unionByName(part.drop("bucket"))
-    return out
+    return latest(out, keys, order)
+
+
+def read_touched(rows: DataFrame, table: str, keys: list[str], order: list[str], schema) -> DataFrame:
+    """The last rows of the buckets that the keys of ``rows`` are in; other buckets are not read."""
+    touched = {r[0] for r in rows.select(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).distinct().collect()}
+    return _latest_of(rows.sparkSession, table, schema, keys, order, touched)
+
+
+def read_latest(spark: SparkSession, table: str, schema: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows of a table of latest rows."""
+    return _latest_of(spark, table, schema, keys, order)
 
 
 VOTES = "game string, voter string, rating int, ts timestamp"
@@ -76,7 +108,7 @@ def latest_votes(votes: DataFrame, table: str) -> None:
 
 
 def read_votes(spark: SparkSession, table: str) -> DataFrame:
-    return read_latest(spark, table, VOTES)
+    return read_latest(spark, table, VOTES, ["game", "voter"], ["ts", "rating"])
 
 
 def vote_stream(stream: DataFrame, table: str, checkpoint: str):
@@ -89,10 +121,19 @@ def dedupe_intake(stream: DataFrame, ts: str = "published_at", key: str = "canon
     return stream.withWatermark(ts, window).dropDuplicatesWithinWatermark([key])
 
 
-def mention_stream(stream: DataFrame, ts: str, game: str, family: str, value: str, window: str = "96 hours", slide: str = "1 hour", late: str = "96 hours") -> DataFrame:
-    """Mentions and engagement per game and family in sliding windows, under a watermark."""
-    out = stream.withWatermark(ts, late).groupBy(F.window(ts, window, slide).alias("w"), game, family).agg(F.count(F.lit(1)).alias("mentions"), F.sum(value).alias("engagement"))
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), game, family, "mentions", "engagement")
+def mention_panes(stream: DataFrame, ts: str, game: str, family: str, value: str, slide: str = "1 hour", late: str = "96 hours") -> DataFrame:
+    """Mentions and engagement per game and family in panes of one slide, under a watermark: each row is in one pane, and so is the state."""
+    out = stream.withWatermark(ts, late).groupBy(F.window(ts, slide).alias("w"), game, family).agg(F.count(F.lit(1)).alias("mentions"), F.sum(value).alias("engagement"))
+    return out.select(F.col("w.start").alias("pane_start"), game, family, "mentions", "engagement")
+
+
+def windows_of_panes(panes: DataFrame, game: str, family: str, hours: int = 96, slide: int = 1) -> DataFrame:
+    """The sliding windows of mention_panes: what was one row a pane is combined for each window that it is in."""
+    ahead = F.explode(F.sequence(F.lit(0), F.lit(hours // slide - 1))).alias("_k")
+    each = panes.select(game, family, "mentions", "engagement", "pane_start", ahead)
+    start = F.col("pane_start") - F.make_dt_interval(hours=F.col("_k") * slide)
+    out = each.groupBy(start.alias("window_start"), game, family).agg(F.sum("mentions").alias("mentions"), F.sum("engagement").alias("engagement"))
+    return out.select("window_start", (F.col("window_start") + F.make_dt_interval(hours=F.lit(hours))).alias("window_end"), game, family, "mentions", "engagement")
 
 
 class SourceHealth(StatefulProcessor):
@@ -124,6 +165,10 @@ RUNS = "run long, version string, status string, item_count long, message string
 def import_snapshot(items: DataFrame, ledger: str, key: str, columns: list[str], current: str | None = None, runs: str | None = None, version: str = "", run: int = 0) -> None:
     """foreachBatch step: appends revisions of items whose content changed; the same snapshot again appends none.
 
+    What is compared is the head table beside the ledger, the last revision of each item
+    in buckets, of which a batch reads those that its items are in.  A batch that is run
+    again after it failed between the two may append its revisions twice, number for number.
+
     With ``current`` the items themselves are upserted there, and with ``runs`` the
     run is noted as running, then as success with its item count, or as failed.  Of
     several contents of a key in one batch the one with the largest digest counts.
@@ -138,9 +183,14 @@ def import_snapshot(items: DataFrame, ledger: str, key: str, columns: list[str],
     try:
         digest = content_hash(columns)
         chosen = items.groupBy(key).agg(F.max(F.struct(digest.alias("digest"), *(F.col(c) for c in columns))).alias("_i")).select(key, "_i.*")
-        schema = f"{key} {dict(items.dtypes)[key]}, revision_no int, digest string"
-        old = spark.read.schema(schema).parquet(ledger) if _exists(spark, ledger) else spark.createDataFrame([], schema)
-        append_revisions(old, chosen.select(key, "digest"), key, "digest").select(key, F.col("revision_no").cast("int"), "digest").write.mode("append").parquet(ledger)
+        schema, heads = f"{key} {dict(items.dtypes)[key]}, revision_no int, digest string", f"{ledger}-heads"
+        if _exists(spark, ledger) and not _exists(spark, heads):  # a ledger from before there were heads
+            upsert_latest(spark.read.schema(schema).parquet(ledger), heads, [key], ["revision_no"])
+        old = read_touched(chosen.select(key), heads, [key], ["revision_no"], schema)
+        new = stored(append_revisions(old, chosen.select(key, "digest"), key, "digest").select(key, F.col("revision_no").cast("int"), "digest"))
+        new.write.mode("append").parquet(ledger)
+        upsert_latest(new, heads, [key], ["revision_no"])
+        release(new)
         if current:
             upsert_latest(chosen.withColumn("run", F.lit(run).cast("long")), current, [key], ["run", "digest"])
     except Exception as e:
@@ -152,7 +202,7 @@ def import_snapshot(items: DataFrame, ledger: str, key: str, columns: list[str],
 def current_items(spark: SparkSession, current: str, items: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """The items of an imported ledger as they stand; ``items`` gives their types."""
     kinds = dict(items.dtypes)
-    return read_latest(spark, current, f"{key} {kinds[key]}, digest string, {', '.join(f'{c} {kinds[c]}' for c in columns)}, run long")
+    return read_latest(spark, current, f"{key} {kinds[key]}, digest string, {', '.join(f'{c} {kinds[c]}' for c in columns)}, run long", [key], ["run", "digest"])
 
 
 def snapshot_stream(stream: DataFrame, ledger: str, key: str, columns: list[str], checkpoint: str, current: str | None = None, runs: str | None = None):

@@ -87,10 +87,13 @@ def test_intake_and_mentions_streams(spark, tmp_path):
     q = streams.dedupe_intake(source).writeStream.format("memory").queryName("intake").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("intake").count() == 2
-    q = streams.mention_stream(source, "published_at", "game", "family", "value", "2 hours", "1 hour").writeStream.format("memory").queryName("mentions").outputMode("complete").trigger(availableNow=True).start()
+    q = streams.mention_panes(source, "published_at", "game", "family", "value", "1 hour").writeStream.format("memory").queryName("mentions").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     twin = popularity.mention_windows(df, "published_at", "game", "family", "value", "2 hours", "1 hour")
-    assert sorted(spark.table("mentions").collect()) == sorted(twin.select(spark.table("mentions").columns).collect())
+    windows = streams.windows_of_panes(spark.table("mentions"), "game", "family", 2, 1)
+    assert sorted(windows.collect()) == sorted(twin.select(windows.columns).collect())
+    # Each row is in one pane: no Expand before the state.
+    assert spark.table("mentions").agg(F.sum("mentions")).first()[0] == df.count()
 
 
 def test_source_health_stream_equals_its_batch(spark, tmp_path):
@@ -119,3 +122,48 @@ def test_snapshot_import_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == 2
     streams.import_snapshot(items.withColumn("v", F.col("v") + 1).filter("id = 'a'"), ledger, "id", ["v"])
     assert sorted((r.id, r.revision_no) for r in spark.read.parquet(ledger).collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def _bytes(path):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
+def test_a_batch_writes_in_proportion_to_itself(spark, tmp_path, monkeypatch):
+    """A large table of votes, then small batches: each writes its own rows, merges now and then, and reading gives the last vote."""
+    monkeypatch.setattr(streams, "BUCKETS", 4)
+    monkeypatch.setattr(streams, "RUNS_A_LEVEL", 3)
+    table = f"{tmp_path}/votes"
+    votes = lambda n, first, ts: spark.range(n).select(F.concat(F.lit("g"), F.col("id") % 50).alias("game"), (F.col("id") + first).cast("string").alias("voter"), (F.lit(ts) % 10 + 1).cast("int").alias("rating"), F.timestamp_seconds(F.lit(ts)).alias("ts"))
+    streams.latest_votes(votes(20_000, 0, 1), table)
+    first, lone = _bytes(f"{table}/v1"), 0
+    for k in range(2, 9):
+        streams.latest_votes(votes(20, 10 * k, k), table)
+        noted = spark.read.schema(streams._RUN).parquet(f"{table}/_runs").filter(F.col("version") == k)
+        alone = [r.bucket for r in noted.collect() if not r.merged]  # in the others the runs of a level became one
+        assert sum(_bytes(f"{table}/v{k}/bucket={b}") for b in alone) < first / 4
+        lone += len(alone)
+    assert lone >= 14  # of 28, as each third run of a bucket merges
+    got = {(r.game, r.voter): (r.rating, r.ts.timestamp()) for r in streams.read_votes(spark, table).collect()}
+    want = {(f"g{i % 50}", str(i)): (2, 1.0) for i in range(20_000)}
+    for k in range(2, 9):
+        want |= {(f"g{i % 50}", str(i + 10 * k)): (k % 10 + 1, float(k)) for i in range(20)}
+    assert got == want
+    live = streams._live(spark, table)
+    assert all(len(runs) <= 6 for runs in live.values()) and max(len(runs) for runs in live.values()) >= 2
+
+
+def test_heads_of_a_ledger(spark, tmp_path):
+    """What a batch compares with: the last revision of its items, also for a ledger that had no heads."""
+    ledger = f"{tmp_path}/ledger"
+    items = spark.createDataFrame([(str(i), i) for i in range(40)], "id string, v long")
+    streams.import_snapshot(items, ledger, "id", ["v"])
+    schema = "id string, revision_no int, digest string"
+    few = items.filter("id = '7'")
+    near = streams.read_touched(few, f"{ledger}-heads", ["id"], ["revision_no"], schema)
+    assert 1 <= near.count() < 20 and near.filter("id = '7'").count() == 1
+    old = f"{tmp_path}/old"
+    spark.read.parquet(ledger).write.parquet(old)
+    streams.import_snapshot(few.withColumn("v", F.lit(99).cast("long")).unionByName(items.filter("id = '8'")), old, "id", ["v"])
+    assert sorted((r.id, r.revision_no) for r in spark.read.parquet(old).filter("id IN ('7', '8')").collect()) == [("7", 1), ("7", 2), ("8", 1)]
