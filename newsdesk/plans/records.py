@@ -478,13 +478,13 @@ def _discussion(members: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT DISTINCT l_orderkey, l_partkey AS x FROM lineitem WHERE l_orderkey % 4 <> 0), b AS (SELECT l_orderkey, p_partkey AS entity FROM i JOIN part ON x = p_partkey AND p_partkey % 3 <> 0)
+    """WITH i AS (SELECT DISTINCT l_orderkey, CASE WHEN l_orderkey % 4 <> 0 THEN l_partkey END AS x FROM lineitem), b AS (SELECT l_orderkey, p_partkey AS entity FROM i JOIN part ON x = p_partkey AND p_partkey % 3 <> 0)
 SELECT l_orderkey, entity, 'id' AS how FROM b
-UNION ALL SELECT o_orderkey, p_partkey, 'title' FROM orders JOIN part ON contains('news of part ' || o_custkey || ' today', 'part ' || p_partkey)
+UNION ALL SELECT o_orderkey, p_partkey, 'title' FROM orders JOIN part ON contains('news of part ' || o_custkey || ' today', 'part ' || CASE WHEN p_partkey < 30 THEN p_partkey % 10 ELSE p_partkey END)
   WHERE p_partkey NOT IN (SELECT entity FROM b) AND o_orderkey % 4 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)"""
 )
 def id_or_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as items, a quarter of them without ids; parts as entities, a third of them without."""
+    """Orders as items, a quarter of them without ids; parts as entities, a third of them without, whose titles may be any digit."""
     return _id_or_title(*(table(spark, sf_dir, t) for t in ("lineitem", "orders", "part")))
 
 
@@ -494,5 +494,5 @@ def _id_or_title(lines: DataFrame, orders: DataFrame, parts: DataFrame) -> DataF
     title = F.concat(F.lit("news of part "), F.col("o_custkey").cast("string"), F.lit(" today"))
     items = li.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), title.alias("title")), "l_orderkey")
     none = F.array().cast("array<string>")
-    e = parts.select(F.col("p_partkey").alias("entity"), F.when(F.col("p_partkey") % 3 != 0, F.array(named("p_partkey"))).otherwise(none).alias("ids"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("title"))
+    e = parts.select(F.col("p_partkey").alias("entity"), F.when(F.col("p_partkey") % 3 != 0, F.array(named("p_partkey"))).otherwise(none).alias("ids"), F.concat(F.lit("part "), F.when(F.col("p_partkey") < 30, F.col("p_partkey") % 10).otherwise(F.col("p_partkey")).cast("string")).alias("title"))
     return K.id_or_title(items, e, "l_orderkey", "ids", "title", "entity")
