@@ -30,5 +30,5 @@ def test_each_stage_takes_effect_on_its_input(spark):
     assert sentencepiece_codec.MODEL
 
 
-def test_queries_cover_the_ten_operators():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+def test_queries_cover_the_thirteen_operators():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(ORACLES) <= set(QUERIES)
