@@ -337,14 +337,6 @@ def _regional_affinity(events: DataFrame, users: DataFrame) -> DataFrame:
     return K.affinity_totals(K.audience_affinity(rows, c))
 
 
-@query(None)
-def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that documents hold in their first line and in the rest."""
-    title = F.substring_index("text", "\n", 1)
-    d = table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), F.substring("text", F.char_length(title) + 2, F.char_length("text")).alias("summary"))
-    return K.title_candidates(d, "doc_id", "title", "summary")
-
-
 @query(r"SELECT page_id, CASE WHEN regexp_matches(t, '(?i)\bdemo\b') THEN 'demo' WHEN regexp_matches(t, '(?i)\b(soundtrack|ost)\b') THEN 'soundtrack' END AS excluded, CASE WHEN regexp_matches(t, '(?i)\b(dlc|expansion|season pass|story pack|add[- ]?on)\b') THEN CASE WHEN regexp_matches(t, '(?i)expansion') THEN 'expansion' ELSE 'dlc' END WHEN regexp_matches(t, '(?i)\b(remake|reimagined)\b') THEN 'remake' WHEN regexp_matches(t, '(?i)\b(remaster(?:ed)?|definitive edition|hd collection|anniversary edition)\b') THEN 'remaster' WHEN regexp_matches(t, '(?i)\b(deluxe|ultimate|gold|complete|collector''?s)\b') THEN 'edition' ELSE 'game' END AS kind FROM (SELECT page_id, 'Title ' || (CASE page_id % 6 WHEN 0 THEN 'demo' WHEN 1 THEN 'OST' WHEN 2 THEN 'Expansion pass' WHEN 3 THEN 'Remake' WHEN 4 THEN 'Gold' ELSE url END) AS t FROM pages)")
 def title_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 6
