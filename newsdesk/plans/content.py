@@ -100,7 +100,41 @@ def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(F.array_join(F.array_sort(T.title_tokens(T.norm_text(F.col("text")))), " ")).alias("tokens_md5"))
 
 
-@query(None)
+def _summaries_sql(most: int = 520) -> str:
+    """The rules of summaries on rows of sentences; the two sentences behind the lead are the first that fit, one after the other."""
+    lit = lambda pattern: "'" + pattern.replace("(?iu)", "(?i)").replace("(?isu)", "(?is)").replace("'", "''") + "'"
+    has = lambda text, pattern: f"regexp_matches({text}, {lit(pattern)})"
+    clean = r"regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g')"
+    for entity, char in (("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&quot;", '"'), ("(?i)&#39;|&apos;", "'"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">")):
+        clean = f"regexp_replace({clean}, {lit(entity)}, {lit(char)}, 'g')"
+    clean = rf"trim(regexp_replace(regexp_replace({clean}, '\[\s*(?:…|\.\.\.)\s*\]', ' ', 'g'), '\s+', ' ', 'g'))"
+    for pattern in T.BOILERPLATE:
+        clean = f"trim(regexp_replace({clean}, {lit(pattern)}, '', 'g'))"
+    words = lambda c: rf"list_distinct(list_filter(string_split(trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda w: length(w) >= 4))"
+    plain = "s"
+    for pattern in T.OPENINGS:
+        plain = f"regexp_replace({plain}, {lit(pattern)}, '', 'g')"
+    signals = " + ".join(f"CASE WHEN {has('s', pattern)} THEN {n} ELSE 0 END" for pattern, n in ((T.KEY_ACTION, 5.0), (T.TIME_SIGNAL, 2.2), (T.PLATFORM_SIGNAL, 1.4), (r"\d", 1.1), (T.PROMOTIONAL_LEAD, -5.0), (T.CALL_TO_ACTION, -6.0), (T.WEAK_LEAD, -1.5)))
+    return rf"""WITH d AS (SELECT doc_id, {clean} AS t, {words("coalesce(split_part(text, '.', 1), '')")} AS named FROM documents),
+c AS (SELECT doc_id, named, list_filter(list_transform(regexp_extract_all(t, '([^.!?…]+(?:[.!?…]+|$))', 1), lambda s: trim(s)), lambda s: length(s) >= 24) AS cut FROM d),
+x AS (SELECT doc_id, named, generate_subscripts(cut, 1) - 1 AS i, unnest(cut) AS s FROM c),
+p AS (SELECT doc_id, i, {plain} AS o, greatest(0, 4 - i * CAST(0.45 AS DOUBLE)) + {signals} + CASE WHEN length(s) BETWEEN 70 AND 260 THEN 1.4 ELSE 0 END
+  + least(3, coalesce(5 * CAST(len(list_intersect(named, {words("s")})) AS DOUBLE) / nullif(len(named), 0), 0)) AS points FROM x),
+g AS (SELECT doc_id, i, round(points, 6) AS points, trim(upper(o[1]) || o[2:]) AS s FROM p),
+good AS (SELECT * FROM g WHERE length(s) >= 24 AND NOT {has("s", T.CALL_TO_ACTION)}),
+lead AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, i) = 1),
+rest AS (SELECT g.*, l.s AS head FROM good g JOIN lead l USING (doc_id) WHERE g.i <> l.i AND g.points > -1),
+one AS (SELECT *, head || ' ' || s AS so FROM rest WHERE length(head) + 1 + length(s) <= {most} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1),
+two AS (SELECT r.*, so || ' ' || r.s AS all_of FROM rest r JOIN one o ON o.doc_id = r.doc_id AND r.i > o.i WHERE length(so) + 1 + length(r.s) <= {most} QUALIFY row_number() OVER (PARTITION BY r.doc_id ORDER BY r.i) = 1),
+got AS (SELECT l.doc_id, coalesce(two.all_of, one.so, l.s) AS s, [l.i, one.i, two.i] AS took FROM lead l LEFT JOIN one USING (doc_id) LEFT JOIN two USING (doc_id)),
+spare AS (SELECT g.doc_id, g.s FROM good g JOIN got USING (doc_id) WHERE NOT coalesce(list_contains(took, g.i), false) QUALIFY row_number() OVER (PARTITION BY g.doc_id ORDER BY g.i) = 1),
+f AS (SELECT d.doc_id, CASE WHEN t = '' THEN '' WHEN got.s IS NULL THEN t WHEN length(got.s) < 80 AND spare.s IS NOT NULL AND length(got.s) + 1 + length(spare.s) <= {most} THEN got.s || ' ' || spare.s ELSE got.s END AS s FROM d LEFT JOIN got USING (doc_id) LEFT JOIN spare USING (doc_id)),
+h AS (SELECT *, left(s, {most - 1}) AS part FROM f),
+k AS (SELECT *, regexp_extract(part, '(?s)^(.*[.!?]) ', 1) AS whole, regexp_extract(part, '(?s)^(.*) ', 1) AS word FROM h)
+SELECT doc_id, CASE WHEN length(s) <= {most} THEN s WHEN length(whole) - 1 >= {min(120, most * 0.45)} THEN trim(whole) ELSE trim(CASE WHEN length(word) > 80 THEN word ELSE part END) || '…' END AS summary FROM k"""
+
+
+@query(_summaries_sql())
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractive summaries of all documents, their first words as titles."""
     d = table(spark, sf_dir, "documents")
