@@ -209,9 +209,12 @@ BOILERPLATE = (
 )
 #: What adds to a sentence's weight or takes from it.
 PROMOTIONAL_LEAD = r"(?iu)^(?:hi|hello|привет|hey\b|we(?:'re| are) (?:excited|thrilled|happy|pleased|delighted)|мы (?:очень )?(?:рады|счастливы)|today we(?:'re| are) (?:excited|thrilled|happy|pleased)|сегодня мы (?:рады|счастливы))"
-CALL_TO_ACTION = r"(?iu)(?:\b(?:stay tuned|wishlist|pre-order|preorder|subscribe|visit our|check out|don'?t miss)\b|следите за|добавляйте? в желаемое|предзаказ|подписывайтесь|заходите)"
-KEY_ACTION = r"(?iu)(?:\b(?:release|launch|arriv|announce|reveal|confirm|add|remove|delay|cancel|update|patch|expansion|dlc|beta|demo|sales?|sold|acquir|close|layoff|ship|available)\b|выход|выйдет|вышел|вышла|релиз|анонс|представ|показа|подтверд|добав|убер|удал|перенес|отмен|обнов|патч|дополнен|бета|демо|продаж|тираж|закры|увольнен|доступ)"
-TIME_SIGNAL = r"(?iu)(?:\b(?:today|tomorrow|week|month|year|january|february|march|april|may|june|july|august|september|october|november|december|\d{1,2}[./-]\d{1,2}|20\d{2})\b|сегодня|завтра|недел|месяц|год|январ|феврал|март|апрел|ма[йя]|июн|июл|август|сентябр|октябр|ноябр|декабр|\d{1,2}[./-]\d{1,2}|20\d{2})"
+CALL_TO_ACTION_LATIN = r"\b(?:stay tuned|wishlist|pre-order|preorder|subscribe|visit our|check out|don'?t miss)\b"
+CALL_TO_ACTION = rf"(?iu)(?:{CALL_TO_ACTION_LATIN}|следите за|добавляйте? в желаемое|предзаказ|подписывайтесь|заходите)"
+KEY_ACTION_LATIN = r"\b(?:release|launch|arriv|announce|reveal|confirm|add|remove|delay|cancel|update|patch|expansion|dlc|beta|demo|sales?|sold|acquir|close|layoff|ship|available)\b"
+KEY_ACTION = rf"(?iu)(?:{KEY_ACTION_LATIN}|выход|выйдет|вышел|вышла|релиз|анонс|представ|показа|подтверд|добав|убер|удал|перенес|отмен|обнов|патч|дополнен|бета|демо|продаж|тираж|закры|увольнен|доступ)"
+TIME_SIGNAL_LATIN = r"\b(?:today|tomorrow|week|month|year|january|february|march|april|may|june|july|august|september|october|november|december|\d{1,2}[./-]\d{1,2}|20\d{2})\b"
+TIME_SIGNAL = rf"(?iu)(?:{TIME_SIGNAL_LATIN}|сегодня|завтра|недел|месяц|год|январ|феврал|март|апрел|ма[йя]|июн|июл|август|сентябр|октябр|ноябр|декабр|\d{{1,2}}[./-]\d{{1,2}}|20\d{{2}})"
 PLATFORM_SIGNAL = r"(?i)\b(?:pc|steam|playstation|ps5|xbox|switch|nintendo|game pass|epic games|gog)\b"
 WEAK_LEAD = r"(?iu)^(?:\b(?:it|this|that|these|those|he|she|they)\b|это|эта|этот|эти|он|она|они)"
 #: Openings that are taken off a sentence.
@@ -255,21 +258,25 @@ def editorial_summary(text: Column, title: Column, most: int = 520, sentences: i
         t = F.trim(F.regexp_replace(t, pattern, ""))
     words = lambda c: F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: F.char_length(w) >= 4))
     has = lambda s, pattern, points: F.when(s.rlike(pattern), points).otherwise(0.0)
+    # Texts without a Cyrillic letter need no pattern's Cyrillic half.
+    holds = lambda s, cyrillic, pattern, latin: F.when(cyrillic, s.rlike(pattern)).otherwise(s.rlike(f"(?iu)(?:{latin})"))
 
-    def points(s: Column, i: Column, named: Column) -> Column:
-        base = F.greatest(F.lit(0.0), 4 - i * 0.45) + has(s, KEY_ACTION, 5.0) + has(s, TIME_SIGNAL, 2.2) + has(s, PLATFORM_SIGNAL, 1.4) + has(s, r"\d", 1.1)
+    def points(s: Column, i: Column, named: Column, cyrillic: Column) -> Column:
+        action = holds(s, cyrillic, KEY_ACTION, KEY_ACTION_LATIN)
+        time = holds(s, cyrillic, TIME_SIGNAL, rf"{TIME_SIGNAL_LATIN}|\d{{1,2}}[./-]\d{{1,2}}|20\d{{2}}")
+        base = F.greatest(F.lit(0.0), 4 - i * 0.45) + F.when(action, 5.0).otherwise(0.0) + F.when(time, 2.2).otherwise(0.0) + has(s, PLATFORM_SIGNAL, 1.4) + has(s, r"\d", 1.1)
         base = base + F.least(F.lit(3.0), 5 * coverage(named, words(s))) + F.when(F.char_length(s).between(70, 260), 1.4).otherwise(0.0)
-        return base + has(s, PROMOTIONAL_LEAD, -5.0) + has(s, CALL_TO_ACTION, -6.0) + has(s, WEAK_LEAD, -1.5)
+        return base + has(s, PROMOTIONAL_LEAD, -5.0) - F.when(holds(s, cyrillic, CALL_TO_ACTION, CALL_TO_ACTION_LATIN), 6.0).otherwise(0.0) + has(s, WEAK_LEAD, -1.5)
 
     def plain(s: Column) -> Column:
         for pattern in OPENINGS:
             s = F.regexp_replace(s, pattern, "")
         return F.trim(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 20)))
 
-    def scored(t: Column, named: Column) -> Column:
+    def scored(t: Column, named: Column, cyrillic: Column) -> Column:
         cut = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"([^.!?…]+(?:[.!?…]+|$))"), F.lit(1)), lambda s: F.trim(s)), lambda s: F.char_length(s) >= 24)
-        rows = F.transform(cut, lambda s, i: F.struct((F.lit(0.0) - F.round(points(s, i, named), 6)).alias("p"), i.alias("i"), plain(s).alias("s")))
-        return F.filter(rows, lambda x: (F.char_length(x["s"]) >= 24) & ~x["s"].rlike(CALL_TO_ACTION))
+        rows = F.transform(cut, lambda s, i: F.struct((F.lit(0.0) - F.round(points(s, i, named, cyrillic), 6)).alias("p"), i.alias("i"), plain(s).alias("s")))
+        return F.filter(rows, lambda x: (F.char_length(x["s"]) >= 24) & ~holds(x["s"], cyrillic, CALL_TO_ACTION, CALL_TO_ACTION_LATIN))
 
     def more(acc: Column, x: Column) -> Column:
         fits = (acc["n"] < sentences) & (F.char_length(acc["s"]) + 1 + F.char_length(x["s"]) <= most)
@@ -289,7 +296,7 @@ def editorial_summary(text: Column, title: Column, most: int = 520, sentences: i
         # The best score comes first, then the first place.
         return _let(_let(F.array_min(good), led), finished)
 
-    whole = lambda t: _let(_let(words(F.coalesce(title, F.lit(""))), lambda named: scored(t, named)), lambda good: F.when(F.size(good) > 0, chosen(good)).otherwise(t))
+    whole = lambda t: _let(_let(F.struct(words(F.coalesce(title, F.lit(""))).alias("w"), t.rlike("[\u0400-\u04FF]").alias("c")), lambda x: scored(t, x["w"], x["c"])), lambda good: F.when(F.size(good) > 0, chosen(good)).otherwise(t))
     return _let(t, lambda x: F.when(x == "", "").otherwise(_let(whole(x), lambda out: _shortened(out, most))))
 
 

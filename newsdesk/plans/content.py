@@ -19,7 +19,7 @@ from ..operators import similarity as S
 from ..operators import topk as K
 from ..operators.dedup import keep_first
 from ..sources.io import page_meta
-from .registry import query, table
+from .registry import query, spread, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 #: Decomposed letters: a mark behind its letter becomes a space, as it is neither letter nor digit.
@@ -137,7 +137,7 @@ SELECT doc_id, CASE WHEN length(s) <= {most} THEN s WHEN length(whole) - 1 >= {m
 @query(_summaries_sql())
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractive summaries of all documents, their first words as titles."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", T.editorial_summary(F.col("text"), F.substring_index("text", ".", 1)).alias("summary"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import names as N
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _lit(text: str) -> str:
@@ -101,17 +101,17 @@ def _news(pages: DataFrame) -> DataFrame:
 def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that documents hold in their first line and in the rest, by the rules of context."""
     title = F.substring_index("text", "\n", 1)
-    d = table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), F.substring("text", F.char_length(title) + 2, F.char_length("text")).alias("summary"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", title.alias("title"), F.substring("text", F.char_length(title) + 2, F.char_length("text")).alias("summary"))
     return N.title_candidates(d, "doc_id", "title", "summary")
 
 
 @query(f"SELECT k AS page_id, * EXCLUDE (k) FROM ({_context_sql(_NEWS)})")
 def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as news with an address, by the rules of context."""
-    return N.title_candidates(_news(table(spark, sf_dir, "pages")), "k", "title", "summary", "url").withColumnRenamed("k", "page_id")
+    return N.title_candidates(_news(spread(table(spark, sf_dir, "pages"))), "k", "title", "summary", "url").withColumnRenamed("k", "page_id")
 
 
 @query(f"SELECT k AS page_id, * EXCLUDE (k) FROM ({_primary_sql(_NEWS)})")
 def primary_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as news with an address, by the rules of the one title that an item is about."""
-    return N.primary_titles(_news(table(spark, sf_dir, "pages")), "k", "title", "summary", "url").withColumnRenamed("k", "page_id")
+    return N.primary_titles(_news(spread(table(spark, sf_dir, "pages"))), "k", "title", "summary", "url").withColumnRenamed("k", "page_id")
