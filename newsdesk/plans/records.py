@@ -12,6 +12,7 @@ from ..operators import linking as K
 from ..operators import quality as Q
 from ..operators import registry as G
 from ..operators import releases as Z
+from ..sources.scratch import scratch_dir
 from .registry import query, table
 
 
@@ -36,12 +37,24 @@ _NEW = """n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_
 _HASH = ["o_orderstatus", "day", "price"]
 
 
-@query(f"WITH {_OLD}, {_NEW} SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN 'missing' WHEN o.o_orderkey IS NULL THEN 'extra' ELSE 'mismatched' END AS status FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR (o.o_orderstatus, o.day, o.price) <> (n.o_orderstatus, n.day, n.price)")
+_DRIFT = f"WITH {_OLD}, {_NEW} SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN 'missing' WHEN o.o_orderkey IS NULL THEN 'extra' ELSE 'mismatched' END AS status FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR (o.o_orderstatus, o.day, o.price) <> (n.o_orderstatus, n.day, n.price)"
+
+
+@query(_DRIFT)
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = [f(spark, sf_dir).withColumn("digest", L.content_hash(_HASH)) for f in (_old, _new)]
     return L.drift(*marked, "o_orderkey", "digest")
 
 
+@query(_DRIFT)
+def drift_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two snapshots written as digest trees."""
+    paths = [scratch_dir(spark) for _ in range(2)]
+    for f, path in zip((_old, _new), paths, strict=True):
+        L.write_digest_tree(f(spark, sf_dir).withColumn("digest", L.content_hash(_HASH)), "o_orderkey", "digest", path, 1)
+    return L.drift_by_tree(spark, *paths, "o_orderkey")
+
+
 @query(
     f"""WITH {_OLD}, {_NEW}, j AS (SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, 'exact:' || o.day AS old_value, 'exact:' || n.day AS new_value, o.day AS od, n.day AS nd FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey)
 SELECT o_orderkey, CASE WHEN old_value IS NULL THEN 'new_release' WHEN new_value IS NULL THEN 'missing_from_source' WHEN nd > od THEN 'delayed' ELSE 'date_changed' END AS type, old_value, new_value FROM j WHERE old_value IS NULL OR new_value IS NULL OR od <> nd"""
