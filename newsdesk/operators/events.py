@@ -13,24 +13,25 @@ from .similarity import overlap_candidates
 def discussion(members: DataFrame, signals: DataFrame, cluster: str, tokens: str, threshold: float = 0.55) -> DataFrame:
     """Per cluster: mentions and momentum of signals(signal, tokens, score, comments) similar to one of its members.
 
-    Members with one token set are compared once; sets meet under the rarest tokens of
+    Members with one token set are compared once, and so are signals, whose scores and
+    comments are counted a set; sets meet under the rarest tokens of
     the smaller one (overlap_candidates), so that common tokens join nothing.
     """
     hashed = lambda c: F.array_distinct(F.transform(c, lambda t: F.xxhash64(t)))
-    own = members.select(cluster, F.xxhash64(tokens).cast("string").alias("_m"), hashed(tokens).alias("t"))
-    kind = dict(signals.dtypes)["signal"]
+    own = members.select(cluster, F.xxhash64(F.array_sort(hashed(tokens))).cast("string").alias("_m"), hashed(tokens).alias("t"))
+    said = signals.select(F.xxhash64(F.array_sort(hashed("tokens"))).cast("string").alias("_b"), hashed("tokens").alias("t"), "score", "comments")
     a = own.groupBy(F.col("_m").alias("k")).agg(F.first("t").alias("t")).withColumn("side", F.lit("a"))
-    b = signals.select(F.col("signal").cast("string").alias("k"), hashed("tokens").alias("t"), F.lit("b").alias("side"))
+    b = said.groupBy(F.col("_b").alias("k")).agg(F.first("t").alias("t")).withColumn("side", F.lit("b"))
     sets = stored(a.unionByName(b).filter(F.size("t") > 0).withColumn("n", F.size("t")))
     met = overlap_candidates(sets, threshold, apart="side")
     of = lambda wanted: F.when(F.col("side_x") == wanted, F.col("x")).otherwise(F.col("y"))
     side = lambda s: sets.filter(F.col("side") == s).select(F.col("k").alias(f"_{s}"), F.col("t").alias(f"t_{s}"))
     full = met.select(of("a").alias("_a"), of("b").alias("_b")).join(side("a"), "_a").join(side("b"), "_b")
     similar = full.withColumn("s", F.size(F.array_intersect("t_a", "t_b")) / F.least(F.size("t_a"), F.size("t_b"))).filter(F.col("s") >= threshold)
-    near = similar.join(own.select(cluster, F.col("_m").alias("_a")).distinct(), "_a").select(cluster, F.col("_b").cast(kind).alias("signal")).distinct()
-    full = near.join(signals.select("signal", "score", "comments"), "signal")
-    value = F.floor(F.sum(8 * F.log10(F.col("score") + 1)) + F.sum(10 * F.log10(F.col("comments") + 1)) + 0.5)
-    return full.groupBy(cluster).agg(F.count(F.lit(1)).alias("mentions"), value.alias("momentum"))
+    near = similar.join(own.select(cluster, F.col("_m").alias("_a")).distinct(), "_a").select(cluster, "_b").distinct()
+    full = near.join(said.groupBy("_b", "score", "comments").agg(F.count(F.lit(1)).alias("_n")), "_b")
+    value = F.floor(F.sum(8 * F.log10(F.col("score") + 1) * F.col("_n")) + F.sum(10 * F.log10(F.col("comments") + 1) * F.col("_n")) + 0.5)
+    return full.groupBy(cluster).agg(F.sum("_n").alias("mentions"), value.alias("momentum"))
 
 
 def cluster_scores(members: DataFrame, cluster: str, source: str, weight: str, ts: str, as_of: Column, momentum: DataFrame | None = None) -> DataFrame:
