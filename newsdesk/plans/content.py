@@ -506,7 +506,11 @@ def preference_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = c.select(F.col("c_custkey").alias("profile"), F.concat("c_mktsegment", F.lit(" wants "), words).alias("text"))
     needles = spark.createDataFrame([("size", 1, "large", "LARGE"), ("size", 2, "small", "SMALL"), ("size", 3, "economy", "ECONOMY"), ("size", 4, "promo", "PROMO"), ("brand", 1, "brand#7", "Brand#7"), ("avoid", 1, "no hot", "hot"), ("avoid", 2, "nothing", "bolt")], "field string, place int, needle string, value string")
     field = F.col("field")
-    profiles = C.infer_profiles(texts, needles).select("profile", F.col("value").alias("attribute"), F.when(field == "size", 24.0).when(field == "brand", 22.0).otherwise(-34.0).alias("points"), F.when(field == "brand", -100.0).otherwise(0.0).alias("otherwise"))
     name = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
     catalog = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.array("p_brand", "p_type", name(1), name(2)).alias("attributes"), F.array(name(1), name(2), F.col("p_type")).alias("tokens"))
-    return C.recommend(catalog, profiles, "p_partkey", F.col("p_retailprice") / 1000, 6, C.token_bonus(catalog, texts, "p_partkey", "tokens"))
+
+    def best(texts: DataFrame) -> DataFrame:
+        profiles = C.infer_profiles(texts, needles).select("profile", F.col("value").alias("attribute"), F.when(field == "size", 24.0).when(field == "brand", 22.0).otherwise(-34.0).alias("points"), F.when(field == "brand", -100.0).otherwise(0.0).alias("otherwise"))
+        return C.recommend(catalog, profiles, "p_partkey", F.col("p_retailprice") / 1000, 6, C.token_bonus(catalog, texts, "p_partkey", "tokens"))
+
+    return C.each_text(texts, best)
