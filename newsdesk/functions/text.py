@@ -271,7 +271,10 @@ def editorial_summary(text: Column, title: Column, most: int = 520, sentences: i
     def plain(s: Column) -> Column:
         for pattern in OPENINGS:
             s = F.regexp_replace(s, pattern, "")
-        return F.trim(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 20)))
+        # One letter becomes one letter: where its capital is several, it stays, but ß has one.
+        first = F.substring(s, 1, 1)
+        capital = F.when(first == "ß", "ẞ").when(F.char_length(F.upper(first)) == 1, F.upper(first)).otherwise(first)
+        return F.trim(F.concat(capital, F.substring(s, 2, 1 << 20)))
 
     def scored(t: Column, named: Column, cyrillic: Column) -> Column:
         cut = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"([^.!?…]+(?:[.!?…]+|$))"), F.lit(1)), lambda s: F.trim(s)), lambda s: F.char_length(s) >= 24)
