@@ -1,6 +1,6 @@
 """Text columns: keys, tokens, set similarity, markup, classification, summaries.
 
-All but ``nfkd`` are native expressions.  Null text gives null keys and empty arrays.
+All are native expressions.  Null text gives null keys and empty arrays.
 """
 
 from __future__ import annotations
@@ -8,10 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Stop words of titles, English and Russian.
 STOP_WORDS = (
@@ -44,23 +42,19 @@ def any_of(patterns: Iterable[str]) -> str:
     return "(?iu)(?:" + ")|(?:".join(patterns) + ")"
 
 
-@F.pandas_udf(StringType())
-def _nfkd(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFKD")
-
-
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFKC")
+def _normalised(text: Column, how: str) -> Column:
+    """What a function of ICU's Normalizer (a library that Spark ships) makes of a text, by compatibility; ASCII rows keep their text."""
+    made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(how), text, F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), made).otherwise(text)
 
 
 def nfkd(text: Column) -> Column:
-    """Unicode decomposition in Arrow batches; ASCII rows keep their text."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkd(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
+    """Unicode decomposition, a text at a time where it stands: no worker of Python holds batches of them."""
+    return _normalised(text, "decompose")
 
 
 def nfkc(text: Column) -> Column:
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
+    return _normalised(text, "compose")
 
 
 def norm_text(text: Column, variant: str = "news", marks: str = "space", normalise: bool = True) -> Column:
