@@ -101,11 +101,12 @@ def archive_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_archive(spark, f"{legacy}-none", "ts", "event_id", "2024-01", "2024-01", legacy=legacy).select("event_id", "month")
 
 
-def _landed(df: DataFrame, files: int) -> DataFrame:
-    """df as a stream: written in some files, of which each micro-batch takes one."""
+def _landed(df: DataFrame, batches: int) -> DataFrame:
+    """df as a stream of so many micro-batches; each takes a file for each core, or more if the scan of df has more parts."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = max(spark.sparkContext.defaultParallelism, -(-df.rdd.getNumPartitions() // batches))
+    df.repartition(batches * each).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def _drained(stream: DataFrame, mode: str) -> tuple[str, int]:

@@ -21,6 +21,11 @@ BUCKETS = 64
 RUNS_A_LEVEL = 8
 
 
+def _parts(spark: SparkSession) -> int:
+    """Tasks that rows are dealt over before they are sorted."""
+    return max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
@@ -75,7 +80,8 @@ def upsert_latest(rows: DataFrame, table: str, keys: list[str], order: list[str]
         taken += [(b, v) for v in merged]
     for old in _stored(spark, table, taken, rows.schema):
         new = new.unionByName(old)
-    latest(new, ["bucket", *keys], order).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v{version}")
+    # Dealt by bucket first: rows are sorted once, in the task that writes them, and not where they are read as well.
+    latest(new.repartition(BUCKETS, "bucket"), ["bucket", *keys], order).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v{version}")
     spark.createDataFrame(noted, _RUN).coalesce(1).write.mode("append").parquet(f"{table}/_runs")
 
 
@@ -84,7 +90,7 @@ def _latest_of(spark: SparkSession, table: str, schema, keys: list[str], order:
     runs = [(b, v) for b, own in _live(spark, table).items() if buckets is None or b in buckets for v in own]
     for part in _stored(spark, table, runs, out.schema):
         out = out.unionByName(part.drop("bucket"))
-    return latest(out, keys, order)
+    return latest(out.repartition(_parts(spark), *keys), keys, order)
 
 
 def read_touched(rows: DataFrame, table: str, keys: list[str], order: list[str], schema) -> DataFrame:
@@ -182,7 +188,8 @@ def import_snapshot(items: DataFrame, ledger: str, key: str, columns: list[str],
     note("running")
     try:
         digest = content_hash(columns)
-        chosen = items.groupBy(key).agg(F.max(F.struct(digest.alias("digest"), *(F.col(c) for c in columns))).alias("_i")).select(key, "_i.*")
+        rows = items.select(key, F.struct(digest.alias("digest"), *(F.col(c) for c in columns)).alias("_i")).repartition(_parts(spark), key)
+        chosen = stored(rows.groupBy(key).agg(F.max("_i").alias("_i")).select(key, "_i.*"))
         schema, heads = f"{key} {dict(items.dtypes)[key]}, revision_no int, digest string", f"{ledger}-heads"
         if _exists(spark, ledger) and not _exists(spark, heads):  # a ledger from before there were heads
             upsert_latest(spark.read.schema(schema).parquet(ledger), heads, [key], ["revision_no"])
@@ -197,6 +204,7 @@ def import_snapshot(items: DataFrame, ledger: str, key: str, columns: list[str],
         note("failed", message=str(e)[:500])
         raise
     note("success", chosen.count())
+    release(chosen)
 
 
 def current_items(spark: SparkSession, current: str, items: DataFrame, key: str, columns: list[str]) -> DataFrame:
