@@ -82,6 +82,18 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; when the task ends, Arrow gives back what it holds unused, as a Python worker outlives its tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list | pa.RecordBatch | None]], schema: str) -> DataFrame:
     """df through a function of Arrow batches.
 
@@ -99,7 +111,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
             if batch.num_rows and (columns := each(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -122,7 +134,7 @@ class KnownTable:
 
     Two generations bound it: when ``limit`` keys are young, they become old and
     the old ones go; an old key that is met again is young again.  It only saves
-    time, and lives as long as its Python worker.
+    time, and lives as long as its owner.
     """
 
     def __init__(self, compute: Callable[[list[bytes]], Iterator], limit: int):

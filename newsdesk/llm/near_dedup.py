@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, free_name, map_batches, release, staged, table, utf8, window_hashes
+from .common import ASCII_LOWER, free_name, map_batches, release, staged, table, tidy, utf8, window_hashes
 from .substring_dedup import _Words
 
 #: Words in a shingle, and the similarity in hundredths from which documents are linked.
@@ -184,7 +184,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "linked"])
 
-    return ordered.mapInArrow(run, "a long, b long, linked boolean")
+    return ordered.mapInArrow(tidy(run), "a long, b long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def _asks(members: DataFrame, classes: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["node", "component"])
 
-    return ordered.mapInArrow(run, "node long, component long")
+    return ordered.mapInArrow(tidy(run), "node long, component long")
 
 
 def _shingles(rows: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def _shingles(rows: DataFrame) -> DataFrame:
                 own = shingle_set(text, words)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *(pa.array(np.full(len(own), x)) for x in (node, component, len(own)))], ["shingle", "node", "component", "n"])
 
-    return rows.mapInArrow(run, "shingle long, node long, component long, n long")
+    return rows.mapInArrow(tidy(run), "shingle long, node long, component long, n long")
 
 
 def _prefixes_sent(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
@@ -304,7 +304,7 @@ def _prefixes_sent(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFr
                 own = own[:probe]
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.arange(len(own)) < index), *(pa.array(np.full(len(own), x)) for x in (node, component, n))], ["shingle", "indexed", "node", "component", "n"])
 
-    return rows.mapInArrow(run, "shingle long, indexed boolean, node long, component long, n long")
+    return rows.mapInArrow(tidy(run), "shingle long, indexed boolean, node long, component long, n long")
 
 
 def _prefixes_joined(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
@@ -383,7 +383,7 @@ def _cross(asks: DataFrame, labels: DataFrame, texts: DataFrame, percent: int =
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(tidy(run), "a long, b long")
 
 
 def _texts(docs: DataFrame, involved: DataFrame) -> DataFrame:

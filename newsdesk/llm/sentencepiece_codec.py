@@ -3,12 +3,13 @@
 Where no piece of the model holds a white-space marker after another character,
 no merge can cross the start of a marked word.  A text then falls into chunks
 (a run of markers and the word behind it) that are segmented on their own: each
-Python worker keeps a table of distinct chunks, segments a chunk once, and joins
-ids back by position.  Nothing is shuffled, and the table is bounded.
+task keeps a table of distinct chunks, segments a chunk once, and joins ids back
+by position.  Nothing is shuffled, the table is bounded and goes with its task.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 
@@ -16,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import KnownTable, map_batches, slices, table, utf8
+from .common import KnownTable, map_batches, slices, table, tidy, utf8
 
 MODEL = "piece_bpe_32k.model"
-#: Chunks of each of the two generations of a worker's table.
+#: Chunks of each of the two generations of a task's table.
 TABLE_SIZE = 300_000
 _MARK = "▁".encode()
 _CHUNK = re.compile(rb" +[^ ]*")
@@ -45,6 +46,12 @@ class ChunkCodec:
         self.marker = self.processor.piece_to_id("▁")
         self.table = KnownTable(self._segment, table_size)
 
+    def emptied(self) -> ChunkCodec:
+        """This codec with a table of its own."""
+        own = copy.copy(self)
+        own.table = KnownTable(own._segment, self.table.limit)
+        return own
+
     def _segment(self, chunks: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """Number of ids, ids in decimal, and decoded bytes of chunks, each of which begins with its first marker."""
         if not chunks:
@@ -81,10 +88,10 @@ _CODECS: dict[str, ChunkCodec] = {}
 
 
 def codec(model_file: str) -> ChunkCodec:
-    """The worker's codec of a model, with what it has segmented so far."""
+    """A codec with an empty table; the model, which does not grow, is read once a worker."""
     if model_file not in _CODECS:
         _CODECS[model_file] = ChunkCodec(model_file)
-    return _CODECS[model_file]
+    return _CODECS[model_file].emptied()
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -104,7 +111,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "tok
             out = [ids for texts in slices(utf8(batch.column(text))) for ids, _ in own.round_trips(texts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.list_(pa.int32()))], [*kept, ids])
 
-    return docs.mapInArrow(run, spark_schema)
+    return docs.mapInArrow(tidy(run), spark_schema)
 
 
 def decode(tokens: DataFrame, model_file: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -120,7 +127,7 @@ def decode(tokens: DataFrame, model_file: str, ids: str = "token_ids", text: str
             out = [own.decode(x) if x else "" for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], [*kept, text])
 
-    return tokens.mapInArrow(run, spark_schema)
+    return tokens.mapInArrow(tidy(run), spark_schema)
 
 
 def digests(docs: DataFrame, model_file: str) -> DataFrame:

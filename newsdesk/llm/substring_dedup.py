@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cover, free_name, map_batches, mix64, release, staged, table, text_bytes, utf8, window_hashes, words_of
+from .common import cover, free_name, map_batches, mix64, release, staged, table, text_bytes, tidy, utf8, window_hashes, words_of
 
 #: Words in a window.
 WINDOW = 13
@@ -44,6 +44,8 @@ WINDOW = 13
 BUFFER_WORDS = 1 << 20
 #: Bytes of text for each hash partition.
 PARTITION_BYTES = 24 << 20
+#: Entries of a hash partition that are held against each other at once (all of one hash, if they are more).
+SLICE_ENTRIES = 1 << 18
 #: Distinct words whose hashes a task keeps; emptied when full.
 WORD_TABLE = 1 << 18
 
@@ -88,13 +90,13 @@ class _Buffer:
         self.words += len(hashes)
 
     def arrays(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, lengths, all word hashes, starts of windows that lie in one document, their document, their place in it)."""
+        """(ids, lengths, all word hashes, starts of windows that lie in one document, their document, their place in it); places in 32 bits."""
         ids, lengths, run = np.array(self.ids, dtype=np.int64), np.array([len(h) for h in self.hashes], dtype=np.int64), np.concatenate(self.hashes)
         begins = np.cumsum(lengths) - lengths
-        doc = np.repeat(np.arange(len(ids)), lengths)
-        at = np.arange(len(run)) - begins[doc]
-        starts = np.flatnonzero(at + width <= lengths[doc])
-        return ids, lengths, run, starts, doc[starts], at[starts]
+        fits = np.maximum(lengths - width + 1, 0)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), fits)
+        at = np.arange(len(doc), dtype=np.int32) - np.repeat((np.cumsum(fits) - fits).astype(np.int32), fits)
+        return ids, lengths, run, at + np.repeat(begins.astype(np.int32), fits), doc, at
 
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
@@ -171,29 +173,35 @@ def anchor_entries(buffer: _Buffer, block: int, parts: int, turn: int) -> Iterat
     """
     ids, lengths, run, starts, doc, at = buffer.arrays(block)
     h = window_hashes(run, block)[starts]
-    rank = np.unique(ids, return_inverse=True)[1][doc]
+    del run
+    rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)[doc]
     loose = (at % block != 0).astype(np.int8)
     # One entry for each hash, document and text: lexsort puts blocks first.
-    order = np.lexsort((at, loose, doc, rank, h))
+    order = np.lexsort((at, loose, doc, rank, h)).astype(np.int32)
     hs, ds = h[order], doc[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
-    order = order[new]
-    hs, rs, tied = h[order], rank[order], loose[order] == 0
+    order, hs = order[new], hs[new]
+    rs, tied = rank[order], loose[order] == 0
+    del ds, rank, loose
     first = np.ones(len(order), dtype=bool)
     first[1:] = hs[1:] != hs[:-1]
-    group = np.cumsum(first) - 1
+    del hs
+    group = np.cumsum(first, dtype=np.int32) - 1
     heads = np.flatnonzero(first)
-    far = np.iinfo(np.int64).max
+    far = np.int32(np.iinfo(np.int32).max)
     least = np.minimum.reduceat(np.where(tied, rs, far), heads)[group] if len(heads) else rs
     most = np.maximum.reduceat(rs, heads)[group] if len(heads) else rs
+    del group
     direct = (rs > least) | (tied & (rs < most))
     # The smallest document with a block and the largest document of all speak for the others at hand.
     send = ~direct | (tied & (rs == least)) | (rs == most)
-    keep = np.sort(order[send])
+    keep, settled = np.sort(order[send]), starts[np.sort(order[direct])]
+    del order, rs, tied, least, most, direct, send
     part = (mix64(h[keep]) >> np.uint64(40)).astype(np.int64) % parts
-    yield from _blobs(ids[doc[keep]], starts[keep], at[keep] % block == 0, (h[keep] & np.uint64(0xFFFFFFFF)).astype("<u4"), part, parts)
-    yield _direct(buffer, lengths, starts[np.sort(order[direct])], turn % parts)
+    h = (h[keep] & np.uint64(0xFFFFFFFF)).astype("<u4")
+    yield from _blobs(ids[doc[keep]], starts[keep], at[keep] % block == 0, h, part, parts)
+    yield _direct(buffer, lengths, settled, turn % parts)
 
 
 def window_entries(buffer: _Buffer, width: int, parts: int, turn: int) -> Iterator[tuple]:
@@ -209,9 +217,10 @@ def window_entries(buffer: _Buffer, width: int, parts: int, turn: int) -> Iterat
     keep = wanted[starts]
     starts, doc, at = starts[keep], doc[keep], at[keep]
     h = window_hashes(run, width)[starts]
-    rank = np.unique(ids, return_inverse=True)[1][doc]
-    order = np.lexsort((at, doc, rank, h))
+    rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)[doc]
+    order = np.lexsort((at, doc, rank, h)).astype(np.int32)
     hs, rs, ds = h[order], rank[order], doc[order]
+    del rank
     first = np.ones(len(order), dtype=bool)
     first[1:] = hs[1:] != hs[:-1]
     heads = np.flatnonzero(first)
@@ -219,14 +228,15 @@ def window_entries(buffer: _Buffer, width: int, parts: int, turn: int) -> Iterat
     direct = rs > least
     again = np.zeros(len(order), dtype=bool)  # repeats inside one text share the fate of its first place
     again[1:] = (hs[1:] == hs[:-1]) & (ds[1:] == ds[:-1])
-    sent = np.sort(order[~direct & ~again])
+    sent, settled = np.sort(order[~direct & ~again]), starts[np.sort(order[direct & ~again])]
+    del order, hs, rs, ds, first, least, direct, again
     # A second hash of the words deals windows out and is compared as well.
     second = window_hashes(mix64(run ^ np.uint64(0xA5A5A5A5A5A5A5A5)), width)[starts[sent]]
     part = (second >> np.uint64(20)).astype(np.int64) % parts
     both = np.empty(len(sent), dtype=WIDE)
     both["first"], both["second"] = h[sent], second
     yield from _blobs(ids[doc[sent]], starts[sent], np.zeros(len(sent), dtype=bool), both, part, parts)
-    yield _direct(buffer, lengths, starts[np.sort(order[direct & ~again])], turn % parts)
+    yield _direct(buffer, lengths, settled, turn % parts)
 
 
 def _extremes(ids: np.ndarray, h: np.ndarray, tied: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,19 +252,34 @@ def _extremes(ids: np.ndarray, h: np.ndarray, tied: np.ndarray | None) -> tuple[
     return order, np.repeat(least, sizes), np.repeat(np.maximum.reduceat(i, heads), sizes)
 
 
+def _slices(h: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of entries in slices of some SLICE_ENTRIES; a hash is in one slice."""
+    parts = -(-len(h) // SLICE_ENTRIES)
+    if parts < 2:
+        yield np.arange(len(h), dtype=np.int32)
+        return
+    own = (mix64(h.astype(np.uint64) if h.dtype.names is None else h["first"]) % np.uint64(parts)).astype(np.int32)
+    for k in range(parts):
+        yield np.flatnonzero(own == k).astype(np.int32)
+
+
 def anchor_answers(ids: np.ndarray, tied: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Step 1, receiving side: mask of entries that meet a block of a smaller document, or are a block that a larger one meets."""
-    order, least, most = _extremes(ids, h, tied)
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = (ids[order] > least) | (tied[order] & (ids[order] < most))
+    out = np.zeros(len(h), dtype=bool)
+    for some in _slices(h):
+        order, least, most = _extremes(ids[some], h[some], tied[some])
+        order = some[order]
+        out[order] = (ids[order] > least) | (tied[order] & (ids[order] < most))
     return out
 
 
 def window_answers(ids: np.ndarray, tied: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Step 2, receiving side: mask of entries whose window also starts in a smaller document."""
-    order, least, _ = _extremes(ids, h, None)
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = ids[order] > least
+    out = np.zeros(len(h), dtype=bool)
+    for some in _slices(h):
+        order, least, _ = _extremes(ids[some], h[some], None)
+        order = some[order]
+        out[order] = ids[order] > least
     return out
 
 
@@ -281,6 +306,11 @@ def _exchange(rows: DataFrame, load: Callable, entries: Callable, answers: Calla
         if buffer.words:
             yield close()
 
+    def each_row(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):  # one at a time: a row is large
+                yield batch.slice(i, 1).to_pylist()[0]
+
     def answer(batches):
         p, held, numbers = None, [], []
 
@@ -289,36 +319,36 @@ def _exchange(rows: DataFrame, load: Callable, entries: Callable, answers: Calla
 
         def close():
             if held:
-                ids, tied, _, h = (np.concatenate(x) for x in zip(*held, strict=True))
+                ids, tied, h = (np.concatenate([x[k] for x in held]) for k in (0, 1, 3))
+                places = [x[2] for x in held]
+                held.clear()
                 mask, i = answers(ids, tied, h), 0
-                for number, (_, _, starts, _) in zip(numbers, held, strict=True):
+                for number, starts in zip(numbers, places, strict=True):
                     yes = starts[mask[i : i + len(starts)]]
                     i += len(starts)
                     if len(yes):
                         yield reply(number, None, None, None, yes.tobytes())
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["p"] != p:
-                    yield from close()
-                    p, held, numbers = row["p"], [], []
-                if row["hashes"] is None:
-                    yield reply(row["buffer"], row["ids"], row["subs"], row["counts"], _unpacked(row["low"], row["high"]).astype("<u4").tobytes())
-                else:
-                    held.append(_unpack(row, kind))
-                    numbers.append(row["buffer"])
+        for row in each_row(batches):
+            if row["p"] != p:
+                yield from close()
+                p, held, numbers = row["p"], [], []
+            if row["hashes"] is None:
+                yield reply(row["buffer"], row["ids"], row["subs"], row["counts"], _unpacked(row["low"], row["high"]).astype("<u4").tobytes())
+            else:
+                held.append(_unpack(row, kind))
+                numbers.append(row["buffer"])
         yield from close()
 
     def tell(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (found := _spots(row)) is not None:
-                    yield found
+        for row in each_row(batches):
+            if (found := _spots(row)) is not None:
+                yield found
 
-    replies = rows.mapInArrow(send, _BLOBS).repartitionById(parts, F.col("p")).sortWithinPartitions("p").mapInArrow(answer, _REPLIES)
+    replies = rows.mapInArrow(tidy(send), _BLOBS).repartitionById(parts, F.col("p")).sortWithinPartitions("p").mapInArrow(tidy(answer), _REPLIES)
     # A buffer has a reply from each partition at most, and its words bound their size.
     buffers = replies.groupBy("buffer").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("ids", "subs", "lengths")), F.collect_list("at").alias("at"))
-    spots = buffers.mapInArrow(tell, _SPOTS)
+    spots = buffers.mapInArrow(tidy(tell), _SPOTS)
     return staged(spots, "spots")
 
 
@@ -434,7 +464,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = No
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    return repeats.mapInArrow(run, docs.schema)
+    return repeats.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

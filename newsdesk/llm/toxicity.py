@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_FOLD, folded_words, free_name, map_batches, staged, table, utf8, window_hashes
+from .common import ALNUM_FOLD, folded_words, free_name, map_batches, staged, table, tidy, utf8, window_hashes
 from .substring_dedup import _Words
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of doc_id.
@@ -353,7 +353,7 @@ def score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
             x = np.array([own.features(t) for t in utf8(batch.column("text"))]).reshape(-1, 7)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(own.score(x), pa.float64())], [*kept, name])
 
-    return docs.select(kept).mapInArrow(run, docs.select(kept).schema.add(name, "double"))
+    return docs.select(kept).mapInArrow(tidy(run), docs.select(kept).schema.add(name, "double"))
 
 
 def in_training(doc_id: str = "doc_id") -> F.Column:
