@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedup import keep_first
@@ -29,10 +29,21 @@ def publication_mean(scores: DataFrame, game: str, publication: str, order: list
     return one.groupBy(game).agg(F.count(F.lit(1)).alias("sources"), F.avg(value).alias("mean")).withColumn("status", F.when(F.col("sources") >= least, "green").otherwise("red"))
 
 
-def weighted_score(scores: DataFrame, game: str, score: Column, scale: Column, weight: Column, accepted: Column) -> DataFrame:
-    """Weighted mean on 100 (one decimal) of accepted scores; weights are 0.1 at least, values held within 0 and 100."""
-    rows = scores.filter(accepted & (scale > 0)).select(game, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score / scale * 100)).alias("_v"), F.greatest(F.lit(0.1), F.coalesce(weight, F.lit(1.0))).alias("_w"))
-    return rows.groupBy(game).agg(F.count(F.lit(1)).alias("n"), (F.floor(F.sum(F.col("_v") * F.col("_w")) / F.sum("_w") * 10 + 0.5) / 10).alias("score"))
+def weighted_score(scores: DataFrame, game: str, score: Column, scale: Column, weight: Column, accepted: Column, order: list[Column] | None = None) -> DataFrame:
+    """Weighted mean on 100 (one decimal) of accepted scores; weights are 0.1 at least, values held within 0 and 100.
+
+    With ``order`` a game's doubles are added in that order, so that a mean between
+    two tenths is rounded alike however the rows are dealt.
+    """
+    rows = scores.filter(accepted & (scale > 0)).select(game, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score / scale * 100)).alias("_v"), F.greatest(F.lit(0.1), F.coalesce(weight, F.lit(1.0))).alias("_w"), *(c.alias(f"_o{i}") for i, c in enumerate(order or [])))
+    sums = [F.sum(F.col("_v") * F.col("_w")), F.sum("_w")]
+    if order:
+        # Running sums in a window are added row by row; the last ones are the game's.
+        by = Window.partitionBy(game).orderBy(*(f"_o{i}" for i in range(len(order))))
+        so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.select(game, F.row_number().over(by).alias("_i"), *(x.over(so_far).alias(n) for x, n in zip(sums, ("_p", "_q"), strict=True)))
+        sums = [F.max_by("_p", "_i"), F.max_by("_q", "_i")]
+    return rows.groupBy(game).agg(F.count(F.lit(1)).alias("n"), (F.floor(sums[0] / sums[1] * 10 + 0.5) / 10).alias("score"))
 
 
 def awards(rows: DataFrame, game: str, required: list[str], unique: list[str], listed: list[str]) -> tuple[DataFrame, DataFrame]:

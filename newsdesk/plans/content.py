@@ -369,7 +369,7 @@ def layered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ratings import weighted_score as op
 
-    return op(table(spark, sf_dir, "lineitem"), "l_partkey", F.col("l_quantity"), F.lit(50.0), F.col("l_discount") * 10, F.col("l_returnflag") != "R")
+    return op(table(spark, sf_dir, "lineitem"), "l_partkey", F.col("l_quantity"), F.lit(50.0), F.col("l_discount") * 10, F.col("l_returnflag") != "R", [F.col("_metadata.file_path"), F.col("_metadata.row_index")])
 
 
 @query("""WITH o AS (SELECT source, doc_id % 7 AS s, max(CAST(quality * 50 + n_chars % 50 AS DOUBLE)) AS v FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2), g AS (SELECT source, count(*) AS sources, median(v) AS m FROM o GROUP BY 1) SELECT source, sources, CASE WHEN sources >= 3 THEN m END AS median, CASE WHEN sources >= 3 THEN m / 10 END AS score FROM g""")
